@@ -1,0 +1,38 @@
+"""Keys that hold so many rows that one task should not take them whole."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Rows of one key that a single sort task handles with ease (some 100 MB of narrow rows).
+HOT_ROWS = 5_000_000
+
+# Fixed-size sketch: every key above about 3.5 / 16384 of all rows is found.
+_TRACKED = 10_000
+_TOP = 1_000
+_MERGERS = 64
+
+
+def key_hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*keys)
+
+
+def find_hot_keys(df: DataFrame, key: str | Sequence[str], min_rows: int = HOT_ROWS) -> list[int]:
+    """Hashes of the keys with at least about ``min_rows`` rows; at most 1000.
+
+    One pass over the key columns. Tasks build frequent-item sketches of fixed size, which are
+    merged in two steps, so neither the number of keys nor the size of a group matters. The
+    counts are estimates: they choose how rows are spread, never which rows there are.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    sketches = (
+        df.select(key_hash(keys).alias("k"))
+        .groupBy(F.pmod(F.spark_partition_id(), F.lit(_MERGERS)).alias("g"))
+        .agg(F.expr(f"approx_top_k_accumulate(k, {_TRACKED})").alias("s"))
+    )
+    top = sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {_TRACKED}), {_TOP})").alias("t"))
+    found = top.select(F.filter("t", lambda i: i["count"] >= min_rows).alias("t")).first()
+    return [item["item"] for item in (found["t"] or [])]
