@@ -150,6 +150,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "b2b_bi_packed": _batch("b2b_bi_packed", _bi_packed, max_gap=10_000_000),
         "b2b_mono": _batch("b2b_mono", _calls, max_gap_s=HOUR_S),
         "b2b_bi": _batch("b2b_bi", _call_signals, bound="4 hours", max_gap_s=6 * HOUR_S),
+        "b2b_bi_one_per_id": _batch(
+            "b2b_bi", _call_signals, bound="4 hours", max_gap_s=6 * HOUR_S, one_per_id=True),
         "spans_split_calls": _call_signals,
         "spans_split_towers": _tower_signals,
         "spans_rebuild": _rebuild(),
@@ -266,6 +268,7 @@ def oracle_sql() -> dict[str, str]:
     mono_5m = _daily("mono_towers", "start_time")
     bi_5m = _daily("bi_towers", "event_time", enter)
     bounded = _VIEWS + _pairs("4 HOUR")
+    b2b_bi = _VIEWS + _follow(f"({_pairs('4 HOUR', connected)})", 6 * HOUR_S)
     return {
         "mobility_mono_5s_exact": _VIEWS + f"""
 SELECT ({end} // {DAY_PACKED}) * {DAY_PACKED} AS window_start, unique_id,
@@ -287,7 +290,8 @@ FROM bi_towers WHERE event_type = 0 GROUP BY 1 HAVING count(DISTINCT tower_id) >
                 FROM packed s JOIN packed e ON s.unique_id = e.unique_id
                 WHERE s.event_type = 0 AND e.event_type = 1)""", 10_000_000),
         "b2b_mono": _VIEWS + _follow("mono_calls", HOUR_S),
-        "b2b_bi": _VIEWS + _follow(f"({_pairs('4 HOUR', connected)})", 6 * HOUR_S),
+        "b2b_bi": b2b_bi,
+        "b2b_bi_one_per_id": b2b_bi,
         "spans_split_calls": _VIEWS + """
 SELECT unique_id, calling_party, disposition, event_type, event_time FROM bi_calls""",
         "spans_split_towers": _VIEWS + """

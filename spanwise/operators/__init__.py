@@ -1,6 +1,6 @@
 """Operators on spans and signals: frames in, frames out."""
 
-from spanwise.operators.hot import find_hot_keys
+from spanwise.operators.hot import find_hot_keys, hot_rows
 from spanwise.operators.mobility import mobility, mobility_packed
 from spanwise.operators.sessions import back_to_back, back_to_back_packed
 from spanwise.operators.signals import rebuild_spans, split_spans
@@ -9,6 +9,7 @@ __all__ = [
     "back_to_back",
     "back_to_back_packed",
     "find_hot_keys",
+    "hot_rows",
     "mobility",
     "mobility_packed",
     "rebuild_spans",

@@ -16,8 +16,13 @@ _TOP = 1_000
 _MERGERS = 64
 
 
-def key_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*keys)
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def hot_rows(key: str | Sequence[str], hot: Sequence[int]) -> Column:
+    """Whether the row's key is among those found by ``find_hot_keys``."""
+    return F.xxhash64(*_keys(key)).isin([int(h) for h in hot])
 
 
 def find_hot_keys(df: DataFrame, key: str | Sequence[str], min_rows: int = HOT_ROWS) -> list[int]:
@@ -27,12 +32,13 @@ def find_hot_keys(df: DataFrame, key: str | Sequence[str], min_rows: int = HOT_R
     merged in two steps, so neither the number of keys nor the size of a group matters. The
     counts are estimates: they choose how rows are spread, never which rows there are.
     """
-    keys = [key] if isinstance(key, str) else list(key)
     sketches = (
-        df.select(key_hash(keys).alias("k"))
+        df.select(F.xxhash64(*_keys(key)).alias("k"))
         .groupBy(F.pmod(F.spark_partition_id(), F.lit(_MERGERS)).alias("g"))
         .agg(F.expr(f"approx_top_k_accumulate(k, {_TRACKED})").alias("s"))
     )
-    top = sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {_TRACKED}), {_TOP})").alias("t"))
-    found = top.select(F.filter("t", lambda i: i["count"] >= min_rows).alias("t")).first()
-    return [item["item"] for item in (found["t"] or [])]
+    # Grouped by a constant, so that an empty input gives no sketch at all.
+    merged = sketches.groupBy(F.lit(0).alias("g")).agg(
+        F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {_TRACKED}), {_TOP})").alias("t"))
+    found = merged.select(F.filter("t", lambda i: i["count"] >= min_rows).alias("t")).first()
+    return [] if found is None else [item["item"] for item in found["t"]]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.functions import packed_gap
-from spanwise.operators.hot import find_hot_keys, key_hash
+from spanwise.operators.hot import find_hot_keys, hot_rows
 
 # Longest run of equal rows that one generator call writes out.
 _RUN = 100_000
@@ -88,7 +88,7 @@ def _follow_previous(
         hot = find_hot_keys(rows, keys)
     order = ["_start", id, "_end"]
     columns = [*keys, id, "_start", "prev_end"]
-    is_hot = key_hash(keys).isin([int(h) for h in hot])
+    is_hot = hot_rows(keys, hot)
 
     cold = rows.where(~is_hot) if hot else rows
     in_key = Window.partitionBy(*keys).orderBy(*order)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.durations import interval_sql, to_micros
+from spanwise.durations import interval_sql, slice_number, to_micros
 
 START, END = 0, 1
 
@@ -81,26 +83,23 @@ def rebuild_spans(
 
 
 def _slice(time: Column, bound: str) -> Column:
-    width = F.lit(_SLICE_BOUNDS * to_micros(bound))
-    return F.floor(F.unix_micros(time.cast("timestamp")) / width)
+    return slice_number(F.unix_micros(time.cast("timestamp")), _SLICE_BOUNDS * to_micros(bound))
 
 
 def _rebuild_grouped(signals, id, keys, bound, keep, time) -> DataFrame:
     on = [id, *keys]
     is_start, is_end = F.col("event_type") == START, F.col("event_type") == END
-    spans = signals.where(is_start | is_end).groupBy(*on).agg(
+    paired = reduce(and_, [F.col(c).isNotNull() for c in on], is_start | is_end)
+    spans = signals.where(paired).groupBy(*on).agg(
         *[F.max(F.when(is_start, F.col(c))).alias(c) for c in keep],
         F.max(F.when(is_start, F.col(time))).alias("start_time"),
         F.max(F.when(is_end, F.col(time))).alias("end_time"),
         F.count_if(is_start).alias("_starts"),
         F.count_if(is_end).alias("_ends"),
     )
-    broken = F.raise_error(F.lit("one_per_id: an id has more than one START or END"))
-    spans = spans.withColumn(
-        "start_time",
-        F.when((F.col("_starts") > 1) | (F.col("_ends") > 1), broken).otherwise(F.col("start_time")))
-    # NULL times stay, as they would in a join; an id with one kind of signal has no pair.
-    pairs = spans.where((F.col("_starts") >= 1) & (F.col("_ends") >= 1))
+    starts, ends = F.col("_starts"), F.col("_ends")
+    broken = F.raise_error(F.lit("one_per_id: an id has more than one START or END")).cast("boolean")
+    pairs = spans.where(F.when((starts > 1) | (ends > 1), broken).otherwise((starts == 1) & (ends == 1)))
     if bound is not None:
         last_end = F.col("start_time") + F.expr(interval_sql(bound))
         pairs = pairs.where((F.col("end_time") >= F.col("start_time")) & (F.col("end_time") <= last_end))

@@ -17,6 +17,7 @@ from spanwise.operators import (
     back_to_back,
     back_to_back_packed,
     find_hot_keys,
+    hot_rows,
     mobility,
     mobility_packed,
     rebuild_spans,
@@ -86,15 +87,25 @@ def b2b_bi(signals: DataFrame, bound: str = "4 minutes", max_gap_s: int = 10,
            hot: Sequence[int] | None = None, one_per_id: bool = False, **stream: int) -> DataFrame:
     """The same on connected calls, rebuilt from signals of equal id and caller within ``bound``.
 
-    The filters come before the look back: they decide which call is the one before.
+    The filters come before the look back: they decide which call is the one before. With
+    ``one_per_id`` (see ``rebuild_spans``) pairing and look back share one shuffle by caller.
     """
-    connected = F.col("disposition") == "connected"
-    calls = rebuild_spans(signals, _ID, [_CALLER], bound, where=connected, one_per_id=one_per_id)
+    connected = signals.where(F.col("disposition") == "connected")
     if signals.isStreaming:
+        calls = rebuild_spans(connected, _ID, [_CALLER], bound)
         return back_to_back_stream(calls, *_CALL, max_gap_s, **stream)
     if hot is None:
-        hot = find_hot_keys(signals.where(_is_start & connected), _CALLER)
-    return back_to_back(calls, *_CALL, max_gap_s, hot=hot)
+        hot = find_hot_keys(connected.where(_is_start), _CALLER)
+    if not one_per_id:
+        return back_to_back(rebuild_spans(connected, _ID, [_CALLER], bound), *_CALL, max_gap_s, hot=hot)
+
+    def pairs(part: DataFrame, hot: Sequence[int]) -> DataFrame:
+        calls = rebuild_spans(part, _ID, [_CALLER], bound, one_per_id=True)
+        return back_to_back(calls, *_CALL, max_gap_s, hot=hot)
+
+    is_hot = hot_rows(_CALLER, hot)
+    by_caller = pairs(connected.where(~is_hot).repartition(_CALLER), [])
+    return by_caller.unionByName(pairs(connected.where(is_hot), hot)) if hot else by_caller
 
 
 @dataclass(frozen=True)

@@ -10,8 +10,6 @@ from pyspark.sql import types as T
 
 from spanwise.functions import parse_packed
 
-START, END = 0, 1
-
 
 @dataclass(frozen=True)
 class Table:
@@ -96,6 +94,7 @@ def read_spans(
     max_files: int | None = None,
     fmt: str = "csv",
     header: bool = True,
+    ingestion_time: bool = False,
 ) -> DataFrame:
     """Read one of ``TABLES`` from a folder (or file) and add its parsed timestamps.
 
@@ -103,7 +102,8 @@ def read_spans(
     fails rather than shifting its data), blanks around values are ignored, and fields that do
     not parse become NULL. ``header=False`` reads merged files whose header lines were removed.
     ``max_files`` limits a stream to that many files per micro-batch. A streamed folder must hold
-    finished files only: a file is read once.
+    finished files only: a file is read once. ``ingestion_time`` adds the time of processing, which
+    differs from run to run.
     """
     layout = TABLES[table]
     reader = spark.readStream if streaming else spark.read
@@ -122,7 +122,8 @@ def read_spans(
         )
     else:
         raw = reader.schema(layout.schema).format(fmt).load(path)
-    return raw.withColumns({parsed: parse_packed(packed) for packed, parsed in layout.times})
+    parsed = raw.withColumns({time: parse_packed(packed) for packed, time in layout.times})
+    return parsed.withColumn("ingestion_time", F.current_timestamp()) if ingestion_time else parsed
 
 
 def write_spans(df: DataFrame, path: str, table: str, fmt: str = "csv", mode: str = "overwrite") -> None:

@@ -31,6 +31,8 @@ from pyspark.sql.streaming.stateful_processor import (
     TimerValues,
 )
 
+from spanwise.durations import slice_number
+
 _BLOB = "batch binary"
 
 
@@ -60,7 +62,7 @@ def back_to_back_stream(
     start_us, end_us = F.unix_micros(start), F.unix_micros(F.col(end).cast("timestamp"))
     rows = df.where(F.col(start).isNotNull()).select(
         F.pmod(F.xxhash64(*keys), F.lit(lanes)).cast("int").alias("lane"),
-        F.floor(start_us / F.lit(slice_s * 1_000_000)).alias("slice"),
+        slice_number(start_us, slice_s * 1_000_000).alias("slice"),
         F.col(start).alias("event"),
         *[F.col(name).alias(inner) for name, inner in own.items()],
         F.col(id).alias("row_id"),
