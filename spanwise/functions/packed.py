@@ -70,7 +70,7 @@ def packed_bucket(value: Column | str, width: int = 5000) -> Column:
     Equal to a tumbling window only where ``width`` divides the used codes of a minute
     (5000 is five seconds) or is a whole calendar unit (1000000000 is one day).
     """
-    return _div(_column(value).cast("long"), width) * F.lit(width)
+    return _div(_column(value).try_cast("long"), width) * F.lit(width)
 
 
 def packed_gap(prev_end: Column | str, start: Column | str) -> Column:
@@ -79,4 +79,4 @@ def packed_gap(prev_end: Column | str, start: Column | str) -> Column:
     These are digits, not milliseconds: across a minute, hour or day the result is larger than
     the true gap. Kept because stored queries depend on it; see ``back_to_back`` for true time.
     """
-    return _column(start).cast("long") - _column(prev_end).cast("long")
+    return _column(start).try_cast("long") - _column(prev_end).try_cast("long")

@@ -57,7 +57,7 @@ def back_to_back_packed(
     """The same on packed digits, ``0 < start - prev_end <= max_gap``, without time arithmetic.
 
     Columns: key..., id, prev_end, start_ts, gap. The gap is a difference of digits and so is
-    larger than the true gap across a minute boundary.
+    larger than the true gap across a minute boundary. Values that are no numbers count as missing.
     """
 
     def follows(begin: Column, prev_end: Column) -> Column:
@@ -65,7 +65,7 @@ def back_to_back_packed(
         return (gap > 0) & (gap <= max_gap)
 
     keys = [key] if isinstance(key, str) else list(key)
-    df = df.withColumns({start: F.col(start).cast("long"), end: F.col(end).cast("long")})
+    df = df.withColumns({start: F.col(start).try_cast("long"), end: F.col(end).try_cast("long")})
     pairs = _follow_previous(df, keys, start, end, id, follows, hot)
     return pairs.select(
         *keys, id, "prev_end", F.col("_start").alias("start_ts"),

@@ -28,7 +28,9 @@ from spanwise.streaming.sessions import back_to_back_stream
 _ID, _TOWER, _CALLER = "unique_id", "tower_id", "calling_party"
 _CALL = (_CALLER, "start_time", "end_time", _ID)
 
-_is_start = F.col("event_type") == START
+
+def _starts(signals: DataFrame) -> DataFrame:
+    return signals.where(F.col("event_type") == START)
 
 
 def mobility_mono_5s_exact(towers: DataFrame, width: int = 5000, threshold: int = 2) -> DataFrame:
@@ -43,12 +45,12 @@ def mobility_mono_5s_approx(towers: DataFrame, window: str = "5 seconds", thresh
 
 def mobility_bi_5s_approx(signals: DataFrame, window: str = "5 seconds", threshold: int = 2) -> DataFrame:
     """Towers per id and window of the ENTER signal, approximately."""
-    return mobility(signals.where(_is_start), _ID, _TOWER, "event_time", window, threshold, approx=True)
+    return mobility(_starts(signals), _ID, _TOWER, "event_time", window, threshold, approx=True)
 
 
 def mobility_bi_total(signals: DataFrame, threshold: int = 5) -> DataFrame:
     """Towers per id over all time, exactly."""
-    return mobility(signals.where(_is_start), _ID, _TOWER, window=None, threshold=threshold)
+    return mobility(_starts(signals), _ID, _TOWER, window=None, threshold=threshold)
 
 
 def mobility_mono_5m(towers: DataFrame, window: str = "5 minutes", threshold: int = 5) -> DataFrame:
@@ -58,7 +60,7 @@ def mobility_mono_5m(towers: DataFrame, window: str = "5 minutes", threshold: in
 
 def mobility_bi_5m(signals: DataFrame, window: str = "5 minutes", threshold: int = 5) -> DataFrame:
     """Towers per id and window of the ENTER signal, exactly."""
-    return mobility(signals.where(_is_start), _ID, _TOWER, "event_time", window, threshold)
+    return mobility(_starts(signals), _ID, _TOWER, "event_time", window, threshold)
 
 
 def b2b_mono_packed(calls: DataFrame, max_gap: int = 10_000, hot: Sequence[int] | None = None) -> DataFrame:
@@ -70,7 +72,7 @@ def b2b_bi_packed(signals: DataFrame, max_gap: int = 10_000, hot: Sequence[int]
                   one_per_id: bool = False) -> DataFrame:
     """The same on calls rebuilt from their signals by id alone."""
     if hot is None:
-        hot = find_hot_keys(signals.where(_is_start), _CALLER)
+        hot = find_hot_keys(_starts(signals), _CALLER)
     calls = rebuild_spans(signals, _ID, keep=[_CALLER], time="event_ts", one_per_id=one_per_id)
     return back_to_back_packed(calls, _CALLER, "start_time", "end_time", _ID, max_gap, hot)
 
@@ -95,7 +97,7 @@ def b2b_bi(signals: DataFrame, bound: str = "4 minutes", max_gap_s: int = 10,
         calls = rebuild_spans(connected, _ID, [_CALLER], bound)
         return back_to_back_stream(calls, *_CALL, max_gap_s, **stream)
     if hot is None:
-        hot = find_hot_keys(connected.where(_is_start), _CALLER)
+        hot = find_hot_keys(_starts(connected), _CALLER)
     if not one_per_id:
         return back_to_back(rebuild_spans(connected, _ID, [_CALLER], bound), *_CALL, max_gap_s, hot=hot)
 

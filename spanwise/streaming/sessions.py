@@ -16,11 +16,15 @@ the same micro-batch, and rows below it are refused as late, so step 2 sees slic
 from __future__ import annotations
 
 import io
+import sys
 from collections.abc import Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +39,15 @@ from spanwise.durations import slice_number
 
 _BLOB = "batch binary"
 
+# Stands for the end of a span without one: later than every start, so that nothing follows it.
+_NO_END = 2**62
+
+# Columns that only the step between the two operators needs.
+_STEP = {"lane", "lane_or_spread", "emit", "prev_us", "match"}
+
+# The processors travel to the executors as code: this package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def back_to_back_stream(
     df: DataFrame,
@@ -57,21 +70,22 @@ def back_to_back_stream(
     keys = [key] if isinstance(key, str) else list(key)
     if lanes is None:
         lanes = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Own names inside: the rows reach Python as named tuples, which rename some columns.
-    own = {name: f"key_{i}" for i, name in enumerate(keys)}
     start_us, end_us = F.unix_micros(start), F.unix_micros(F.col(end).cast("timestamp"))
+    # Own names inside: the rows reach Python as named tuples, which rename some columns.
+    fields = [_Field(df, name, f"key_{i}") for i, name in enumerate(keys)]
+    fields.append(_Field(df, id, "row_id"))
     rows = df.where(F.col(start).isNotNull()).select(
         F.pmod(F.xxhash64(*keys), F.lit(lanes)).cast("int").alias("lane"),
         slice_number(start_us, slice_s * 1_000_000).alias("slice"),
         F.col(start).alias("event"),
-        *[F.col(name).alias(inner) for name, inner in own.items()],
-        F.col(id).alias("row_id"),
+        *[column for field in fields for column in field.sent],
         start_us.alias("start_us"),
-        end_us.alias("end_us"),
+        F.coalesce(end_us, F.lit(_NO_END)).alias("end_us"),
     )
     kinds = {f.name: f.dataType for f in rows.schema.fields}
-    row = [T.StructField(c, kinds[c]) for c in [*own.values(), "row_id"]]
-    long = T.LongType()
+    inner = [name for field in fields for name in field.inner]
+    row = [T.StructField(c, kinds[c]) for c in inner]
+    long, flag = T.LongType(), T.BooleanType()
     edges = T.StructType([
         T.StructField("lane", T.IntegerType()),
         T.StructField("emit", T.TimestampType()),
@@ -79,10 +93,10 @@ def back_to_back_stream(
         T.StructField("start_us", long),
         T.StructField("end_us", long),
         T.StructField("prev_us", long),
-        T.StructField("first", T.BooleanType()),
-        T.StructField("match", T.BooleanType()),
+        T.StructField("first", flag),
+        T.StructField("match", flag),
     ])
-    rule = _Rule(list(own.values()), max_gap_s, allow_zero)
+    rule = _Rule([n for n in inner if not n.startswith("row_id")], fields[-1].inner, max_gap_s, allow_zero)
     sliced = rows.groupBy("lane", "slice").transformWithStateInPandas(
         _SliceLag(rule, slice_s * 1_000, edges.fieldNames()), edges, "Append", "EventTime",
         eventTimeColumnName="emit")
@@ -96,57 +110,91 @@ def back_to_back_stream(
     )
     prev_end, begin = F.timestamp_micros("prev_us"), F.timestamp_micros("start_us")
     return stitched.select(
-        *[F.col(inner).alias(name) for name, inner in own.items()],
-        F.col("row_id").alias(id),
+        *[field.received for field in fields],
         prev_end.alias("prev_end"),
         begin.alias("start_time"),
         F.timestamp_diff("SECOND", prev_end, begin).alias("gap_s"),
     )
 
 
-class _Rule:
-    """Order of rows and the condition between neighbours."""
+class _Field:
+    """A column on its way through pandas, where a number next to a missing one becomes a float.
+
+    Numbers are sent without gaps, next to a flag that tells which of them are missing.
+    """
+
+    def __init__(self, df: DataFrame, name: str, inner: str) -> None:
+        kind = df.schema[name].dataType
+        column = F.col(f"`{name}`")
+        if isinstance(kind, T.NumericType) and not isinstance(kind, T.DecimalType):
+            missing = f"{inner}_missing"
+            self.inner = [missing, inner]
+            self.sent = [column.isNull().alias(missing), F.coalesce(column, F.lit(0).cast(kind)).alias(inner)]
+            self.received = F.when(~F.col(missing), F.col(inner)).alias(name)
+        else:
+            self.inner, self.sent = [inner], [column.alias(inner)]
+            self.received = F.col(inner).alias(name)
 
-    def __init__(self, keys: list[str], max_gap_s: int, allow_zero: bool) -> None:
-        self.keys = keys
-        self.order = [*keys, "start_us", "row_id", "end_us"]
-        self.limit_us = (max_gap_s + 1) * 1_000_000
-        self.least_us = 0 if allow_zero else 1
 
-    def sort(self, rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.sort_values(self.order, ignore_index=True, na_position="last")
+class _Rule:
+    """Order of rows and the condition between neighbours."""
 
-    def same_key(self, rows: pd.DataFrame) -> pd.Series:
+    def __init__(self, keys: list[str], id: list[str], max_gap_s: int, allow_zero: bool) -> None:
+        self._keys = keys
+        # Missing values come first, as in a sort of Spark.
+        self._order = [(c, "descending" if c.endswith("_missing") else "ascending")
+                       for c in [*keys, "start_us", *id, "end_us"]]
+        self._limit_us = (max_gap_s + 1) * 1_000_000
+        self._least_us = 0 if allow_zero else 1
+
+    def compare(self, rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows in order with ``prev_us``; whether each is its key's first, its last, and a match."""
+        order = pc.sort_indices(rows, sort_keys=self._order, null_placement="at_start")
+        rows = rows.take(order).combine_chunks()
+        first = ~self._same_key(rows)
+        last = np.append(first[1:], True)
+        prev = np.where(first, _NO_END, np.roll(rows["end_us"].to_numpy(), 1))
+        gap = rows["start_us"].to_numpy() - prev
+        match = (prev != _NO_END) & (gap >= self._least_us) & (gap < self._limit_us)
+        return rows.append_column("prev_us", pa.array(prev)), first, last, match
+
+    def _same_key(self, rows: pa.Table) -> np.ndarray:
         """Whether a row has the key of the row before; missing keys form one group."""
-        same = pd.Series(True, index=rows.index)
-        for key in self.keys:
-            now, before = rows[key], rows[key].shift()
-            same &= (now == before).fillna(False).astype(bool) | (now.isna() & before.isna())
-        if len(same):
-            same.iloc[0] = False
+        same = np.ones(len(rows), dtype=bool)
+        same[0] = False
+        for key in self._keys:
+            if pa.types.is_null(rows[key].type):
+                continue
+            now, before = rows[key].slice(1), rows[key].slice(0, len(rows) - 1)
+            equal = pc.fill_null(pc.equal(now, before), False)
+            missing = pc.and_(pc.is_null(now), pc.is_null(before))
+            same[1:] &= pc.or_(equal, missing).to_numpy()
         return same
 
-    def follows(self, start: pd.Series, prev_end: pd.Series) -> pd.Series:
-        gap = start - prev_end
-        return ((gap >= self.least_us) & (gap < self.limit_us)).fillna(False).astype(bool)
+    def may_be_followed(self, rows: pa.Table, from_us: int) -> np.ndarray:
+        """Whether a row that starts at ``from_us`` or later may still match the row."""
+        end = rows["end_us"].to_numpy()
+        return (end != _NO_END) & (end + self._limit_us > from_us)
 
 
-def _pack(rows: pd.DataFrame) -> bytes:
-    table = pa.Table.from_pandas(rows, preserve_index=False)
-    sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue()
+def _table(rows: pd.DataFrame) -> pa.Table:
+    return pa.Table.from_pandas(rows, preserve_index=False).replace_schema_metadata(None)
 
 
-def _unpack(blob: bytes) -> pd.DataFrame:
-    return _typed(pa.ipc.open_stream(blob).read_all().to_pandas(integer_object_nulls=True))
+def _join(tables: list[pa.Table]) -> pa.Table:
+    # A column without any value has no type of its own: it takes that of the other tables.
+    return pa.concat_tables(tables, promote_options="permissive").combine_chunks()
 
 
-def _typed(rows: pd.DataFrame) -> pd.DataFrame:
-    """Times as nullable integers: a float could not hold microseconds next to a missing value."""
-    times = [c for c in ("start_us", "end_us", "prev_us") if c in rows]
-    return rows.astype({c: "Int64" for c in times})
+def _pack(rows: pa.Table) -> bytes:
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows)
+    return sink.getvalue()
+
+
+def _unpack(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
 
 
 class _SliceLag(StatefulProcessor):
@@ -163,28 +211,30 @@ class _SliceLag(StatefulProcessor):
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues
     ) -> Iterator[pd.DataFrame]:
         if not self._batches.exists():
-            self._handle.registerTimer((int(key[1]) + 1) * self._slice_ms)
+            self._handle.registerTimer(self._end_ms(key))
         for batch in rows:
             kept = batch.drop(columns=["lane", "slice", "event"])
-            self._batches.appendValue((_pack(_typed(kept)),))
+            self._batches.appendValue((_pack(_table(kept)),))
         return iter(())
 
     def handleExpiredTimer(
         self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
     ) -> Iterator[pd.DataFrame]:
-        rows = self._rule.sort(pd.concat([_unpack(b) for (b,) in self._batches.get()], ignore_index=True))
+        kept = _join([_unpack(blob) for (blob,) in self._batches.get()])
         self._batches.clear()
-        same = self._rule.same_key(rows)
-        last = ~same.shift(-1, fill_value=False)
-        rows["prev_us"] = rows["end_us"].shift().where(same)
-        rows["first"] = ~same
-        rows["match"] = self._rule.follows(rows["start_us"], rows["prev_us"])
-        edges = rows[~same | last].assign(match=False)
+        rows, first, last, match = self._rule.compare(kept)
+        edge = first | last
+        rows = rows.append_column("first", pa.array(first))
+        parts = [rows.filter(pa.array(mask)).append_column("match", pa.array(np.full(mask.sum(), flag)))
+                 for mask, flag in ((match, True), (edge, False))]
         # Past the watermark of the batch before, as a row that leaves must be.
-        emit = pd.Timestamp((int(key[1]) + 1) * self._slice_ms + 1, unit="ms")
-        out = pd.concat([rows[rows["match"]], edges], ignore_index=True)
+        emit = pd.Timestamp(self._end_ms(key) + 1, unit="ms")
+        out = pa.concat_tables(parts).to_pandas()
         yield out.assign(lane=int(key[0]), emit=emit)[self._output]
 
+    def _end_ms(self, key: Any) -> int:
+        return (int(key[1]) + 1) * self._slice_ms
+
     def close(self) -> None:
         pass
 
@@ -201,32 +251,32 @@ class _EdgeCarry(StatefulProcessor):
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues
     ) -> Iterator[pd.DataFrame]:
-        edges = []
+        edges, newest = [], None
         for batch in rows:
-            batch = _typed(batch)
             matches = batch[batch["match"]]
             if len(matches):
                 yield matches[self._output]
-            edges.append(batch[~batch["match"]].drop(columns=["lane", "prev_us", "match"]))
-        arrived = pd.concat(edges, ignore_index=True)
-        if arrived.empty:
+            arrived = batch[~batch["match"]]
+            if len(arrived):
+                emit = arrived["emit"].max()
+                newest = emit if newest is None else max(newest, emit)
+                # ``first`` also says that a row is yet to be compared with the row before.
+                edges.append(_table(arrived[[c for c in arrived if c not in _STEP]]))
+        if not edges:
             return
-        # Rows still to come start at or after the end of the newest slice seen here.
-        horizon = int(arrived["emit"].max().timestamp() * 1_000 - 1) * 1_000
-        arrived = arrived.drop(columns="emit")
         if self._carried.exists():
-            arrived = pd.concat([_unpack(self._carried.get()[0]), arrived], ignore_index=True)
-        ordered = self._rule.sort(arrived)
-        same = self._rule.same_key(ordered)
-        ordered["prev_us"] = ordered["end_us"].shift().where(same)
-        found = ordered["first"] & self._rule.follows(ordered["start_us"], ordered["prev_us"])
+            edges.append(_unpack(self._carried.get()[0]))
+        ordered, _, last, match = self._rule.compare(_join(edges))
+        found = match & ordered["first"].to_numpy()
         if found.any():
-            yield ordered.loc[found, self._output]
-        last = ~same.shift(-1, fill_value=False)
-        alive = (ordered["end_us"] + self._rule.limit_us > horizon).fillna(False).astype(bool)
-        keep = ordered[last & alive].drop(columns="prev_us").assign(first=False)
-        if len(keep):
-            self._carried.update((_pack(keep),))
+            yield ordered.filter(pa.array(found)).select(self._output).to_pandas()
+        # Rows still to come start at or after the end of the newest slice seen here.
+        from_us = (newest.value // 1_000_000 - 1) * 1_000
+        keep = last & self._rule.may_be_followed(ordered, from_us)
+        if keep.any():
+            carried = ordered.filter(pa.array(keep)).drop_columns(["first", "prev_us"])
+            carried = carried.append_column("first", pa.array(np.zeros(len(carried), dtype=bool)))
+            self._carried.update((_pack(carried),))
         else:
             self._carried.clear()
 
