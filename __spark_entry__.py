@@ -16,11 +16,11 @@ from spanwise.operators import rebuild_spans
 from spanwise.plans import CATALOG
 from spanwise.sources import events as ev
 from spanwise.sources import read_spans, write_spans
-from spanwise.streaming import shared_folder, stream_result
+from spanwise.streaming import shared_folder, slice_length, stream_result
 
 HOUR_S = 3600
 DAY_PACKED = 1_000_000_000
-SLICE_S = 6 * HOUR_S
+SLICE_ROWS = 3_000_000
 
 
 def _calls(spark, sf_dir):
@@ -59,6 +59,16 @@ def _stream(name, table, **params):
     return run
 
 
+def _sliced_stream(name, table, **params):
+    """A stream whose slices are as long as the density of the table allows, a day at most."""
+
+    def run(spark, sf_dir):
+        slice_s = slice_length(ev.events(spark, sf_dir), "ts", SLICE_ROWS)
+        return _stream(name, table, slice_s=slice_s, **params)(spark, sf_dir)
+
+    return run
+
+
 def _rebuild_stream(spark, sf_dir):
     def build():
         signals = ev.bi_calls(ev.events_stream(spark, sf_dir)).withWatermark("event_time", "10 minutes")
@@ -171,9 +181,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mobility_mono_5m_stream": _stream("mobility_mono_5m", ev.mono_towers, window="1 day", threshold=2),
         "mobility_bi_5m_stream": _stream("mobility_bi_5m", ev.bi_towers, window="1 day", threshold=2),
         "spans_rebuild_stream": _rebuild_stream,
-        "b2b_mono_stream": _stream("b2b_mono", ev.mono_calls, max_gap_s=HOUR_S, slice_s=SLICE_S),
-        "b2b_bi_stream": _stream(
-            "b2b_bi", ev.bi_calls, bound="4 hours", max_gap_s=6 * HOUR_S, slice_s=SLICE_S),
+        "b2b_mono_stream": _sliced_stream("b2b_mono", ev.mono_calls, max_gap_s=HOUR_S),
+        "b2b_bi_stream": _sliced_stream("b2b_bi", ev.bi_calls, bound="4 hours", max_gap_s=6 * HOUR_S),
     }
 
 
@@ -251,7 +260,10 @@ WHERE s.event_type = 0 AND e.event_type = 1"""
 
 
 def _slice_end_by(limit: str) -> str:
-    width = SLICE_S * 1_000_000
+    """Spans whose slice an append-mode stream has let go: slices that end by the last watermark."""
+    width = f"""(SELECT 1000000 * greatest(1, least(86400, {SLICE_ROWS}
+      * (CAST(floor(epoch(max(ts))) AS BIGINT) - CAST(floor(epoch(min(ts))) AS BIGINT)) // count(ts)))
+      FROM events)"""
     return f"(epoch_us(start_time) // {width} + 1) * {width} <= epoch_us({limit})"
 
 

@@ -1,6 +1,7 @@
 """Streaming operators that have no built-in form, and running and watching streams."""
 
 from spanwise.streaming.run import Monitor, progress, run_stream, shared_folder, stream_result
-from spanwise.streaming.sessions import back_to_back_stream
+from spanwise.streaming.sessions import back_to_back_stream, slice_length
 
-__all__ = ["Monitor", "back_to_back_stream", "progress", "run_stream", "shared_folder", "stream_result"]
+__all__ = ["Monitor", "back_to_back_stream", "progress", "run_stream", "shared_folder",
+           "slice_length", "stream_result"]
