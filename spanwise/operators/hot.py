@@ -15,6 +15,9 @@ _TRACKED = 10_000
 _TOP = 1_000
 _MERGERS = 64
 
+# Longest run of equal rows that one generator call writes out.
+_RUN = 100_000
+
 
 def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
@@ -32,13 +35,27 @@ def find_hot_keys(df: DataFrame, key: str | Sequence[str], min_rows: int = HOT_R
     merged in two steps, so neither the number of keys nor the size of a group matters. The
     counts are estimates: they choose how rows are spread, never which rows there are.
     """
-    sketches = (
-        df.select(F.xxhash64(*_keys(key)).alias("k"))
-        .groupBy(F.pmod(F.spark_partition_id(), F.lit(_MERGERS)).alias("g"))
-        .agg(F.expr(f"approx_top_k_accumulate(k, {_TRACKED})").alias("s"))
-    )
+    return find_hot_keys_of_each(df, [key], min_rows)[0]
+
+
+def find_hot_keys_of_each(
+    df: DataFrame, several: Sequence[str | Sequence[str]], min_rows: int = HOT_ROWS
+) -> list[list[int]]:
+    """``find_hot_keys`` for several choices of key in the same pass."""
+    names = [f"k{i}" for i in range(len(several))]
+    hashes = df.select([F.xxhash64(*_keys(key)).alias(n) for n, key in zip(names, several)])
+    sketches = hashes.groupBy(F.pmod(F.spark_partition_id(), F.lit(_MERGERS)).alias("g")).agg(
+        *[F.expr(f"approx_top_k_accumulate({n}, {_TRACKED})").alias(n) for n in names])
     # Grouped by a constant, so that an empty input gives no sketch at all.
     merged = sketches.groupBy(F.lit(0).alias("g")).agg(
-        F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {_TRACKED}), {_TOP})").alias("t"))
-    found = merged.select(F.filter("t", lambda i: i["count"] >= min_rows).alias("t")).first()
-    return [] if found is None else [item["item"] for item in found["t"]]
+        *[F.expr(f"approx_top_k_estimate(approx_top_k_combine({n}, {_TRACKED}), {_TOP})").alias(n) for n in names])
+    found = merged.select(*[F.filter(n, lambda i: i["count"] >= min_rows).alias(n) for n in names]).first()
+    return [[item["item"] for item in found[n]] if found else [] for n in names]
+
+
+def repeat_rows(df: DataFrame, times: str) -> DataFrame:
+    """Each row ``times`` times, with long runs of one row spread over tasks."""
+    runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / _RUN))
+    spread = df.withColumn("_run", F.explode(runs)).repartition(*df.columns, "_run")
+    length = F.least(F.lit(_RUN).cast("long"), F.col(times) - F.col("_run") * _RUN)
+    return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), length))).select(df.columns)

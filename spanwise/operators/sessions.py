@@ -8,10 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.functions import packed_gap
-from spanwise.operators.hot import find_hot_keys, hot_rows
-
-# Longest run of equal rows that one generator call writes out.
-_RUN = 100_000
+from spanwise.operators.hot import find_hot_keys, hot_rows, repeat_rows
 
 
 def back_to_back(
@@ -23,6 +20,7 @@ def back_to_back(
     max_gap_s: int = 10,
     allow_zero: bool = True,
     hot: Sequence[int] | None = None,
+    copies: str | None = None,
 ) -> DataFrame:
     """Spans that begin at most ``max_gap_s`` whole seconds after the previous span ended.
 
@@ -31,7 +29,8 @@ def back_to_back(
     (start before prev_end) never matches; ``allow_zero=False`` also excludes touching spans.
 
     ``hot`` takes the result of ``find_hot_keys``; None looks for hot keys in ``df`` first, which
-    runs one small job. Give it where ``df`` is costly to compute, or ``[]`` to go without.
+    runs one small job. Give it where ``df`` is costly to compute, or ``[]`` to go without. ``copies``
+    names a column that says how many equal rows a row stands for.
     """
 
     def follows(begin: Column, prev_end: Column) -> Column:
@@ -39,7 +38,7 @@ def back_to_back(
         return lower & (F.timestamp_diff("SECOND", prev_end, begin) <= max_gap_s)
 
     keys = [key] if isinstance(key, str) else list(key)
-    pairs = _follow_previous(df, keys, start, end, id, follows, hot)
+    pairs = _follow_previous(df, keys, start, end, id, follows, hot, copies)
     return pairs.select(
         *keys, id, "prev_end", F.col("_start").alias("start_time"),
         F.timestamp_diff("SECOND", F.col("prev_end"), F.col("_start")).alias("gap_s"))
@@ -53,6 +52,7 @@ def back_to_back_packed(
     id: str,
     max_gap: int = 10_000,
     hot: Sequence[int] | None = None,
+    copies: str | None = None,
 ) -> DataFrame:
     """The same on packed digits, ``0 < start - prev_end <= max_gap``, without time arithmetic.
 
@@ -66,7 +66,7 @@ def back_to_back_packed(
 
     keys = [key] if isinstance(key, str) else list(key)
     df = df.withColumns({start: F.col(start).try_cast("long"), end: F.col(end).try_cast("long")})
-    pairs = _follow_previous(df, keys, start, end, id, follows, hot)
+    pairs = _follow_previous(df, keys, start, end, id, follows, hot, copies)
     return pairs.select(
         *keys, id, "prev_end", F.col("_start").alias("start_ts"),
         packed_gap(F.col("prev_end"), F.col("_start")).alias("gap"))
@@ -80,26 +80,27 @@ def _follow_previous(
     id: str,
     follows: Callable[[Column, Column], Column],
     hot: Sequence[int] | None,
+    copies: str | None,
 ) -> DataFrame:
     """Rows whose start follows the end of the row before: keys, id, _start, prev_end."""
+    weight = [] if copies is None else [F.col(copies).alias("_copies")]
     rows = df.where(F.col(start).isNotNull()).select(
-        *keys, id, F.col(start).alias("_start"), F.col(end).alias("_end"))
+        *keys, id, F.col(start).alias("_start"), F.col(end).alias("_end"), *weight)
     if hot is None:
         hot = find_hot_keys(rows, keys)
     order = ["_start", id, "_end"]
-    columns = [*keys, id, "_start", "prev_end"]
     is_hot = hot_rows(keys, hot)
 
     cold = rows.where(~is_hot) if hot else rows
     in_key = Window.partitionBy(*keys).orderBy(*order)
-    pairs = (
-        cold.withColumn("prev_end", F.lag("_end").over(in_key))
-        .where(follows(F.col("_start"), F.col("prev_end")))
-        .select(columns)
-    )
+    pairs = cold.withColumn("prev_end", F.lag("_end").over(in_key))
+    if copies is None:
+        pairs = pairs.where(follows(F.col("_start"), F.col("prev_end"))).select(*keys, id, "_start", "prev_end")
+    else:
+        pairs = _matches_of_copies(pairs, keys, id, F.col("prev_end"), follows)
     if not hot:
         return pairs
-    return pairs.unionByName(_follow_previous_hot(rows.where(is_hot), keys, id, order, follows))
+    return pairs.unionByName(_follow_previous_hot(rows.where(is_hot), keys, id, order, follows, copies))
 
 
 def _follow_previous_hot(
@@ -108,6 +109,7 @@ def _follow_previous_hot(
     id: str,
     order: list[str],
     follows: Callable[[Column, Column], Column],
+    copies: str | None,
 ) -> DataFrame:
     """The same for keys too large for one task.
 
@@ -116,7 +118,8 @@ def _follow_previous_hot(
     first and last row of a slice meet in a second window, where each first row finds the last
     row of the slice before.
     """
-    counted = rows.groupBy(*keys, *order).agg(F.count("*").alias("_copies"))
+    counted = rows.groupBy(*keys, *order).agg(
+        (F.count("*") if copies is None else F.sum("_copies")).alias("_copies"))
     slices = counted.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id())
 
     in_slice = Window.partitionBy(*keys, "_slice").orderBy(*order)
@@ -135,22 +138,19 @@ def _follow_previous_hot(
     in_edges = Window.partitionBy(*keys, "_lane").orderBy(*order)
     stitched = useful.withColumn("_lane", lane).withColumn("_edge_before", F.lag("_end").over(in_edges))
     prev_end = F.when(first, F.col("_edge_before")).otherwise(F.col("_before.end"))
+    return _matches_of_copies(stitched, keys, id, prev_end, follows)
+
 
-    # The first copy follows the row before, every other copy follows a copy of itself.
+def _matches_of_copies(
+    rows: DataFrame, keys: list[str], id: str, prev_end: Column, follows: Callable[[Column, Column], Column]
+) -> DataFrame:
+    """Of ``_copies`` equal rows the first follows the row before, each other one its own copy."""
     ways = F.array(
         F.struct(prev_end.alias("prev_end"), F.lit(1).cast("long").alias("_times")),
-        F.struct(end.alias("prev_end"), (F.col("_copies") - 1).alias("_times")),
+        F.struct(F.col("_end").alias("prev_end"), (F.col("_copies") - 1).alias("_times")),
     )
     matched = (
-        stitched.select(*keys, id, "_start", F.inline(ways).alias("prev_end", "_times"))
+        rows.select(*keys, id, "_start", F.inline(ways).alias("prev_end", "_times"))
         .where((F.col("_times") > 0) & follows(F.col("_start"), F.col("prev_end")))
     )
-    return _repeat(matched, "_times").select(*keys, id, "_start", "prev_end")
-
-
-def _repeat(df: DataFrame, times: str) -> DataFrame:
-    """Each row ``times`` times, with long runs of one row spread over tasks."""
-    runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / _RUN))
-    spread = df.withColumn("_run", F.explode(runs)).repartition(*df.columns, "_run")
-    length = F.least(F.lit(_RUN).cast("long"), F.col(times) - F.col("_run") * _RUN)
-    return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), length)))
+    return repeat_rows(matched, "_times").drop("_times")

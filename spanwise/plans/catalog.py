@@ -17,6 +17,7 @@ from spanwise.operators import (
     back_to_back,
     back_to_back_packed,
     find_hot_keys,
+    find_hot_keys_of_each,
     hot_rows,
     mobility,
     mobility_packed,
@@ -69,12 +70,13 @@ def b2b_mono_packed(calls: DataFrame, max_gap: int = 10_000, hot: Sequence[int]
 
 
 def b2b_bi_packed(signals: DataFrame, max_gap: int = 10_000, hot: Sequence[int] | None = None,
-                  one_per_id: bool = False) -> DataFrame:
+                  hot_ids: Sequence[int] | None = None, one_per_id: bool = False) -> DataFrame:
     """The same on calls rebuilt from their signals by id alone."""
-    if hot is None:
-        hot = find_hot_keys(_starts(signals), _CALLER)
-    calls = rebuild_spans(signals, _ID, keep=[_CALLER], time="event_ts", one_per_id=one_per_id)
-    return back_to_back_packed(calls, _CALLER, "start_time", "end_time", _ID, max_gap, hot)
+    hot, hot_ids = _find_missing(signals, hot, hot_ids, [_ID], one_per_id)
+    copies = "copies" if hot_ids else None
+    calls = rebuild_spans(signals, _ID, keep=[_CALLER], time="event_ts", one_per_id=one_per_id,
+                          hot=hot_ids, copies=copies)
+    return back_to_back_packed(calls, _CALLER, "start_time", "end_time", _ID, max_gap, hot, copies)
 
 
 def b2b_mono(calls: DataFrame, max_gap_s: int = 10, hot: Sequence[int] | None = None,
@@ -86,7 +88,8 @@ def b2b_mono(calls: DataFrame, max_gap_s: int = 10, hot: Sequence[int] | None =
 
 
 def b2b_bi(signals: DataFrame, bound: str = "4 minutes", max_gap_s: int = 10,
-           hot: Sequence[int] | None = None, one_per_id: bool = False, **stream: int) -> DataFrame:
+           hot: Sequence[int] | None = None, hot_ids: Sequence[int] | None = None,
+           one_per_id: bool = False, **stream: int) -> DataFrame:
     """The same on connected calls, rebuilt from signals of equal id and caller within ``bound``.
 
     The filters come before the look back: they decide which call is the one before. With
@@ -96,10 +99,11 @@ def b2b_bi(signals: DataFrame, bound: str = "4 minutes", max_gap_s: int = 10,
     if signals.isStreaming:
         calls = rebuild_spans(connected, _ID, [_CALLER], bound)
         return back_to_back_stream(calls, *_CALL, max_gap_s, **stream)
-    if hot is None:
-        hot = find_hot_keys(_starts(connected), _CALLER)
+    hot, hot_ids = _find_missing(connected, hot, hot_ids, [_ID, _CALLER], one_per_id)
     if not one_per_id:
-        return back_to_back(rebuild_spans(connected, _ID, [_CALLER], bound), *_CALL, max_gap_s, hot=hot)
+        copies = "copies" if hot_ids else None
+        calls = rebuild_spans(connected, _ID, [_CALLER], bound, hot=hot_ids, copies=copies)
+        return back_to_back(calls, *_CALL, max_gap_s, hot=hot, copies=copies)
 
     def pairs(part: DataFrame, hot: Sequence[int]) -> DataFrame:
         calls = rebuild_spans(part, _ID, [_CALLER], bound, one_per_id=True)
@@ -110,6 +114,19 @@ def b2b_bi(signals: DataFrame, bound: str = "4 minutes", max_gap_s: int = 10,
     return by_caller.unionByName(pairs(connected.where(is_hot), hot)) if hot else by_caller
 
 
+def _find_missing(signals, hot, hot_ids, id_keys, one_per_id) -> tuple[Sequence[int], Sequence[int]]:
+    """Callers and ids with very many signals, looked up in one pass where they are not given."""
+    if one_per_id:
+        hot_ids = []
+    if hot is None and hot_ids is None:
+        hot, hot_ids = find_hot_keys_of_each(signals, [_CALLER, id_keys])
+    if hot is None:
+        hot = find_hot_keys(signals, _CALLER)
+    if hot_ids is None:
+        hot_ids = find_hot_keys(signals, id_keys)
+    return hot, hot_ids
+
+
 @dataclass(frozen=True)
 class Query:
     """A named query: its table, its plan and, if it can run on a stream, its watermark."""

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 def spark(tmp_path_factory):
     checkpoints = tmp_path_factory.mktemp("shared")
     session = (
-        SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]")
+        SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '4')}]")
         .appName("spanwise-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")

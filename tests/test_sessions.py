@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from spanwise.operators import back_to_back, back_to_back_packed, find_hot_keys, hot_rows
+from spanwise.operators import back_to_back, back_to_back_packed, find_hot_keys, find_hot_keys_of_each, hot_rows
 from spanwise.operators import hot as hot_module
 from tests.helpers import at, bag, brute_back_to_back, calls, frame
 
@@ -97,12 +98,26 @@ def test_hot_path_splits_one_key_over_tasks(spark):
 
 
 def test_runs_of_copies_are_written_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr("spanwise.operators.sessions._RUN", 7)
+    monkeypatch.setattr("spanwise.operators.hot._RUN", 7)
     df = calls(spark, [(1, 0, 0, 0)] * 50 + [(2, 0, 4, 9)])
     got = back_to_back(df, *CALL, hot=find_hot_keys(df, "calling_party", 10))
     assert bag(got, "unique_id", "prev_end") == {(1, at(0)): 49, (2, at(0)): 1}
 
 
+def test_rows_that_stand_for_copies(spark):
+    counts = Counter(random_calls(5, 300))
+    rows = [row for row, n in counts.items() for _ in range(n)]
+    merged = calls(spark, list(counts)).join(
+        frame(spark, [(*row[:2], at(row[2]), at(row[3]), n) for row, n in counts.items()],
+              "unique_id long, calling_party long, start_time timestamp_ntz, end_time timestamp_ntz, n long"),
+        ["unique_id", "calling_party", "start_time", "end_time"])
+    owner = find_hot_keys(merged, "calling_party", 80)
+    assert len(owner) == 1 and max(counts.values()) > 1
+    for hot in ([], owner):
+        got = back_to_back(merged, *CALL, max_gap_s=3, hot=hot, copies="n")
+        assert bag(got, *EVIDENCE) == brute_back_to_back(rows, 3)
+
+
 def test_hot_path_packed(spark):
     df = calls(spark, random_calls(2, 600)).selectExpr(
         "unique_id", "calling_party",
@@ -120,6 +135,8 @@ def test_found_hot_keys(spark):
     hot = find_hot_keys(df.repartition(6), "k", min_rows=5_000)
     assert df.where(hot_rows("k", hot)).select("k").distinct().collect()[0].k == "busy"
     assert find_hot_keys(df, "k", min_rows=20_000) == []
+    pair = find_hot_keys_of_each(df.withColumn("j", F.lit(1)), ["j", ["k", "j"]], min_rows=5_000)
+    assert [len(found) for found in pair] == [1, 1]
     assert find_hot_keys(df.where("false"), "k") == []
     assert hot_module.HOT_ROWS > 20_000
 
