@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # Rows of one key that a single sort task handles with ease (some 100 MB of narrow rows).
 HOT_ROWS = 5_000_000
 
+# Signals of one id that are counted before they are paired: an id has two as a rule.
+HOT_SIGNALS = 10_000
+
 # Fixed-size sketch: every key above about 3.5 / 16384 of all rows is found.
 _TRACKED = 10_000
 _TOP = 1_000
@@ -35,22 +38,23 @@ def find_hot_keys(df: DataFrame, key: str | Sequence[str], min_rows: int = HOT_R
     merged in two steps, so neither the number of keys nor the size of a group matters. The
     counts are estimates: they choose how rows are spread, never which rows there are.
     """
-    return find_hot_keys_of_each(df, [key], min_rows)[0]
+    return find_hot_keys_of_each(df, (key, min_rows))[0]
 
 
-def find_hot_keys_of_each(
-    df: DataFrame, several: Sequence[str | Sequence[str]], min_rows: int = HOT_ROWS
-) -> list[list[int]]:
-    """``find_hot_keys`` for several choices of key in the same pass."""
-    names = [f"k{i}" for i in range(len(several))]
-    hashes = df.select([F.xxhash64(*_keys(key)).alias(n) for n, key in zip(names, several)])
+def find_hot_keys_of_each(df: DataFrame, *several: tuple[str | Sequence[str], int]) -> list[list[int]]:
+    """``find_hot_keys`` for several pairs of key and ``min_rows`` in the same pass."""
+    least = {f"k{i}": min_rows for i, (_, min_rows) in enumerate(several)}
+    names = list(least)
+    hashes = df.select([F.xxhash64(*_keys(key)).alias(n) for n, (key, _) in zip(names, several)])
     sketches = hashes.groupBy(F.pmod(F.spark_partition_id(), F.lit(_MERGERS)).alias("g")).agg(
         *[F.expr(f"approx_top_k_accumulate({n}, {_TRACKED})").alias(n) for n in names])
     # Grouped by a constant, so that an empty input gives no sketch at all.
     merged = sketches.groupBy(F.lit(0).alias("g")).agg(
         *[F.expr(f"approx_top_k_estimate(approx_top_k_combine({n}, {_TRACKED}), {_TOP})").alias(n) for n in names])
-    found = merged.select(*[F.filter(n, lambda i: i["count"] >= min_rows).alias(n) for n in names]).first()
-    return [[item["item"] for item in found[n]] if found else [] for n in names]
+    tops = merged.select(names).first()
+    if tops is None:
+        return [[] for _ in names]
+    return [[top["item"] for top in tops[n] if top["count"] >= least[n]] for n in names]
 
 
 def repeat_rows(df: DataFrame, times: str) -> DataFrame:

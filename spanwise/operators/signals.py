@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.durations import interval_sql, slice_number, to_micros
-from spanwise.operators.hot import find_hot_keys, hot_rows, repeat_rows
+from spanwise.operators.hot import HOT_SIGNALS, find_hot_keys, hot_rows, repeat_rows
 
 START, END = 0, 1
 
@@ -78,7 +78,7 @@ def rebuild_spans(
         return pairs.select(*on, *keep, "start_time", "end_time")
 
     if hot is None:
-        hot = find_hot_keys(signals, on)
+        hot = find_hot_keys(signals, on, HOT_SIGNALS)
     is_hot = hot_rows(on, hot)
     single = _pair(starts.where(~is_hot), ends.where(~is_hot), on, bound) if hot else _pair(starts, ends, on, bound)
     single = single.select(*on, *keep, "start_time", "end_time")

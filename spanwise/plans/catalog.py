@@ -23,6 +23,7 @@ from spanwise.operators import (
     mobility_packed,
     rebuild_spans,
 )
+from spanwise.operators.hot import HOT_ROWS, HOT_SIGNALS
 from spanwise.operators.signals import START
 from spanwise.streaming.sessions import back_to_back_stream
 
@@ -119,11 +120,11 @@ def _find_missing(signals, hot, hot_ids, id_keys, one_per_id) -> tuple[Sequence[
     if one_per_id:
         hot_ids = []
     if hot is None and hot_ids is None:
-        hot, hot_ids = find_hot_keys_of_each(signals, [_CALLER, id_keys])
+        hot, hot_ids = find_hot_keys_of_each(signals, (_CALLER, HOT_ROWS), (id_keys, HOT_SIGNALS))
     if hot is None:
         hot = find_hot_keys(signals, _CALLER)
     if hot_ids is None:
-        hot_ids = find_hot_keys(signals, id_keys)
+        hot_ids = find_hot_keys(signals, id_keys, HOT_SIGNALS)
     return hot, hot_ids
 
 

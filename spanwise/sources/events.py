@@ -22,8 +22,8 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = events(spark, sf_dir).schema
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
+        # As a pattern the path may be one file as well as a folder of files.
+        .parquet(f"{sf_dir}/event[s].parquet")
         .withColumn("ts", F.col("ts").cast("timestamp"))
     )
 

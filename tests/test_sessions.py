@@ -135,8 +135,8 @@ def test_found_hot_keys(spark):
     hot = find_hot_keys(df.repartition(6), "k", min_rows=5_000)
     assert df.where(hot_rows("k", hot)).select("k").distinct().collect()[0].k == "busy"
     assert find_hot_keys(df, "k", min_rows=20_000) == []
-    pair = find_hot_keys_of_each(df.withColumn("j", F.lit(1)), ["j", ["k", "j"]], min_rows=5_000)
-    assert [len(found) for found in pair] == [1, 1]
+    pair = find_hot_keys_of_each(df.withColumn("j", F.lit(1)), ("k", 20_000), (["k", "j"], 5_000))
+    assert [len(found) for found in pair] == [0, 1]
     assert find_hot_keys(df.where("false"), "k") == []
     assert hot_module.HOT_ROWS > 20_000
 
