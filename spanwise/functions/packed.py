@@ -55,10 +55,11 @@ def parse_packed(value: Column | str) -> Column:
 def to_packed(ts: Column | str) -> Column:
     """Timestamp to packed digits as a long; anything below a millisecond is cut off."""
     ts = _column(ts)
-    millis = F.floor(F.extract(F.lit("SECOND"), ts) * MILLIS_PER_SECOND)
-    fields = ((F.year, YEAR_UNIT), (F.month, MONTH_UNIT), (F.day, DAY_UNIT),
-              (F.hour, HOUR_UNIT), (F.minute, MINUTE_UNIT))
-    packed = millis.cast("long")
+    # Time zones differ by whole seconds, so what is below a second needs no zone (and no decimals).
+    micros = F.pmod(F.unix_micros(ts.cast("timestamp")), F.lit(1_000_000).cast("long"))
+    fields = ((F.year, YEAR_UNIT), (F.month, MONTH_UNIT), (F.day, DAY_UNIT), (F.hour, HOUR_UNIT),
+              (F.minute, MINUTE_UNIT), (F.second, MILLIS_PER_SECOND))
+    packed = _div(micros, 1_000)
     for part, unit in fields:
         packed = packed + part(ts).cast("long") * F.lit(unit)
     return packed

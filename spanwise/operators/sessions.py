@@ -87,7 +87,7 @@ def _follow_previous(
     rows = df.where(F.col(start).isNotNull()).select(
         *keys, id, F.col(start).alias("_start"), F.col(end).alias("_end"), *weight)
     if hot is None:
-        hot = find_hot_keys(rows, keys)
+        hot = find_hot_keys(df, keys)  # reads the key columns only
     order = ["_start", id, "_end"]
     is_hot = hot_rows(keys, hot)
 
