@@ -43,7 +43,7 @@ _BLOB = "batch binary"
 _NO_END = 2**62
 
 # Columns that only the step between the two operators needs.
-_STEP = {"lane", "lane_or_spread", "emit", "prev_us", "match"}
+_STEP = {"lane", "lane_or_spread", "emit", "slice_end_us", "prev_us", "match"}
 
 # The processors travel to the executors as code: this package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -89,6 +89,7 @@ def back_to_back_stream(
     edges = T.StructType([
         T.StructField("lane", T.IntegerType()),
         T.StructField("emit", T.TimestampType()),
+        T.StructField("slice_end_us", long),
         *row,
         T.StructField("start_us", long),
         T.StructField("end_us", long),
@@ -166,7 +167,9 @@ class _Rule:
 
     def compare(self, rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
         """Rows in order with ``prev_us``; whether each is its key's first, its last, and a match."""
-        order = pc.sort_indices(rows, sort_keys=self._order, null_placement="at_start")
+        # Of equal rows at the edges of a slice, the first stays first.
+        by = [*self._order, ("first", "descending")] if "first" in rows.column_names else self._order
+        order = pc.sort_indices(rows, sort_keys=by, null_placement="at_start")
         rows = rows.take(order).combine_chunks()
         first = ~self._same_key(rows)
         last = np.append(first[1:], True)
@@ -245,9 +248,10 @@ class _SliceLag(StatefulProcessor):
         parts = [rows.filter(pa.array(mask)).append_column("match", pa.array(np.full(mask.sum(), flag)))
                  for mask, flag in ((match, True), (edge, False))]
         # Past the watermark of the batch before, as a row that leaves must be.
-        emit = pd.Timestamp(self._end_ms(key) + 1, unit="ms")
+        end_ms = self._end_ms(key)
+        emit = pd.Timestamp(end_ms + 1, unit="ms", tz="UTC")
         out = pa.concat_tables(parts).to_pandas()
-        yield out.assign(lane=int(key[0]), emit=emit)[self._output]
+        yield out.assign(lane=int(key[0]), emit=emit, slice_end_us=end_ms * 1_000)[self._output]
 
     def _end_ms(self, key: Any) -> int:
         return (int(key[1]) + 1) * self._slice_ms
@@ -268,15 +272,15 @@ class _EdgeCarry(StatefulProcessor):
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues
     ) -> Iterator[pd.DataFrame]:
-        edges, newest = [], None
+        # Rows still to come start at or after the end of the newest slice seen here.
+        edges, newest_us = [], -_NO_END
         for batch in rows:
             matches = batch[batch["match"]]
             if len(matches):
                 yield matches[self._output]
             arrived = batch[~batch["match"]]
             if len(arrived):
-                emit = arrived["emit"].max()
-                newest = emit if newest is None else max(newest, emit)
+                newest_us = max(newest_us, int(arrived["slice_end_us"].max()))
                 # ``first`` also says that a row is yet to be compared with the row before.
                 edges.append(_table(arrived[[c for c in arrived if c not in _STEP]]))
         if not edges:
@@ -287,9 +291,7 @@ class _EdgeCarry(StatefulProcessor):
         found = match & ordered["first"].to_numpy()
         if found.any():
             yield ordered.filter(pa.array(found)).select(self._output).to_pandas()
-        # Rows still to come start at or after the end of the newest slice seen here.
-        from_us = (newest.value // 1_000_000 - 1) * 1_000
-        keep = last & self._rule.may_be_followed(ordered, from_us)
+        keep = last & self._rule.may_be_followed(ordered, newest_us)
         if keep.any():
             carried = ordered.filter(pa.array(keep)).drop_columns(["first", "prev_us"])
             carried = carried.append_column("first", pa.array(np.zeros(len(carried), dtype=bool)))

@@ -86,10 +86,18 @@ def test_long_call_keeps_waiting_for_its_follower(spark, feed, tmp_path):
 def test_missing_values_and_rule_options(spark, feed, tmp_path):
     rows = [(1, 7, 0, 10), (2, 7, 10, None), (3, 7, 12, 14), (4, None, 0, 3), (5, None, 3, 4), (6, None, 5, 6),
             (7, 9, 0, 1), (8, 9, 11.999999, 12), (9, 9, 23, 24)]
+    # Copies, alone in their slice or not, after a row of the slice before.
+    rows += [(20, 3, 94, 95), *[(21, 3, 100, 100)] * 3, (22, 3, 104, 104), (22, 3, 104, 104), (23, 3, 104.5, 105)]
     feed.add([*rows, (10, 7, None, 3), MARK])
     got, _ = finish(sequential(feed.stream(), slice_s=5), tmp_path, "a")
     assert bag(got, *EVIDENCE) == brute_back_to_back(rows)
-    strict, _ = finish(sequential(feed.stream(), allow_zero=False, slice_s=60), tmp_path, "b")
+    # The session's time zone does not matter.
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        strict, _ = finish(sequential(feed.stream(), allow_zero=False, slice_s=60), tmp_path, "b")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
     assert bag(strict, *EVIDENCE) == brute_back_to_back(rows, allow_zero=False)
 
 
