@@ -18,6 +18,13 @@ from spanwise.sources import events as ev
 from spanwise.sources import read_spans, write_spans
 from spanwise.streaming import shared_folder, slice_length, stream_result
 
+try:
+    from spanwise.llm import registry as corpus
+except ModuleNotFoundError as missing:  # the folder may be left out; anything else it lacks is an error
+    if missing.name != "spanwise.llm":
+        raise
+    corpus = None
+
 HOUR_S = 3600
 DAY_PACKED = 1_000_000_000
 SLICE_ROWS = 3_000_000
@@ -146,6 +153,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per implemented query."""
+    return _span_queries() | (corpus.queries() if corpus else {})
+
+
+def _span_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "mobility_mono_5s_exact": _batch(
             "mobility_mono_5s_exact", _full_mono_towers, width=DAY_PACKED, threshold=2),
@@ -268,7 +279,11 @@ def _slice_end_by(limit: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The same results in DuckDB SQL."""
+    """The same results in DuckDB SQL, of every query that SQL can express."""
+    return _span_texts() | (corpus.oracle_sql() if corpus else {})
+
+
+def _span_texts() -> dict[str, str]:
     start, end, event = (_DUCK_PACKED.format(c) for c in ("start_time", "end_time", "event_time"))
     enter = "event_type = 0"
     connected = "disposition = 'connected'"

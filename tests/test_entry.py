@@ -8,7 +8,7 @@ import __spark_entry__ as contract
 from tests.oracle import connect, duck_rows, spark_rows
 
 SF = "/root/testdata/sf0.001"
-QUERIES, TEXTS = contract.queries(), contract.oracle_sql()
+QUERIES, TEXTS = contract._span_queries(), contract._span_texts()
 
 
 @pytest.fixture(scope="module")
