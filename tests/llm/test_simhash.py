@@ -1,0 +1,76 @@
+"""SimHash against plain loops: fingerprints, links and components."""
+
+from __future__ import annotations
+
+import random
+
+import xxhash
+from pyspark.sql import functions as F
+
+from spanwise.llm import registry, simhash
+
+SCHEMA = "doc_id long, text string, fp string"
+
+
+def brute_print(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_classes(prints):
+    """Least reachable id by flooding over all pairs of values."""
+    label = dict(prints)
+    ids = {}
+    for i, fp in prints:
+        ids[fp] = min(ids.get(fp, i), i)
+    changed = True
+    while changed:
+        changed = False
+        for a in ids:
+            low = min(ids[b] for b in ids if (a ^ b).bit_count() <= 2)
+            if low < ids[a]:
+                ids[a], changed = low, True
+    return {i: ids[fp] for i, fp in label.items()}
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    base = [" ".join(rng.choices(words, k=rng.randint(1, 120))) for _ in range(60)]
+    texts = base + base[:20] + [t.replace("w1 ", "w2 ", 1) for t in base] + [None, "", " \x1f ", "İ É x", "A b", "a B"]
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in registry.op7_simhash(spark, str(tmp_path)).collect()}
+    prints = [(i, brute_print(t)) for i, t, _ in rows]
+    classes = brute_classes(prints)
+    assert got == {i: (f"{fp:016x}", classes[i]) for i, fp in prints}
+
+
+def test_links_of_dense_and_chained_values(spark):
+    rng = random.Random(5)
+    values, at = [], rng.getrandbits(64)
+    for _ in range(150):  # a chain of single and double flips, and a ball around its end
+        at ^= 1 << rng.randrange(64) | 1 << rng.randrange(64)
+        values.append(at)
+    values += [at ^ 1 << rng.randrange(64) for _ in range(80)] + [rng.getrandbits(64) for _ in range(80)] + [0, 3, 1 << 63, -1 % 2**64]
+    prints = list(enumerate(values))
+    signed = [(i, v - 2**64 if v >> 63 else v) for i, v in prints]
+    nodes = spark.createDataFrame(signed, "node long, fp long").groupBy("fp").agg(F.min("node").alias("node"))
+    kept = nodes.join(simhash.linked_candidates(nodes), "fp")
+    reached = {r.node: r.component for r in simhash.components(simhash.star_edges(kept)).collect()}
+    first = {}
+    for i, v in prints:
+        first.setdefault(v, i)
+    classes = brute_classes(prints)
+    assert {i: reached.get(first[v], first[v]) for i, v in prints} == classes
+
+
+def test_null_ids_copies_and_empty_table(spark):
+    rows = [(None, "a b c d", ""), (7, "a b c d", ""), (7, "a b c d", ""), (None, "only here now", "")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 7), (7, 7), (7, 7), (None, None)], key=str)
+    assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
