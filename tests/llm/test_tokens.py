@@ -1,0 +1,75 @@
+"""Token files: library ids, order, offsets, layout and selective reads."""
+
+from __future__ import annotations
+
+import random
+import zlib
+from pathlib import Path
+
+import numpy as np
+import public_tokenizers
+import pyarrow.parquet as pq
+import pytest
+from tokenizers import Tokenizer
+
+from spanwise.llm import registry, tokens
+
+PATH = public_tokenizers.path(registry.WORD_VOCABULARY)
+SCHEMA = "doc_id long, text string, part string"
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+def brute(library, rows):
+    out, at = [], 0
+    for i, t, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        out.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    return out
+
+
+def test_pieces_equal_whole_texts(library):
+    with open(PATH, "rb") as f:
+        encoder = tokens.PieceEncoder(f.read())
+    rng = random.Random(2)
+    pool = [*"ab's AÉ\n\t\xa0", "é", " ́", "<|endoftext|>", "<|startoftext|>", "İ", "ß", "あ", "12", "🙂", " the"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(800)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(e, "<u4").tolist() for e in encoder.encode(texts)] == want
+
+
+def test_query_on_edges(spark, library, tmp_path):
+    rows = [(9, "b c", "x"), (9, "b c", "x"), (9, "a", None), (2, None, ""), (None, "no id", ""), (5, "", ""), (1, "long " * 40_000, "")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in registry.op6_tokens(spark, str(tmp_path)).collect()), key=lambda r: r[1])
+    assert got == brute(library, rows)
+
+
+def test_parts_layout_and_selective_reads(spark, library, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["the", "and", "ration", "éa"], k=rng.randint(0, 60))), "") for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    out = str(tmp_path / "tokens")
+    tokens.write_tokens(df, out, PATH, part_bytes=100_000)
+    want = brute(library, rows)
+    assert sorted(map(tuple, tokens.token_crc(tokens.read_tokens(spark, out)).collect())) == want
+    some = tokens.read_tokens(spark, out, 700, 705)
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in some.collect()) == [w[:3] for w in want[700:706]]
+    assert "token_ids" not in tokens.read_metadata(spark, out)._jdf.queryExecution().executedPlan().toString()
+    files = sorted(Path(out).glob("*.parquet"))
+    assert len(files) > 1
+    group = pq.ParquetFile(files[0]).metadata.row_group(0)
+    columns = {group.column(i).path_in_schema.split(".")[0]: group.column(i) for i in range(group.num_columns)}
+    assert "RLE_DICTIONARY" in columns["token_ids"].encodings
+    assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings
+    assert columns["token_ids"].has_offset_index and columns["doc_id"].has_column_index
+
+
+def test_empty_table(spark, tmp_path):
+    out = str(tmp_path / "tokens")
+    tokens.write_tokens(spark.createDataFrame([], SCHEMA), out, PATH)
+    assert tokens.token_crc(tokens.read_tokens(spark, out)).collect() == []
