@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanwise.llm import bpe, simhash, tokens
+from spanwise.llm import bpe, contamination, credentials, simhash, tokens
 from spanwise.llm.common import shared_path
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -16,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     tokens.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_VOCABULARY))
@@ -27,14 +32,26 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = credentials.secret_report(_table(spark, sf_dir, "documents"))
+    base = credentials.base_spans(F.col("spans"))
+    counts = [F.size(F.filter(base, lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{kind[0]}")
+              for n, kind in enumerate(credentials.KINDS[:credentials.BASE])]
+    return report.select(
+        "doc_id", *counts, F.sha2(credentials.span_text(base), 256).alias("base_sha256"),
+        credentials.span_text(F.col("spans")).alias("spans"), "n_live", "n_copied", "n_sample")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
 
 def queries() -> dict:
     return {
+        "op4_decontamination": op4_decontamination,
         "op6_tokens": op6_tokens,
         "op7_simhash": op7_simhash,
+        "op9_secrets": op9_secrets,
         "op10_bpe": op10_bpe,
     }
 
