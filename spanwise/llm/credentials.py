@@ -132,6 +132,11 @@ def base_spans(spans: Column) -> Column:
     return F.filter(spans, lambda s: s["kind"] < BASE)
 
 
+def kind_count(spans: Column, number: int) -> Column:
+    """How many spans are of one kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == number)).cast("long")
+
+
 def _masked(text: Column, spans: Column) -> Column:
     """The text with each span, or run of overlapping spans, replaced by the mask. spans: by start."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe, contamination, credentials, simhash, tokens
+from spanwise.llm import bpe, chat, contamination, credentials, pages, search, simhash, tokens
 from spanwise.llm.common import shared_path
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -17,10 +17,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
+                                  "conv_id long, turn long, role string, text string")
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    back = chat.read_back(chat.format_conversations(table.unionByName(probe)))
+    return back.select(
+        "conv_id", "n_turns", F.sha2("turns_text", 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.main_text(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     tokens.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_VOCABULARY))
@@ -32,10 +49,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = search.whole_numbers(_table(spark, sf_dir, "embeddings"))
+    return search.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = credentials.secret_report(_table(spark, sf_dir, "documents"))
     base = credentials.base_spans(F.col("spans"))
-    counts = [F.size(F.filter(base, lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{kind[0]}")
+    counts = [credentials.kind_count(base, n).alias(f"n_{kind[0]}")
               for n, kind in enumerate(credentials.KINDS[:credentials.BASE])]
     return report.select(
         "doc_id", *counts, F.sha2(credentials.span_text(base), 256).alias("base_sha256"),
@@ -48,9 +70,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_chat": op1_chat,
         "op4_decontamination": op4_decontamination,
+        "op5_main_text": op5_main_text,
         "op6_tokens": op6_tokens,
         "op7_simhash": op7_simhash,
+        "op8_top_k": op8_top_k,
         "op9_secrets": op9_secrets,
         "op10_bpe": op10_bpe,
     }
