@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from spanwise.llm.common import map_texts, stored
 
@@ -104,15 +105,16 @@ def _cells(fp):
 def linked_candidates(distinct: DataFrame) -> DataFrame:
     """The fingerprints that share a cell with another one, so that the lower bound leaves them."""
     cells = distinct.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
-    busy = cells.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("cell")
-    return cells.join(busy, "cell", "left_semi").select("fp").distinct()
+    beside = Window.partitionBy("cell").orderBy("fp")
+    shared = F.lag("fp").over(beside).isNotNull() | F.lead("fp").over(beside).isNotNull()
+    return cells.withColumn("shared", shared).where("shared").select("fp").distinct()
 
 
 def star_edges(nodes: DataFrame) -> DataFrame:
     """Edges (a, b), a > b, among ``node`` that connect just what links; nodes: ``fp``, ``node``."""
     values = nodes.select("node", F.explode(_bit_flips(F.col("fp"))).alias("value"))
-    centres = values.groupBy("value").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b < high")
-    return (values.join(centres.select("value", "b"), "value").where("node > b")
+    reach = Window.partitionBy("value")  # of 65 fingerprints at most
+    return (values.withColumn("b", F.min("node").over(reach)).where("node > b")
             .select(F.col("node").alias("a"), "b").distinct())
 
 
