@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe, chat, contamination, credentials, pages, search, simhash, tokens
+from spanwise.llm import bpe, chat, contamination, credentials, language, ngram, pages, search, simhash, tokens
 from spanwise.llm.common import shared_path
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -29,6 +29,20 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         "formatted_chars")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.held_out(F.col("doc_id"), 4, 2)
+    model = language.train(docs.where(~out))
+    found = language.identify(docs, model, ["doc_id"])
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = ngram.score_texts(docs, ~language.held_out(F.col("doc_id"), 7, 2))
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +85,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_chat": op1_chat,
+        "op2_language": op2_language,
+        "op3_ngram": op3_ngram,
         "op4_decontamination": op4_decontamination,
         "op5_main_text": op5_main_text,
         "op6_tokens": op6_tokens,
