@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+#: Rows of a few numbers or one shingle each that may be sent to every executor: some tens of MB.
+SENT_ROWS = 500_000
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -65,6 +67,11 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """A stored frame, marked for sending to all executors if it holds ``rows`` rows at most."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, from one pass that reads nothing else."""
     return df.select(F.sum(F.octet_length(column))).first()[0] or 0

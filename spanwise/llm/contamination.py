@@ -8,7 +8,7 @@ gives each item a MinHash sketch of its u - ceil(0.8 u) + 1 smallest shingle has
 contains lacks fewer shingles there than its sketch has, so a document without any sketch value cannot contain
 it: the search loses nothing, however long the document. What it finds is verified on the shingles themselves.
 
-Sketches and item shingles are sent to all executors only up to ``BROADCAST_ROWS`` rows, counted first; beyond,
+Sketches and item shingles are sent to all executors only up to a number of rows (``common.SENT_ROWS``), counted first; beyond,
 the joins are ordinary ones. No text moves but that of documents found by the search.
 
 Results: one row per document and contained item. Rows of one doc_id are one document. Rows with null doc_id,
@@ -20,12 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import stored
+from spanwise.llm.common import small, stored
 
 SHINGLE_WORDS = 5
 #: Containment as a fraction of whole numbers, so that the comparison is exact.
 CONTAINMENT = (4, 5)
-BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -47,11 +46,6 @@ def shingle_texts(tokens: Column, width: int = SHINGLE_WORDS) -> Column:
     return _shingled(tokens, lambda run: F.array_join(run, " "), width)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored frame, marked for sending to all executors if it holds ``rows`` rows at most."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def item_shingles(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """Distinct shingles of the items: ``item_id``, ``shingle``, ``hash``, and ``n_shingles`` of the item."""
     each = (items.where(F.col(item_id).isNotNull())

@@ -211,8 +211,13 @@ def label_texts(model: Model, texts: list[str], switch: float = SWITCH):
     return text, start, end, letters, viterbi(np.concatenate(scores), counts, switch)
 
 
-def identify(df: DataFrame, model: Model, keep: list[str], text: str = "text", switch: float = SWITCH) -> DataFrame:
-    """The columns ``keep``, with ``lang_pred``, ``score`` and ``lang_spans`` (in code points) of each text."""
+def identify(df: DataFrame, model: Model, keep: list[str], text: str = "text", switch: float = SWITCH,
+             prefix: str = "") -> DataFrame:
+    """The columns ``keep``, with ``lang_pred``, ``score`` and ``lang_spans`` (in code points) of each text.
+
+    A ``prefix`` before these three names keeps them apart from columns of the same name.
+    """
+    added = [prefix + n for n in ("lang_pred", "score", "lang_spans")]
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -241,15 +246,25 @@ def identify(df: DataFrame, model: Model, keep: list[str], text: str = "text", s
             offsets = np.searchsorted(of[heads], np.arange(n + 1)).astype(np.int32)
             return pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in keep), names.take(pa.array(best.astype(np.int32))), pa.array(score),
-                 pa.ListArray.from_arrays(pa.array(offsets), spans)], [*keep, "lang_pred", "score", "lang_spans"])
+                 pa.ListArray.from_arrays(pa.array(offsets), spans)], [*keep, *added])
 
         return step
 
     fields = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep]
-    schema = ", ".join([*fields, "lang_pred string", "score double", f"lang_spans {SPANS}"])
+    schema = ", ".join([*fields, *(f"`{n}` {t}" for n, t in zip(added, ("string", "double", SPANS)))])
     return map_texts(df.select(*dict.fromkeys([*keep, text])), schema, make, text, SLICE)
 
 
+def recognised(df: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows whose text has a language with a score of ``least`` or more, with all their columns."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    found = identify(df, model, df.columns, prefix=prefix)
+    known = (F.col(f"{prefix}lang_pred") != UNKNOWN) & (F.col(f"{prefix}score") >= least)
+    return found.where(known).select(df.columns)
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves the remainder; rows without id are held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(True))

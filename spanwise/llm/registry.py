@@ -82,6 +82,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_chat": op1_chat,
@@ -94,6 +100,7 @@ def queries() -> dict:
         "op8_top_k": op8_top_k,
         "op9_secrets": op9_secrets,
         "op10_bpe": op10_bpe,
+        "pipeline": pipeline,
     }
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from spanwise.llm.common import map_texts, stored
+from spanwise.llm.common import map_texts, small, stored
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -150,6 +150,24 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """One document of each component, that of the smallest doc_id, with all its columns.
+
+    Rows of one doc_id are one document: it goes if any of them belongs to a smaller id, else the first by text stays.
+    Rows without doc_id stay. Only documents whose id repeats are moved; the others meet a list of ids that is sent to
+    all executors up to its checked size.
+    """
+    found = stored(near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "copies")
+    gone = small(stored(found.where("component_id < doc_id").select("doc_id"), "gone"))
+    again = small(stored(found.where("component_id = doc_id AND rows > 1").select("doc_id"), "repeated"))
+    once = docs.join(gone, "doc_id", "left_anti").join(again, "doc_id", "left_anti").select(docs.columns)
+    order = Window.partitionBy("doc_id").orderBy("text")
+    first = (docs.join(again, "doc_id", "left_semi").withColumn("_place", F.row_number().over(order))
+             .where("_place = 1").select(docs.columns))
+    return once.unionByName(first)
+
+
 def hex_of(fp) -> F.Column:
     """A fingerprint as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
