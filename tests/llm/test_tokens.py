@@ -37,7 +37,8 @@ def test_pieces_equal_whole_texts(library):
         encoder = tokens.PieceEncoder(f.read())
     rng = random.Random(2)
     pool = [*"ab's AÉ\n\t\xa0", "é", " ́", "<|endoftext|>", "<|startoftext|>", "İ", "ß", "あ", "12", "🙂", " the"]
-    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(800)]
+    latin = [*"ab'sreÀÿ×µª²½ .,<|>-\x85\xa0\x1c", "don't", "l'eau", "12", "'LL", " The"]
+    texts = ["".join(rng.choice(p) for _ in range(rng.randint(0, 40))) for _ in range(800) for p in (pool, latin)]
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(e, "<u4").tolist() for e in encoder.encode(texts)] == want
 
