@@ -16,7 +16,7 @@ from spanwise.operators import rebuild_spans
 from spanwise.plans import CATALOG
 from spanwise.sources import events as ev
 from spanwise.sources import read_spans, write_spans
-from spanwise.streaming import shared_folder, slice_length, stream_result
+from spanwise.streaming import shared_folder, stream_result
 
 try:
     from spanwise.llm import registry as corpus
@@ -27,7 +27,7 @@ except ModuleNotFoundError as missing:  # the folder may be left out; anything e
 
 HOUR_S = 3600
 DAY_PACKED = 1_000_000_000
-SLICE_ROWS = 3_000_000
+DAY_S = 86_400
 
 
 def _calls(spark, sf_dir):
@@ -56,32 +56,24 @@ def _naive(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times}) if times else df
 
 
-def _stream(name, table, **params):
-    def run(spark, sf_dir):
-        def build():
-            return _naive(CATALOG[name](table(ev.events_stream(spark, sf_dir)), **params))
-
-        return stream_result(build, spark, name)
-
-    return run
-
-
-def _sliced_stream(name, table, **params):
-    """A stream whose slices are as long as the density of the table allows, a day at most."""
+def _stream(name, table, ended=False, **params):
+    """The whole result of a stream, closed by one far later event (see ``closing_event`` for ``ended``)."""
 
     def run(spark, sf_dir):
-        slice_s = slice_length(ev.events(spark, sf_dir), "ts", SLICE_ROWS)
-        return _stream(name, table, slice_s=slice_s, **params)(spark, sf_dir)
+        def build(closing):
+            return _naive(CATALOG[name](table(ev.events_stream(spark, sf_dir, closing)), **params))
+
+        return stream_result(build, spark, name, closing=ev.closing_event(ev.events(spark, sf_dir), ended))
 
     return run
 
 
 def _rebuild_stream(spark, sf_dir):
-    def build():
-        signals = ev.bi_calls(ev.events_stream(spark, sf_dir)).withWatermark("event_time", "10 minutes")
+    def build(closing):
+        signals = ev.bi_calls(ev.events_stream(spark, sf_dir, closing)).withWatermark("event_time", "10 minutes")
         return _naive(rebuild_spans(signals, "unique_id", ["calling_party"], "4 hours"))
 
-    return stream_result(build, spark, "spans_rebuild")
+    return stream_result(build, spark, "spans_rebuild", closing=ev.closing_event(ev.events(spark, sf_dir), False))
 
 
 def _mono_packed(spark, sf_dir):
@@ -186,14 +178,15 @@ def _span_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_mono_towers_csv": _scan("mono_towers", _full_mono_towers),
         "scan_bi_towers_csv": _scan("bi_towers", _full_bi_towers),
         "mobility_mono_5s_approx_stream": _stream(
-            "mobility_mono_5s_approx", ev.mono_towers, window="1 day", threshold=2),
+            "mobility_mono_5s_approx", ev.mono_towers, ended=True, window="1 day", threshold=2),
         "mobility_bi_5s_approx_stream": _stream(
             "mobility_bi_5s_approx", ev.bi_towers, window="1 day", threshold=2),
         "mobility_mono_5m_stream": _stream("mobility_mono_5m", ev.mono_towers, window="1 day", threshold=2),
         "mobility_bi_5m_stream": _stream("mobility_bi_5m", ev.bi_towers, window="1 day", threshold=2),
         "spans_rebuild_stream": _rebuild_stream,
-        "b2b_mono_stream": _sliced_stream("b2b_mono", ev.mono_calls, max_gap_s=HOUR_S),
-        "b2b_bi_stream": _sliced_stream("b2b_bi", ev.bi_calls, bound="4 hours", max_gap_s=6 * HOUR_S),
+        "b2b_mono_stream": _stream("b2b_mono", ev.mono_calls, max_gap_s=HOUR_S, slice_s=DAY_S),
+        "b2b_bi_stream": _stream(
+            "b2b_bi", ev.bi_calls, bound="4 hours", max_gap_s=6 * HOUR_S, slice_s=DAY_S),
     }
 
 
@@ -227,29 +220,21 @@ bi_towers AS (
 """
 
 
-def _daily(table: str, time: str, where: str = "TRUE", released: str = "TRUE") -> str:
+def _daily(table: str, time: str, where: str = "TRUE") -> str:
     return _VIEWS + f"""
-SELECT * FROM (
-  SELECT time_bucket(INTERVAL 1 DAY, {time}) AS window_start,
-         time_bucket(INTERVAL 1 DAY, {time}) + INTERVAL 1 DAY AS window_end,
-         unique_id, count(DISTINCT tower_id) AS distinct_items
-  FROM {table} WHERE {where} GROUP BY 1, 2, 3 HAVING count(DISTINCT tower_id) > 2)
-WHERE {released}"""
-
-
-def _released(time: str, delay: str, table: str, where: str = "TRUE") -> str:
-    """Windows that an append-mode stream has let go: those that end by the last watermark."""
-    return (f"window_end <= (SELECT date_trunc('millisecond', max({time})) FROM {table} WHERE {where})"
-            f" - INTERVAL {delay}")
+SELECT time_bucket(INTERVAL 1 DAY, {time}) AS window_start,
+       time_bucket(INTERVAL 1 DAY, {time}) + INTERVAL 1 DAY AS window_end,
+       unique_id, count(DISTINCT tower_id) AS distinct_items
+FROM {table} WHERE {where} GROUP BY 1, 2, 3 HAVING count(DISTINCT tower_id) > 2"""
 
 
-def _follow(spans: str, gap_s: int, released: str = "TRUE") -> str:
+def _follow(spans: str, gap_s: int) -> str:
     return f"""
 SELECT calling_party, unique_id, prev_end, start_time,
        date_sub('second', prev_end, start_time) AS gap_s
 FROM (SELECT *, lag(end_time) OVER (PARTITION BY calling_party ORDER BY start_time, unique_id) AS prev_end
       FROM {spans})
-WHERE start_time >= prev_end AND date_sub('second', prev_end, start_time) <= {gap_s} AND {released}"""
+WHERE start_time >= prev_end AND date_sub('second', prev_end, start_time) <= {gap_s}"""
 
 
 def _follow_packed(spans: str, gap: int) -> str:
@@ -270,14 +255,6 @@ JOIN (SELECT * FROM bi_calls WHERE {where}) e
 WHERE s.event_type = 0 AND e.event_type = 1"""
 
 
-def _slice_end_by(limit: str) -> str:
-    """Spans whose slice an append-mode stream has let go: slices that end by the last watermark."""
-    width = f"""(SELECT 1000000 * greatest(1, least(86400, {SLICE_ROWS}
-      * (CAST(floor(epoch(max(ts))) AS BIGINT) - CAST(floor(epoch(min(ts))) AS BIGINT)) // count(ts)))
-      FROM events)"""
-    return f"(epoch_us(start_time) // {width} + 1) * {width} <= epoch_us({limit})"
-
-
 def oracle_sql() -> dict[str, str]:
     """The same results in DuckDB SQL, of every query that SQL can express."""
     return _span_texts() | (corpus.oracle_sql() if corpus else {})
@@ -287,9 +264,6 @@ def _span_texts() -> dict[str, str]:
     start, end, event = (_DUCK_PACKED.format(c) for c in ("start_time", "end_time", "event_time"))
     enter = "event_type = 0"
     connected = "disposition = 'connected'"
-    last_start = "(SELECT date_trunc('millisecond', max(start_time)) FROM mono_calls)"
-    last_connected = (f"(SELECT date_trunc('millisecond', max(event_time)) FROM bi_calls"
-                      f" WHERE {enter} AND {connected})")
     imei = "unique_id + 100000000000000 AS imei"
     cut = "date_trunc('millisecond', {0}) AS {0}"
     mono_5m = _daily("mono_towers", "start_time")
@@ -352,19 +326,12 @@ FROM mono_towers""",
         "scan_bi_towers_csv": _VIEWS + f"""
 SELECT unique_id, tower_id, event_type, CAST({event} AS VARCHAR) AS event_ts, {cut.format('event_time')}
 FROM bi_towers""",
-        "mobility_mono_5s_approx_stream": _daily(
-            "mono_towers", "end_time", released=_released("end_time", "1 SECOND", "mono_towers")),
-        "mobility_bi_5s_approx_stream": _daily(
-            "bi_towers", "event_time", enter,
-            _released("event_time", "1 MILLISECOND", "bi_towers", enter)),
-        "mobility_mono_5m_stream": _daily(
-            "mono_towers", "start_time", released=_released("start_time", "10 MINUTE", "mono_towers")),
-        "mobility_bi_5m_stream": _daily(
-            "bi_towers", "event_time", enter, _released("event_time", "5 SECOND", "bi_towers", enter)),
+        # A closed stream gives what its batch twin gives.
+        "mobility_mono_5s_approx_stream": _daily("mono_towers", "end_time"),
+        "mobility_bi_5s_approx_stream": bi_5m,
+        "mobility_mono_5m_stream": mono_5m,
+        "mobility_bi_5m_stream": bi_5m,
         "spans_rebuild_stream": bounded,
-        "b2b_mono_stream": _VIEWS + _follow(
-            "mono_calls", HOUR_S, _slice_end_by(f"{last_start} - INTERVAL 15 MINUTE")),
-        "b2b_bi_stream": _VIEWS + _follow(
-            f"({_pairs('4 HOUR', connected)})", 6 * HOUR_S,
-            _slice_end_by(f"{last_connected} - INTERVAL 10 MINUTE - INTERVAL 4 HOUR")),
+        "b2b_mono_stream": _VIEWS + _follow("mono_calls", HOUR_S),
+        "b2b_bi_stream": b2b_bi,
     }

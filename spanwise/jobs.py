@@ -10,7 +10,7 @@ import argparse
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from spanwise.plans import CATALOG
 from spanwise.sources import read_spans
@@ -31,6 +31,8 @@ def _parse(argv: Sequence[str] | None) -> argparse.Namespace:
     parser.add_argument("--trigger", default="1 second", help="interval, or 'once' to stop at the end")
     parser.add_argument("--mode", default="append", choices=["append", "update"])
     parser.add_argument("--checkpoint", help="folder to resume from")
+    parser.add_argument("--provider", help="class of the state store of a stream (RocksDB by default)")
+    parser.add_argument("--rows", type=int, help="print so many rows of a batch result at most (all by default)")
     return parser.parse_args(argv)
 
 
@@ -38,6 +40,17 @@ def _value(text: str) -> int | str:
     return int(text) if text.lstrip("-").isdigit() else text
 
 
+def _print(result: DataFrame, rows: int | None) -> None:
+    """One line per row, fetched partition by partition; says so if ``rows`` leaves some out."""
+    print("\t".join(result.columns))
+    fetched = (result if rows is None else result.limit(rows + 1)).toLocalIterator()
+    for n, row in enumerate(fetched):
+        if n == rows:
+            print(f"more rows follow; --rows {rows} ends here")
+            return
+        print("\t".join(map(str, row)))
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     args = _parse(argv)
     params = {name: _value(value) for name, _, value in (s.partition("=") for s in args.set)}
@@ -53,7 +66,8 @@ def main(argv: Sequence[str] | None = None) -> None:
         monitor = Monitor()
         spark.streams.addListener(monitor)
         trigger = None if args.trigger == "once" else args.trigger
-        run = run_stream(query(df, **params), args.sink, args.checkpoint, args.mode, trigger, args.query)
+        store = {"provider": args.provider} if args.provider else {}
+        run = run_stream(query(df, **params), args.sink, args.checkpoint, args.mode, trigger, args.query, **store)
         run.awaitTermination()
         spark.streams.removeListener(monitor)
         print(f"runtime of all micro-batches: {monitor.runtime_ms} ms")
@@ -61,7 +75,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     began = time.monotonic()
     result = query(df, **params)
     if args.sink == "console":
-        result.show(truncate=False)
+        _print(result, args.rows)
     else:
         result.write.mode("overwrite").parquet(args.sink)
     print(f"runtime: {round((time.monotonic() - began) * 1000)} ms")

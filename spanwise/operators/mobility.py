@@ -76,11 +76,13 @@ def mobility_packed(
 ) -> DataFrame:
     """The same on packed digits: rows (window_start, key..., distinct_items), in that order.
 
-    ``window_start`` is the packed bucket as a long. Only the rows above the threshold are sorted.
+    ``window_start`` is the packed bucket as a long. Values that are no numbers lie in no bucket and drop
+    out. Only the rows above the threshold are sorted.
     """
     keys = _list(key)
+    bucket = packed_bucket(time_packed, width)
     groups = (
-        df.groupBy(packed_bucket(time_packed, width).alias("window_start"), *keys)
+        df.where(bucket.isNotNull()).groupBy(bucket.alias("window_start"), *keys)
         .agg(F.count_distinct(F.col(item)).alias("distinct_items"))
         .where(F.col("distinct_items") > threshold)
     )

@@ -17,15 +17,36 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same table as a stream; ``ts`` becomes TIMESTAMP, which watermarks need."""
+def events_stream(spark: SparkSession, sf_dir: str, closing: str | None = None,
+                  files_per_batch: int | None = None) -> DataFrame:
+    """The same table as a stream; ``ts`` becomes TIMESTAMP, which watermarks need.
+
+    ``closing`` is a second folder of the same rows, for the row that ends a bounded run. ``files_per_batch`` limits what one
+    micro-batch takes, and so what its state and tasks hold.
+    """
     schema = events(spark, sf_dir).schema
-    return (
-        spark.readStream.schema(schema)
-        # As a pattern the path may be one file as well as a folder of files.
-        .parquet(f"{sf_dir}/event[s].parquet")
-        .withColumn("ts", F.col("ts").cast("timestamp"))
-    )
+
+    def read(path: str) -> DataFrame:
+        reader = spark.readStream.schema(schema)
+        return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
+
+    # As a pattern the path may be one file as well as a folder of files.
+    rows = read(f"{sf_dir}/event[s].parquet")
+    if closing is not None:
+        rows = rows.unionByName(read(closing))
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def closing_event(df: DataFrame, ended: bool) -> DataFrame:
+    """An event of nobody ten years after the last one of ``df``; no row if it is empty.
+
+    One that has not ``ended`` gives a start alone, so that it forms no span of its own.
+    """
+    value = F.lit(0.0) if ended else F.lit(None)
+    row = df.agg(F.max("ts").alias("last")).where("last IS NOT NULL").select(
+        F.lit(-1).alias("event_id"), F.expr("last + INTERVAL 10 YEARS").alias("ts"), F.lit(-1).alias("user_id"),
+        F.lit("closing").alias("event_type"), value.alias("value"), F.lit('{"k": 0}').alias("props"))
+    return row.select([F.col(f.name).cast(f.dataType) for f in df.schema.fields])
 
 
 def _end_time():

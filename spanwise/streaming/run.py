@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -70,20 +69,27 @@ def run_stream(
 
 
 def progress(query: StreamingQuery) -> list[dict]:
-    """One row per micro-batch: batch id, input rows, rows per second, latency, watermark, state rows."""
+    """One row per micro-batch that the query remembers (Spark keeps the last 100): batch id, input rows, rows per
+    second, latency, watermark, state rows, late rows. A ``Monitor`` sees every one."""
     return [_figures(p) for p in query.recentProgress]
 
 
 def _figures(p) -> dict:
-    rate = p["processedRowsPerSecond"]
+    """The figures of a micro-batch, from its progress as an object of Spark or as the mapping of its JSON."""
+
+    def of(part, name):
+        return part.get(name) if isinstance(part, dict) else getattr(part, name)
+
+    rate = of(p, "processedRowsPerSecond")
+    states = of(p, "stateOperators")
     return {
-        "batch_id": p["batchId"],
-        "input_rows": p["numInputRows"],
+        "batch_id": of(p, "batchId"),
+        "input_rows": of(p, "numInputRows"),
         "rows_per_second": None if rate is None else float(rate),
-        "latency_ms": p["durationMs"].get("triggerExecution", 0),
-        "watermark": p["eventTime"].get("watermark"),
-        "state_rows": sum(s["numRowsTotal"] for s in p["stateOperators"]),
-        "late_rows": sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"]),
+        "latency_ms": of(p, "durationMs").get("triggerExecution", 0),
+        "watermark": of(p, "eventTime").get("watermark"),
+        "state_rows": sum(of(s, "numRowsTotal") for s in states),
+        "late_rows": sum(of(s, "numRowsDroppedByWatermark") for s in states),
     }
 
 
@@ -103,12 +109,7 @@ class Monitor(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         p = event.progress
         self.runtime_ms += p.durationMs.get("triggerExecution", 0)
-        self._show({
-            "batch_id": p.batchId,
-            "input_rows": p.numInputRows,
-            "rows_per_second": p.processedRowsPerSecond,
-            "latency_ms": p.durationMs.get("triggerExecution", 0),
-        })
+        self._show(_figures(p))
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -118,29 +119,33 @@ class Monitor(StreamingQueryListener):
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which all executors can reach.
-
-    Without that setting a temporary folder is made, in local mode only.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="spanwise-")
+    """A new folder name below ``spark.checkpoint.dir``, or else below the warehouse: both are shared by a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def stream_result(build: Callable[[], DataFrame], spark: SparkSession, purpose: str = "stream",
-                  partitions: int | None = None) -> DataFrame:
+def stream_result(build: Callable[[str], DataFrame], spark: SparkSession, purpose: str = "stream",
+                  partitions: int | None = None, closing: DataFrame | None = None) -> DataFrame:
     """Run a stream over all that its source holds now and return what it emitted, as a batch frame.
 
-    The result is written by the executors to a shared folder and read from there.
+    ``build`` gets the name of a folder of Parquet files that its source reads too. It is empty until the stream has
+    taken all else; then ``closing``, rows far later than all others, goes there and the stream resumes from its
+    checkpoint. The watermark so passes every window and slice of the source, and only those of the closing
+    rows stay open. The result is written by the executors to a shared folder and read from there.
     """
     folder = shared_folder(spark, purpose)
     partitions = partitions or spark.sparkContext.defaultParallelism
+    if closing is not None:
+        closing.limit(0).write.parquet(f"{folder}/closing")
     with _settings(spark, partitions=str(partitions), zone="UTC"):
-        df = build()
+        df = build(f"{folder}/closing")
         schema = df.schema
-        query = run_stream(df, f"{folder}/rows", f"{folder}/checkpoint", trigger=None)
-        query.awaitTermination()
+
+        def run():
+            run_stream(df, f"{folder}/rows", f"{folder}/checkpoint", trigger=None).awaitTermination()
+
+        run()
+        if closing is not None:
+            closing.write.mode("append").parquet(f"{folder}/closing")
+            run()
     return spark.read.schema(schema).parquet(f"{folder}/rows")

@@ -39,6 +39,9 @@ from spanwise.durations import slice_number
 
 _BLOB = "batch binary"
 
+# Hash groups of keys, whatever the number of partitions that hold them.
+LANES = 64
+
 # Stands for the end of a span without one: later than every start, so that nothing follows it.
 _NO_END = 2**62
 
@@ -58,18 +61,17 @@ def back_to_back_stream(
     max_gap_s: int = 10,
     allow_zero: bool = True,
     slice_s: int = 60,
-    lanes: int | None = None,
+    lanes: int = LANES,
 ) -> DataFrame:
     """Streaming twin of ``back_to_back`` with the same columns.
 
     ``start`` must carry a watermark. A pair is emitted once the watermark has passed the slice of
-    ``slice_s`` seconds in which its second span starts; ``slice_length`` suggests a length. ``lanes`` is the number of hash groups of
-    keys, by default twice the shuffle partitions; like ``slice_s`` it must stay the same for the
-    life of a checkpoint. Needs the RocksDB state store, which ``run_stream`` selects.
+    ``slice_s`` seconds in which its second span starts: a longer slice emits later and costs fewer calls, and
+    bounds what one key brings to a task; the pairs are the same. ``lanes`` is the number of hash groups of
+    keys. Both are plain numbers that no session setting changes, and must stay the same for the life of a
+    checkpoint. Needs the RocksDB state store, which ``run_stream`` selects.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    if lanes is None:
-        lanes = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     start_us, end_us = F.unix_micros(start), F.unix_micros(F.col(end).cast("timestamp"))
     # Own names inside: the rows reach Python as named tuples, which rename some columns.
     fields = [_Field(df, name, f"key_{i}") for i, name in enumerate(keys)]
@@ -118,23 +120,6 @@ def back_to_back_stream(
     )
 
 
-def slice_length(df: DataFrame, time: str, rows: int = 3_000_000, longest_s: int = 86_400) -> int:
-    """Seconds of a slice that holds about ``rows`` rows of all keys together, for ``slice_s``.
-
-    Looks at the time column of a batch frame with the same kind of data. The rows that one key has
-    in one slice meet in one Python task, so where one key may hold a third of all rows, such a slice
-    brings it a million.
-    """
-    seen = df.agg(
-        F.count(time).alias("n"),
-        F.unix_seconds(F.max(time).cast("timestamp")).alias("last"),
-        F.unix_seconds(F.min(time).cast("timestamp")).alias("first"),
-    ).first()
-    if not seen["n"]:
-        return longest_s
-    return max(1, min(longest_s, (seen["last"] - seen["first"]) * rows // seen["n"]))
-
-
 class _Field:
     """A column on its way through pandas, where a number next to a missing one becomes a float.
 

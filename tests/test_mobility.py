@@ -58,6 +58,13 @@ def test_packed_is_sorted(spark):
     assert all(start % 5000 == 0 and n > 1 for start, _, n in got)
 
 
+def test_packed_values_that_are_no_numbers_drop_out(spark):
+    rows = [(1, f"T{n}", v) for n, v in enumerate(["junk", "x", None, "20251201100000000", "20251201100001000"])]
+    df = frame(spark, rows, "unique_id long, tower_id string, end_ts string")
+    got = [tuple(r) for r in mobility_packed(df, "unique_id", "tower_id", "end_ts", 5000, 1).collect()]
+    assert got == [(20251201100000000, 1, 2)]
+
+
 def test_busy_key_is_combined_before_the_shuffle_and_spread_by_item(spark):
     df = spark.range(1000).select(F.lit(1).alias("k"), (F.col("id") % 7).alias("i"),
                                   F.timestamp_micros(F.col("id")).alias("t"))

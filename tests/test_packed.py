@@ -22,6 +22,9 @@ CASES = [
     ("2025120109595000", None),
     ("202512010959500001", None),
     ("+2025120109595000", None),
+    ("020251201100002000", None),
+    ("000020251201100002000", None),
+    ("+20251201100002000", None),
     ("-2025120109595000", None),
     ("2025120109595000.5", None),
     ("junk", None),

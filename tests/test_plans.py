@@ -72,7 +72,9 @@ def test_one_per_id_shares_the_shuffle(spark):
 def test_batch_job(spark, base, tmp_path, capsys):  # noqa: F811
     jobs.main(["b2b_mono", str(base / "mono_signal_calls")])
     out = capsys.readouterr().out
-    assert "9000000001" in out and "runtime:" in out
+    assert "9000000001" in out and "runtime:" in out and "more rows" not in out
+    jobs.main(["mobility_bi_total", str(base / "bi_signal_towers"), "--set", "threshold=1", "--rows", "0"])
+    assert "more rows follow; --rows 0 ends here" in capsys.readouterr().out
     jobs.main(["mobility_bi_total", str(base / "bi_signal_towers"), "--sink", str(tmp_path / "o"),
                "--set", "threshold=3"])
     assert spark.read.parquet(str(tmp_path / "o")).count() == 1

@@ -125,6 +125,36 @@ def test_restart_resumes_from_the_checkpoint(spark, feed, tmp_path):
     assert sum(f["input_rows"] for f in figures) == 1
 
 
+def test_restart_under_other_shuffle_partitions_loses_no_pair(spark, feed, tmp_path):
+    first = [(i, i, 0, 100) for i in range(50)]
+    second = [(100 + i, i, 105, 110) for i in range(50)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions, rows in (("4", first), ("6", second), ("3", [MARK])):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            feed.add(rows)
+            got, _ = finish(sequential(feed.stream(), slice_s=30), tmp_path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert bag(got, *EVIDENCE) == brute_back_to_back(first + second) and got.count() == 50
+
+
+@pytest.mark.parametrize("slice_s", [7, 600, 86_400])
+def test_a_closed_stream_gives_all_pairs_whatever_its_slices(spark, tmp_path, slice_s):
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(6), s := rng.randrange(0, 9000), s + rng.choice([1, 5, 90])) for i in range(300)]
+    table = Feed(spark, tmp_path / "table")
+    table.add(rows)
+    last = frame(spark, [(-1, -1, at(10**8), None)], SCHEMA)
+
+    def build(closing):
+        both = [spark.readStream.schema(SCHEMA).parquet(p) for p in (str(table.folder), closing)]
+        return sequential(both[0].unionByName(both[1]), slice_s=slice_s)
+
+    got = streaming.stream_result(build, spark, partitions=2, closing=last)
+    assert bag(got, *EVIDENCE) == brute_back_to_back(rows)
+
+
 def test_several_keys_and_text_columns(spark, tmp_path):
     schema = "unique id string, area string, _caller long, start_time timestamp, end_time timestamp"
     feed = Feed(spark, tmp_path / "in", schema.replace("unique id", "uid"))
@@ -250,6 +280,7 @@ def test_interval_trigger_function_sink_and_monitor(spark, tmp_path):
     assert len(seen) == want.count() > 0
     rows = progress(query)
     assert sum(r["input_rows"] for r in rows) == 301
+    assert set(figures[0]) == set(rows[0]) and sum(f["input_rows"] for f in figures) == 301
     assert {"batch_id", "input_rows", "rows_per_second", "latency_ms", "watermark"} <= set(rows[0])
 
 
