@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe, chat, contamination, credentials, language, ngram, pages, search, simhash, tokens
+from spanwise.llm import bpe, chat, contamination, credentials, language, ngram, oracles, pages, search, simhash, tokens
 from spanwise.llm.common import shared_path
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -105,4 +105,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_chat": oracles.CHAT,
+        "op4_decontamination": oracles.CONTAMINATION,
+        "op8_top_k": oracles.SEARCH,
+        "op9_secrets": oracles.SECRETS,
+    }

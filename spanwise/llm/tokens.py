@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -31,13 +32,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spanwise.llm.bpe import LATIN, WHITE, id_lists, load_vocabulary
-from spanwise.llm.common import pieces, slices, text_bytes, texts_of
+from spanwise.llm.common import pieces, slices, small, stored, text_bytes, texts_of
 
 PART_BYTES = 32 << 20
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 512
-CACHE_PIECES = 500_000
+CACHE_PIECES = 600_000
+BATCH_PIECES = 10_000
 END_ID = 1
 
 LAYOUT = {
@@ -81,10 +83,12 @@ class PieceEncoder:
         if len(self.cache) >= CACHE_PIECES:
             self.cache.clear()
         ids = self.cache
-        new = list({p for text in split for p in text if p not in ids})
-        long = {p for p in new if len(p) > 64}
-        found = self.library.encode_batch_fast(new, add_special_tokens=False)
-        ids.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, found))
+        new = list(set().union(*split) - ids.keys())
+        long = [p for p in new if len(p) > 64]
+        for at in range(0, len(new), BATCH_PIECES):
+            some = new[at:at + BATCH_PIECES]
+            found = self.library.encode_batch_fast(some, add_special_tokens=False)
+            ids.update(zip(some, [array("I", e.ids).tobytes() for e in found]))
         out = [b"".join(map(ids.__getitem__, text)) for text in split]
         for p in long:
             del ids[p]
@@ -146,10 +150,11 @@ def read_tokens(spark: SparkSession, path: str, first=None, last=None) -> DataFr
 
 
 def _with_start(chosen: DataFrame, rows: DataFrame) -> DataFrame:
-    # One row per file: their running total is the only thing that one task sees whole.
+    # One row per file: their running total is the only thing that one task sees whole. It goes to the rows, up to
+    # its checked size, so that no ids move.
     sizes = rows.groupBy("part").agg(F.sum("n_tokens").alias("size"))
-    before = sizes.selectExpr(
-        "part AS of_part", "sum(size) OVER (ORDER BY part ROWS UNBOUNDED PRECEDING) - size AS before")
+    before = small(stored(sizes.selectExpr(
+        "part AS of_part", "sum(size) OVER (ORDER BY part ROWS UNBOUNDED PRECEDING) - size AS before"), "part-starts"))
     joined = chosen.join(before, chosen.part == before.of_part)
     return joined.withColumn("start", F.col("before") + F.col("start_in_part")).drop(
         "of_part", "part", "before", "start_in_part")
