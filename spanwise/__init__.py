@@ -3,7 +3,6 @@
 from spanwise.operators import (
     back_to_back,
     back_to_back_packed,
-    find_hot_keys,
     mobility,
     mobility_packed,
     rebuild_spans,
@@ -17,7 +16,6 @@ __all__ = [
     "back_to_back",
     "back_to_back_packed",
     "back_to_back_stream",
-    "find_hot_keys",
     "mobility",
     "mobility_packed",
     "progress",

@@ -1,6 +1,5 @@
 """Operators on spans and signals: frames in, frames out."""
 
-from spanwise.operators.hot import find_hot_keys, find_hot_keys_of_each, hot_rows
 from spanwise.operators.mobility import mobility, mobility_packed
 from spanwise.operators.sessions import back_to_back, back_to_back_packed
 from spanwise.operators.signals import rebuild_spans, split_spans
@@ -8,9 +7,6 @@ from spanwise.operators.signals import rebuild_spans, split_spans
 __all__ = [
     "back_to_back",
     "back_to_back_packed",
-    "find_hot_keys",
-    "find_hot_keys_of_each",
-    "hot_rows",
     "mobility",
     "mobility_packed",
     "rebuild_spans",

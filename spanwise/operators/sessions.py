@@ -1,4 +1,10 @@
-"""Spans of one owner that follow the previous span within a small gap."""
+"""Spans of one owner that follow the previous span within a small gap.
+
+Every key is cut into fixed slices of start time, so that a key may hold any share of all rows. A first window
+looks back within (key, slice); a second one takes only matches and the first and last row of each slice, and
+finds for each first row the last row of the slice before. A key so brings one task the rows of
+one slice, or two rows per slice. The slice is a plain parameter that changes no result.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +13,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwise.durations import slice_number
 from spanwise.functions import packed_gap
-from spanwise.operators.hot import find_hot_keys, hot_rows, repeat_rows
+from spanwise.functions.packed import HOUR_UNIT
+from spanwise.operators.copies import repeat_rows
 
 
 def back_to_back(
@@ -19,7 +27,7 @@ def back_to_back(
     id: str,
     max_gap_s: int = 10,
     allow_zero: bool = True,
-    hot: Sequence[int] | None = None,
+    slice_s: int = 3600,
     copies: str | None = None,
 ) -> DataFrame:
     """Spans that begin at most ``max_gap_s`` whole seconds after the previous span ended.
@@ -28,8 +36,7 @@ def back_to_back(
     id, prev_end, start_time, gap_s. Seconds are cut off, so 10.999 s counts as 10; an overlap
     (start before prev_end) never matches; ``allow_zero=False`` also excludes touching spans.
 
-    ``hot`` takes the result of ``find_hot_keys``; None looks for hot keys in ``df`` first, which
-    runs one small job. Give it where ``df`` is costly to compute, or ``[]`` to go without. ``copies``
+    ``slice_s`` bounds what one key brings to one task; longer slices have fewer edges to stitch. ``copies``
     names a column that says how many equal rows a row stands for.
     """
 
@@ -37,8 +44,11 @@ def back_to_back(
         lower = begin >= prev_end if allow_zero else begin > prev_end
         return lower & (F.timestamp_diff("SECOND", prev_end, begin) <= max_gap_s)
 
+    def slice_of(begin: Column) -> Column:
+        return slice_number(F.unix_micros(begin.cast("timestamp")), slice_s * 1_000_000)
+
     keys = [key] if isinstance(key, str) else list(key)
-    pairs = _follow_previous(df, keys, start, end, id, follows, hot, copies)
+    pairs = _follow_previous(df, keys, start, end, id, follows, slice_of, copies)
     return pairs.select(
         *keys, id, "prev_end", F.col("_start").alias("start_time"),
         F.timestamp_diff("SECOND", F.col("prev_end"), F.col("_start")).alias("gap_s"))
@@ -51,22 +61,26 @@ def back_to_back_packed(
     end: str,
     id: str,
     max_gap: int = 10_000,
-    hot: Sequence[int] | None = None,
+    slice_width: int = HOUR_UNIT,
     copies: str | None = None,
 ) -> DataFrame:
     """The same on packed digits, ``0 < start - prev_end <= max_gap``, without time arithmetic.
 
     Columns: key..., id, prev_end, start_ts, gap. The gap is a difference of digits and so is
     larger than the true gap across a minute boundary. Values that are no numbers count as missing.
+    ``slice_width`` is the slice in packed digits.
     """
 
     def follows(begin: Column, prev_end: Column) -> Column:
         gap = packed_gap(prev_end, begin)
         return (gap > 0) & (gap <= max_gap)
 
+    def slice_of(begin: Column) -> Column:
+        return F.call_function("div", begin, F.lit(slice_width).cast("long"))
+
     keys = [key] if isinstance(key, str) else list(key)
     df = df.withColumns({start: F.col(start).try_cast("long"), end: F.col(end).try_cast("long")})
-    pairs = _follow_previous(df, keys, start, end, id, follows, hot, copies)
+    pairs = _follow_previous(df, keys, start, end, id, follows, slice_of, copies)
     return pairs.select(
         *keys, id, "prev_end", F.col("_start").alias("start_ts"),
         packed_gap(F.col("prev_end"), F.col("_start")).alias("gap"))
@@ -79,66 +93,36 @@ def _follow_previous(
     end: str,
     id: str,
     follows: Callable[[Column, Column], Column],
-    hot: Sequence[int] | None,
+    slice_of: Callable[[Column], Column],
     copies: str | None,
 ) -> DataFrame:
     """Rows whose start follows the end of the row before: keys, id, _start, prev_end."""
     weight = [] if copies is None else [F.col(copies).alias("_copies")]
     rows = df.where(F.col(start).isNotNull()).select(
         *keys, id, F.col(start).alias("_start"), F.col(end).alias("_end"), *weight)
-    if hot is None:
-        hot = find_hot_keys(df, keys)  # reads the key columns only
     order = ["_start", id, "_end"]
-    is_hot = hot_rows(keys, hot)
-
-    cold = rows.where(~is_hot) if hot else rows
-    in_key = Window.partitionBy(*keys).orderBy(*order)
-    pairs = cold.withColumn("prev_end", F.lag("_end").over(in_key))
-    if copies is None:
-        pairs = pairs.where(follows(F.col("_start"), F.col("prev_end"))).select(*keys, id, "_start", "prev_end")
-    else:
-        pairs = _matches_of_copies(pairs, keys, id, F.col("prev_end"), follows)
-    if not hot:
-        return pairs
-    return pairs.unionByName(_follow_previous_hot(rows.where(is_hot), keys, id, order, follows, copies))
-
-
-def _follow_previous_hot(
-    rows: DataFrame,
-    keys: list[str],
-    id: str,
-    order: list[str],
-    follows: Callable[[Column, Column], Column],
-    copies: str | None,
-) -> DataFrame:
-    """The same for keys too large for one task.
-
-    Copies of a row are counted first. The distinct rows are cut into slices of about equal size
-    by range partitioning on key and order; each slice looks back within itself, and only the
-    first and last row of a slice meet in a second window, where each first row finds the last
-    row of the slice before.
-    """
-    counted = rows.groupBy(*keys, *order).agg(
-        (F.count("*") if copies is None else F.sum("_copies")).alias("_copies"))
-    slices = counted.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id())
-
+    begin, ended = F.col("_start"), F.col("_end")
     in_slice = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    begin, end = F.col("_start"), F.col("_end")
     # A struct tells "no row before" from "a row before without an end".
-    looked = slices.withColumns({
-        "_before": F.lag(F.struct(end.alias("end"))).over(in_slice),
+    looked = rows.withColumn("_slice", slice_of(begin)).withColumns({
+        "_before": F.lag(F.struct(ended.alias("end"))).over(in_slice),
         "_last": F.lead(F.lit(True)).over(in_slice).isNull(),
     })
     first = F.col("_before").isNull()
     edge = first | F.col("_last")
-    repeats = (F.col("_copies") > 1) & follows(begin, end)
-    useful = looked.where(edge | repeats | follows(begin, F.col("_before.end")))
+    wanted = edge | follows(begin, F.col("_before.end"))
+    if copies is not None:
+        wanted = wanted | (F.col("_copies") > 1) & follows(begin, ended)
 
-    lane = F.when(edge, F.lit(-1)).otherwise(F.col("_slice"))
+    # Edges of all slices of a key meet; other rows stay with their slice.
     in_edges = Window.partitionBy(*keys, "_lane").orderBy(*order)
-    stitched = useful.withColumn("_lane", lane).withColumn("_edge_before", F.lag("_end").over(in_edges))
+    stitched = (looked.where(wanted).withColumn("_lane", F.when(~edge, F.col("_slice")))
+                .withColumn("_edge_before", F.lag("_end").over(in_edges)))
     prev_end = F.when(first, F.col("_edge_before")).otherwise(F.col("_before.end"))
-    return _matches_of_copies(stitched, keys, id, prev_end, follows)
+    if copies is not None:
+        return _matches_of_copies(stitched, keys, id, prev_end, follows)
+    return (stitched.select(*keys, id, "_start", prev_end.alias("prev_end"))
+            .where(follows(begin, F.col("prev_end"))))
 
 
 def _matches_of_copies(

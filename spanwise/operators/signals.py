@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.durations import interval_sql, slice_number, to_micros
-from spanwise.operators.hot import HOT_SIGNALS, find_hot_keys, hot_rows, repeat_rows
 
 START, END = 0, 1
 
@@ -40,21 +39,18 @@ def rebuild_spans(
     keep: Sequence[str] = (),
     one_per_id: bool = False,
     time: str = "event_time",
-    hot: Sequence[int] | None = None,
     copies: str | None = None,
 ) -> DataFrame:
     """Pair each START with the ENDs of equal ``id`` and ``keys``: id, keys, keep, start_time, end_time.
 
     ``bound`` admits only ends within ``[start, start + bound]``; ``where`` filters both kinds of
     signal before they are paired; ``keep`` names columns taken from the START. Repeated signals of
-    one id pair up as in an inner join; with ``copies`` a column of that name tells how many equal
-    pairs a row stands for, instead of as many rows.
+    one id pair up as in an inner join. With ``copies`` equal signals are counted before they are joined, so that
+    copies never meet pair by pair, and a column of that name tells how many equal pairs a row stands for.
 
     With a bound the join also uses a time slice as a key, so that an id with very many signals is
     spread over tasks by time and only slices that can match meet. Without a bound the join is on
-    the id alone, and adaptive execution splits a skewed id. Ids with very many signals (``hot``: the
-    result of ``find_hot_keys`` on id and keys; None runs it) have their copies counted before they
-    are joined, so that copies never meet pair by pair. ``one_per_id`` promises at most one
+    the id alone, and adaptive execution splits a skewed id. ``one_per_id`` promises at most one
     START and one END per id and keys: the source is then read once and combined before its single
     shuffle; a broken promise raises an error at run time rather than losing pairs.
 
@@ -77,21 +73,13 @@ def rebuild_spans(
         pairs = pairs.withColumn("end_time", F.timestamp_micros(F.unix_micros("end_time")))
         return pairs.select(*on, *keep, "start_time", "end_time")
 
-    if hot is None:
-        hot = find_hot_keys(signals, on, HOT_SIGNALS)
-    is_hot = hot_rows(on, hot)
-    single = _pair(starts.where(~is_hot), ends.where(~is_hot), on, bound) if hot else _pair(starts, ends, on, bound)
-    single = single.select(*on, *keep, "start_time", "end_time")
-    if copies is not None:
-        single = single.withColumn(copies, F.lit(1).cast("long"))
-    if not hot:
-        return single
-    many = _pair(
-        starts.where(is_hot).groupBy(starts.columns).agg(F.count("*").alias("_starts")),
-        ends.where(is_hot).groupBy(ends.columns).agg(F.count("*").alias("_ends")),
+    if copies is None:
+        return _pair(starts, ends, on, bound).select(*on, *keep, "start_time", "end_time")
+    return _pair(
+        starts.groupBy(starts.columns).agg(F.count("*").alias("_starts")),
+        ends.groupBy(ends.columns).agg(F.count("*").alias("_ends")),
         on, bound,
-    ).select(*on, *keep, "start_time", "end_time", (F.col("_starts") * F.col("_ends")).alias(copies or "_copies"))
-    return single.unionByName(many if copies else repeat_rows(many, "_copies").drop("_copies"))
+    ).select(*on, *keep, "start_time", "end_time", (F.col("_starts") * F.col("_ends")).alias(copies))
 
 
 def _pair(starts: DataFrame, ends: DataFrame, on: list[str], bound: str | None) -> DataFrame:

@@ -7,7 +7,7 @@ question is asked with different windows, times and gap rules under different na
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,14 +16,10 @@ from pyspark.sql import functions as F
 from spanwise.operators import (
     back_to_back,
     back_to_back_packed,
-    find_hot_keys,
-    find_hot_keys_of_each,
-    hot_rows,
     mobility,
     mobility_packed,
     rebuild_spans,
 )
-from spanwise.operators.hot import HOT_ROWS, HOT_SIGNALS
 from spanwise.operators.signals import START
 from spanwise.streaming.sessions import back_to_back_stream
 
@@ -65,67 +61,45 @@ def mobility_bi_5m(signals: DataFrame, window: str = "5 minutes", threshold: int
     return mobility(_starts(signals), _ID, _TOWER, "event_time", window, threshold)
 
 
-def b2b_mono_packed(calls: DataFrame, max_gap: int = 10_000, hot: Sequence[int] | None = None) -> DataFrame:
+def b2b_mono_packed(calls: DataFrame, max_gap: int = 10_000) -> DataFrame:
     """Calls that follow the caller's call before, by difference of packed digits."""
-    return back_to_back_packed(calls, _CALLER, "start_ts", "end_ts", _ID, max_gap, hot)
+    return back_to_back_packed(calls, _CALLER, "start_ts", "end_ts", _ID, max_gap)
 
 
-def b2b_bi_packed(signals: DataFrame, max_gap: int = 10_000, hot: Sequence[int] | None = None,
-                  hot_ids: Sequence[int] | None = None, one_per_id: bool = False) -> DataFrame:
-    """The same on calls rebuilt from their signals by id alone."""
-    hot, hot_ids = _find_missing(signals, hot, hot_ids, [_ID], one_per_id)
-    copies = "copies" if hot_ids else None
-    calls = rebuild_spans(signals, _ID, keep=[_CALLER], time="event_ts", one_per_id=one_per_id,
-                          hot=hot_ids, copies=copies)
-    return back_to_back_packed(calls, _CALLER, "start_time", "end_time", _ID, max_gap, hot, copies)
+def b2b_bi_packed(signals: DataFrame, max_gap: int = 10_000, one_per_id: bool = False,
+                  count_copies: bool = False) -> DataFrame:
+    """The same on calls rebuilt from their signals by id alone.
+
+    ``count_copies`` counts equal signals before they are paired, so that copies travel as numbers; it costs
+    one more shuffle and pays where signals repeat much.
+    """
+    copies = "copies" if count_copies and not one_per_id else None
+    calls = rebuild_spans(signals, _ID, keep=[_CALLER], time="event_ts", one_per_id=one_per_id, copies=copies)
+    return back_to_back_packed(calls, _CALLER, "start_time", "end_time", _ID, max_gap, copies=copies)
 
 
-def b2b_mono(calls: DataFrame, max_gap_s: int = 10, hot: Sequence[int] | None = None,
-             **stream: int) -> DataFrame:
+def b2b_mono(calls: DataFrame, max_gap_s: int = 10, **slices: int) -> DataFrame:
     """Calls that follow the caller's call before within whole seconds; all dispositions."""
-    if calls.isStreaming:
-        return back_to_back_stream(calls, *_CALL, max_gap_s, **stream)
-    return back_to_back(calls, *_CALL, max_gap_s, hot=hot)
+    look_back = back_to_back_stream if calls.isStreaming else back_to_back
+    return look_back(calls, *_CALL, max_gap_s, **slices)
 
 
-def b2b_bi(signals: DataFrame, bound: str = "4 minutes", max_gap_s: int = 10,
-           hot: Sequence[int] | None = None, hot_ids: Sequence[int] | None = None,
-           one_per_id: bool = False, **stream: int) -> DataFrame:
+def b2b_bi(signals: DataFrame, bound: str = "4 minutes", max_gap_s: int = 10, one_per_id: bool = False,
+           count_copies: bool = False, **slices: int) -> DataFrame:
     """The same on connected calls, rebuilt from signals of equal id and caller within ``bound``.
 
-    The filters come before the look back: they decide which call is the one before. With
-    ``one_per_id`` (see ``rebuild_spans``) pairing and look back share one shuffle by caller.
+    The filters come before the look back: they decide which call is the one before. ``one_per_id`` (see
+    ``rebuild_spans``) and ``count_copies`` (see ``b2b_bi_packed``) are for batch frames.
     """
     connected = signals.where(F.col("disposition") == "connected")
     if signals.isStreaming:
+        if one_per_id or count_copies:
+            raise ValueError("one_per_id and count_copies have no streaming form")
         calls = rebuild_spans(connected, _ID, [_CALLER], bound)
-        return back_to_back_stream(calls, *_CALL, max_gap_s, **stream)
-    hot, hot_ids = _find_missing(connected, hot, hot_ids, [_ID, _CALLER], one_per_id)
-    if not one_per_id:
-        copies = "copies" if hot_ids else None
-        calls = rebuild_spans(connected, _ID, [_CALLER], bound, hot=hot_ids, copies=copies)
-        return back_to_back(calls, *_CALL, max_gap_s, hot=hot, copies=copies)
-
-    def pairs(part: DataFrame, hot: Sequence[int]) -> DataFrame:
-        calls = rebuild_spans(part, _ID, [_CALLER], bound, one_per_id=True)
-        return back_to_back(calls, *_CALL, max_gap_s, hot=hot)
-
-    is_hot = hot_rows(_CALLER, hot)
-    by_caller = pairs(connected.where(~is_hot).repartition(_CALLER), [])
-    return by_caller.unionByName(pairs(connected.where(is_hot), hot)) if hot else by_caller
-
-
-def _find_missing(signals, hot, hot_ids, id_keys, one_per_id) -> tuple[Sequence[int], Sequence[int]]:
-    """Callers and ids with very many signals, looked up in one pass where they are not given."""
-    if one_per_id:
-        hot_ids = []
-    if hot is None and hot_ids is None:
-        hot, hot_ids = find_hot_keys_of_each(signals, (_CALLER, HOT_ROWS), (id_keys, HOT_SIGNALS))
-    if hot is None:
-        hot = find_hot_keys(signals, _CALLER)
-    if hot_ids is None:
-        hot_ids = find_hot_keys(signals, id_keys, HOT_SIGNALS)
-    return hot, hot_ids
+        return back_to_back_stream(calls, *_CALL, max_gap_s, **slices)
+    copies = "copies" if count_copies and not one_per_id else None
+    calls = rebuild_spans(connected, _ID, [_CALLER], bound, one_per_id=one_per_id, copies=copies)
+    return back_to_back(calls, *_CALL, max_gap_s, copies=copies, **slices)
 
 
 @dataclass(frozen=True)

@@ -49,24 +49,23 @@ def test_back_to_back_defaults(spark, base):  # noqa: F811
 
 
 @pytest.mark.parametrize("once", [False, True])
-@pytest.mark.parametrize("split", [False, True])
-def test_filters_decide_which_call_is_before(spark, once, split):
+@pytest.mark.parametrize("slice_s", [3600, 50])
+def test_filters_decide_which_call_is_before(spark, once, slice_s):
     ok, bad = "connected", "failed"
     rows = []
     for i, start, end, d in ((1, 0, 100, ok), (2, 50, 300, bad), (3, 60, 301.5, ok), (4, 105, 110, ok)):
         rows += [(i, 0, 7, start, d), (i, 1, 7, end, d)]
     df = signals(spark, rows)
-    hot = [r[0] for r in df.selectExpr("xxhash64(calling_party)").distinct().collect()] if split else []
     # Call 2 failed and call 3 lasts over four minutes: neither is before call 4.
-    got = CATALOG["b2b_bi"](df, one_per_id=once, hot=hot)
+    got = CATALOG["b2b_bi"](df, one_per_id=once, slice_s=slice_s)
     assert bag(got, "unique_id", "prev_end") == {(4, at(100)): 1}
-    assert CATALOG["b2b_bi"](df, bound="5 minutes", one_per_id=once, hot=hot).count() == 0
+    assert CATALOG["b2b_bi"](df, bound="5 minutes", one_per_id=once, slice_s=slice_s).count() == 0
 
 
-def test_one_per_id_shares_the_shuffle(spark):
+def test_one_per_id_reads_its_source_once(spark):
     df = signals(spark, [(1, 0, 7, 0, "connected"), (1, 1, 7, 5, "connected")]).repartition(3)
-    plan = CATALOG["b2b_bi"](df, one_per_id=True, hot=[])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("hashpartitioning") == 1
+    plan = CATALOG["b2b_bi"](df, one_per_id=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 3 and plan.count("Join") == 0  # of the pairing, the slices, their edges
 
 
 def test_batch_job(spark, base, tmp_path, capsys):  # noqa: F811

@@ -4,10 +4,8 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
-from spanwise.operators import back_to_back, back_to_back_packed, find_hot_keys, find_hot_keys_of_each, hot_rows
-from spanwise.operators import hot as hot_module
+from spanwise.operators import back_to_back, back_to_back_packed
 from tests.helpers import at, bag, brute_back_to_back, calls, frame
 
 CALL = ("calling_party", "start_time", "end_time", "unique_id")
@@ -75,33 +73,34 @@ def random_calls(seed: int, n: int = 1500, copies: bool = True):
 
 
 @pytest.mark.parametrize("allow_zero", [True, False])
-def test_hot_path_equals_brute_force(spark, allow_zero):
+@pytest.mark.parametrize("slice_s", [1, 45, 3600])
+def test_slices_of_any_length_equal_brute_force(spark, allow_zero, slice_s):
     rows = random_calls(1)
-    df = calls(spark, rows)
-    keys = df.select(F.xxhash64("calling_party").alias("h")).distinct().collect()
-    every = [r.h for r in keys]
-    owner = [df.where("calling_party = 0").select(F.xxhash64("calling_party")).first()[0]]
     want = brute_back_to_back(rows, 3, allow_zero)
     assert want and max(want.values()) > 1 or not allow_zero
-    for hot in ([], owner, every):
-        got = back_to_back(df, *CALL, max_gap_s=3, allow_zero=allow_zero, hot=hot)
-        assert bag(got, *EVIDENCE) == want, hot
+    got = back_to_back(calls(spark, rows), *CALL, max_gap_s=3, allow_zero=allow_zero, slice_s=slice_s)
+    assert bag(got, *EVIDENCE) == want
+
+
+def test_two_thousand_keys_are_cut_at_once(spark):
+    rows = [(i, i % 2000, i // 2000 * 7, i // 2000 * 7 + 5) for i in range(20_000)]
+    got = back_to_back(calls(spark, rows), *CALL, max_gap_s=2, slice_s=10)
+    assert bag(got, *EVIDENCE) == brute_back_to_back(rows, 2) and got.count() == 18_000
 
 
-def test_hot_path_splits_one_key_over_tasks(spark):
-    df = calls(spark, [(i, 0, i, i + 0.5) for i in range(400)]).repartition(8)
-    hot = find_hot_keys(df, "calling_party", min_rows=100)
-    assert len(hot) == 1
-    got = back_to_back(df, *CALL, hot=hot)
-    assert got.count() == 399
-    assert "rangepartitioning" in got._jdf.queryExecution().executedPlan().toString()
+def test_a_key_brings_one_task_a_slice_or_its_edges(spark):
+    df = calls(spark, [(i, 0, i, i + 0.5) for i in range(4000)])
+    got = back_to_back(df, *CALL, max_gap_s=0, slice_s=40)
+    assert got.count() == 3999
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("_slice") and plan.count("_lane") and "rangepartitioning" not in plan
 
 
 def test_runs_of_copies_are_written_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr("spanwise.operators.hot._RUN", 7)
-    df = calls(spark, [(1, 0, 0, 0)] * 50 + [(2, 0, 4, 9)])
-    got = back_to_back(df, *CALL, hot=find_hot_keys(df, "calling_party", 10))
-    assert bag(got, "unique_id", "prev_end") == {(1, at(0)): 49, (2, at(0)): 1}
+    monkeypatch.setattr("spanwise.operators.copies._RUN", 7)
+    schema = "unique_id long, calling_party long, start_time timestamp_ntz, end_time timestamp_ntz, n long"
+    df = frame(spark, [(1, 0, at(0), at(0), 50), (2, 0, at(4), at(9), 1)], schema)
+    assert bag(back_to_back(df, *CALL, copies="n"), "unique_id", "prev_end") == {(1, at(0)): 49, (2, at(0)): 1}
 
 
 def test_rows_that_stand_for_copies(spark):
@@ -111,39 +110,25 @@ def test_rows_that_stand_for_copies(spark):
         frame(spark, [(*row[:2], at(row[2]), at(row[3]), n) for row, n in counts.items()],
               "unique_id long, calling_party long, start_time timestamp_ntz, end_time timestamp_ntz, n long"),
         ["unique_id", "calling_party", "start_time", "end_time"])
-    owner = find_hot_keys(merged, "calling_party", 80)
-    assert len(owner) == 1 and max(counts.values()) > 1
-    for hot in ([], owner):
-        got = back_to_back(merged, *CALL, max_gap_s=3, hot=hot, copies="n")
+    assert max(counts.values()) > 1
+    for slice_s in (5, 3600):
+        got = back_to_back(merged, *CALL, max_gap_s=3, slice_s=slice_s, copies="n")
         assert bag(got, *EVIDENCE) == brute_back_to_back(rows, 3)
 
 
-def test_hot_path_packed(spark):
+def test_slices_of_packed_digits(spark):
     df = calls(spark, random_calls(2, 600)).selectExpr(
         "unique_id", "calling_party",
         "cast(date_format(cast(start_time as timestamp), 'yyyyMMddHHmmssSSS') as long) s",
         "cast(date_format(cast(end_time as timestamp), 'yyyyMMddHHmmssSSS') as long) e")
     args = ("calling_party", "s", "e", "unique_id", 3000)
-    hot = find_hot_keys(df, "calling_party", min_rows=150)
-    assert len(hot) == 1
-    assert bag(back_to_back_packed(df, *args, hot=hot)) == bag(back_to_back_packed(df, *args, hot=[]))
-
-
-def test_found_hot_keys(spark):
-    df = spark.range(30_000).select(
-        F.when(F.col("id") % 3 == 0, F.lit("busy")).otherwise(F.col("id").cast("string")).alias("k"))
-    hot = find_hot_keys(df.repartition(6), "k", min_rows=5_000)
-    assert df.where(hot_rows("k", hot)).select("k").distinct().collect()[0].k == "busy"
-    assert find_hot_keys(df, "k", min_rows=20_000) == []
-    pair = find_hot_keys_of_each(df.withColumn("j", F.lit(1)), ("k", 20_000), (["k", "j"], 5_000))
-    assert [len(found) for found in pair] == [0, 1]
-    assert find_hot_keys(df.where("false"), "k") == []
-    assert hot_module.HOT_ROWS > 20_000
+    whole = bag(back_to_back_packed(df, *args, slice_width=10**12))
+    assert whole and all(bag(back_to_back_packed(df, *args, slice_width=w)) == whole for w in (7000, 10_000_000))
 
 
-def test_default_is_one_shuffle_and_prunes_columns(spark):
+def test_two_shuffles_and_pruned_columns(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr(
         "event_id unique_id", "user_id calling_party", "ts start_time", "ts end_time", "props")
     plan = back_to_back(df, *CALL)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") == 2
     assert "props" not in plan.split("ReadSchema")[1]

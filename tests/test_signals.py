@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanwise.operators import find_hot_keys, rebuild_spans, split_spans
+from spanwise.operators import rebuild_spans, split_spans
 from spanwise.plans import CATALOG
 from tests.helpers import at, bag, calls, signals
 
@@ -56,17 +56,13 @@ def test_repeated_signals_pair_as_a_join(spark):
 
 
 @pytest.mark.parametrize("bound", [None, "1 minute"])
-def test_copies_of_a_hot_id_are_counted_not_paired(spark, bound):
+def test_copies_can_be_counted_before_they_are_paired(spark, bound):
     rows = [(1, 0, 5, 0, OK)] * 30 + [(1, 1, 5, 8, OK)] * 20 + [(1, 1, 5, 70, OK), (1, 0, 5, 2, OK)]
     rows += [(2, 0, 5, 1, OK), (2, 1, 5, 3, OK), (None, 0, 5, 1, OK), (None, 1, 5, 3, OK)]
     df = signals(spark, rows)
-    hot = find_hot_keys(df, "unique_id", 10)
-    assert len(hot) == 1
-    plain = rebuild_spans(df, "unique_id", bound=bound, hot=[])
-    whole = rebuild_spans(df, "unique_id", bound=bound, hot=hot)
-    assert bag(whole) == bag(plain) and plain.count() >= 620
-    assert whole.columns == plain.columns
-    counted = rebuild_spans(df, "unique_id", bound=bound, hot=hot, copies="n")
+    plain = rebuild_spans(df, "unique_id", bound=bound)
+    assert plain.count() >= 620
+    counted = rebuild_spans(df, "unique_id", bound=bound, copies="n")
     assert bag(counted) == {(*pair, n): 1 for pair, n in bag(plain).items()}
 
 
@@ -74,13 +70,9 @@ def test_copies_of_a_hot_id_are_counted_not_paired(spark, bound):
 def test_pairs_of_copies_reach_the_look_back_as_counts(spark, zero):
     rows = [(1, 0, 5, 0, OK)] * 9 + [(1, 1, 5, 0 if zero else 8, OK)] * 7 + [(2, 0, 5, 9, OK), (2, 1, 5, 10, OK)]
     df = signals(spark, rows)
-    hot_ids = find_hot_keys(df, ["unique_id", "calling_party"], 5)
-    callers = find_hot_keys(df, "calling_party", 5)
-    assert len(hot_ids) == len(callers) == 1
-    want = bag(CATALOG["b2b_bi"](df, hot=[], hot_ids=[]))
+    want = bag(CATALOG["b2b_bi"](df))
     assert sum(want.values()) == (63 if zero else 1)
-    for hot in ([], callers):
-        assert bag(CATALOG["b2b_bi"](df, hot=hot, hot_ids=hot_ids)) == want
+    assert bag(CATALOG["b2b_bi"](df, count_copies=True)) == bag(CATALOG["b2b_bi"](df, slice_s=1)) == want
 
 
 def test_broken_promise_raises(spark):
