@@ -46,6 +46,21 @@ def _tower_signals(spark, sf_dir):
     return ev.bi_towers(ev.events(spark, sf_dir))
 
 
+#: How far the events are drawn together, so that the customary constants of the queries find something.
+SECONDS_APART, MINUTES_APART = 40_000, 600
+
+
+def _dense(table, factor):
+    return lambda spark, sf_dir: table(ev.dense(ev.events(spark, sf_dir), factor))
+
+
+_MONO, _BI = {"start_ts": "start_time", "end_ts": "end_time"}, {"event_ts": "event_time"}
+
+
+def _packed(table, factor, columns):
+    return lambda spark, sf_dir: ev.with_packed(_dense(table, factor)(spark, sf_dir), **columns)
+
+
 def _batch(name, table, **params):
     return lambda spark, sf_dir: CATALOG[name](table(spark, sf_dir), **params)
 
@@ -110,6 +125,17 @@ def _scan(table, make):
     return run
 
 
+def _scan_stream(table, make):
+    """The same files as a stream, one to a micro-batch."""
+
+    def run(spark, sf_dir):
+        folder = shared_folder(spark, f"scan_{table}_stream")
+        write_spans(make(spark, sf_dir).repartition(4), folder, table)
+        return stream_result(lambda _: _naive(read_spans(spark, folder, table, True, 1)), spark, f"scan_{table}")
+
+    return run
+
+
 def _full_mono_calls(spark, sf_dir):
     seconds = F.timestamp_diff("SECOND", F.col("start_time"), F.col("end_time"))
     return _mono_packed(spark, sf_dir).withColumns({
@@ -177,6 +203,19 @@ def _span_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_bi_calls_csv": _scan("bi_calls", _full_bi_calls),
         "scan_mono_towers_csv": _scan("mono_towers", _full_mono_towers),
         "scan_bi_towers_csv": _scan("bi_towers", _full_bi_towers),
+        "scan_mono_towers_csv_stream": _scan_stream("mono_towers", _full_mono_towers),
+        "scan_bi_towers_csv_stream": _scan_stream("bi_towers", _full_bi_towers),
+        # With the customary constants of each query.
+        "mobility_mono_5s_exact_default": _batch("mobility_mono_5s_exact", _packed(ev.mono_towers, SECONDS_APART, _MONO)),
+        "mobility_mono_5s_approx_default": _batch("mobility_mono_5s_approx", _dense(ev.mono_towers, SECONDS_APART)),
+        "mobility_bi_5s_approx_default": _batch("mobility_bi_5s_approx", _dense(ev.bi_towers, SECONDS_APART)),
+        "mobility_bi_total_default": _batch("mobility_bi_total", _dense(ev.bi_towers, SECONDS_APART)),
+        "mobility_mono_5m_default": _batch("mobility_mono_5m", _dense(ev.mono_towers, MINUTES_APART)),
+        "mobility_bi_5m_default": _batch("mobility_bi_5m", _dense(ev.bi_towers, MINUTES_APART)),
+        "b2b_mono_packed_default": _batch("b2b_mono_packed", _packed(ev.mono_calls, MINUTES_APART, _MONO)),
+        "b2b_bi_packed_default": _batch("b2b_bi_packed", _packed(ev.bi_calls, MINUTES_APART, _BI)),
+        "b2b_mono_default": _batch("b2b_mono", _dense(ev.mono_calls, MINUTES_APART)),
+        "b2b_bi_default": _batch("b2b_bi", _dense(ev.bi_calls, MINUTES_APART)),
         "mobility_mono_5s_approx_stream": _stream(
             "mobility_mono_5s_approx", ev.mono_towers, ended=True, window="1 day", threshold=2),
         "mobility_bi_5s_approx_stream": _stream(
@@ -196,6 +235,14 @@ def _span_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _DUCK_PACKED = "CAST(strftime({0}, '%Y%m%d%H%M%S%g') AS BIGINT)"
 
+def _views(events: str = "events") -> str:
+    return _VIEWS.replace("FROM events", f"FROM {events}")
+
+
+def _dense_views(factor: int) -> str:
+    return _views(f"(SELECT * REPLACE (make_timestamp(epoch_us(ts) // {factor}) AS ts) FROM events)")
+
+
 _VIEWS = """
 WITH mono_calls AS (
   SELECT event_id AS unique_id, user_id AS calling_party, ts AS start_time,
@@ -220,12 +267,25 @@ bi_towers AS (
 """
 
 
-def _daily(table: str, time: str, where: str = "TRUE") -> str:
-    return _VIEWS + f"""
-SELECT time_bucket(INTERVAL 1 DAY, {time}) AS window_start,
-       time_bucket(INTERVAL 1 DAY, {time}) + INTERVAL 1 DAY AS window_end,
+def _windowed(table: str, time: str, where: str = "TRUE", width: str = "1 DAY", least: int = 2,
+              views: str = _VIEWS) -> str:
+    return views + f"""
+SELECT time_bucket(INTERVAL {width}, {time}) AS window_start,
+       time_bucket(INTERVAL {width}, {time}) + INTERVAL {width} AS window_end,
        unique_id, count(DISTINCT tower_id) AS distinct_items
-FROM {table} WHERE {where} GROUP BY 1, 2, 3 HAVING count(DISTINCT tower_id) > 2"""
+FROM {table} WHERE {where} GROUP BY 1, 2, 3 HAVING count(DISTINCT tower_id) > {least}"""
+
+
+def _mobility_packed(end: str, width: int, views: str = _VIEWS) -> str:
+    return views + f"""
+SELECT ({end} // {width}) * {width} AS window_start, unique_id, count(DISTINCT tower_id) AS distinct_items
+FROM mono_towers GROUP BY 1, 2 HAVING count(DISTINCT tower_id) > 2 ORDER BY 1, 2"""
+
+
+def _mobility_total(least: int, views: str = _VIEWS) -> str:
+    return views + f"""
+SELECT unique_id, count(DISTINCT tower_id) AS distinct_items
+FROM bi_towers WHERE event_type = 0 GROUP BY 1 HAVING count(DISTINCT tower_id) > {least}"""
 
 
 def _follow(spans: str, gap_s: int) -> str:
@@ -264,32 +324,35 @@ def _span_texts() -> dict[str, str]:
     start, end, event = (_DUCK_PACKED.format(c) for c in ("start_time", "end_time", "event_time"))
     enter = "event_type = 0"
     connected = "disposition = 'connected'"
+    packed_calls = f"(SELECT calling_party, unique_id, {start} AS start_ts, {end} AS end_ts FROM mono_calls)"
+    packed_pairs = f""", packed AS (SELECT *, {event} AS event_ts FROM bi_calls),
+packed_pairs AS (
+  SELECT s.calling_party, s.unique_id, s.event_ts AS start_ts, e.event_ts AS end_ts
+  FROM packed s JOIN packed e ON s.unique_id = e.unique_id WHERE s.event_type = 0 AND e.event_type = 1)"""
+    seconds, minutes = _dense_views(SECONDS_APART), _dense_views(MINUTES_APART)
+    five_s, five_m = {"width": "5 SECOND", "views": seconds}, {"width": "5 MINUTE", "least": 5, "views": minutes}
     imei = "unique_id + 100000000000000 AS imei"
     cut = "date_trunc('millisecond', {0}) AS {0}"
-    mono_5m = _daily("mono_towers", "start_time")
-    bi_5m = _daily("bi_towers", "event_time", enter)
+    mono_5m = _windowed("mono_towers", "start_time")
+    bi_5m = _windowed("bi_towers", "event_time", enter)
     bounded = _VIEWS + _pairs("4 HOUR")
     b2b_bi = _VIEWS + _follow(f"({_pairs('4 HOUR', connected)})", 6 * HOUR_S)
+    scan_mono_towers = _VIEWS + f"""
+SELECT unique_id, tower_id, CAST({start} AS VARCHAR) AS start_ts, CAST({end} AS VARCHAR) AS end_ts,
+       {cut.format('start_time')}, {cut.format('end_time')}
+FROM mono_towers"""
+    scan_bi_towers = _VIEWS + f"""
+SELECT unique_id, tower_id, event_type, CAST({event} AS VARCHAR) AS event_ts, {cut.format('event_time')}
+FROM bi_towers"""
     return {
-        "mobility_mono_5s_exact": _VIEWS + f"""
-SELECT ({end} // {DAY_PACKED}) * {DAY_PACKED} AS window_start, unique_id,
-       count(DISTINCT tower_id) AS distinct_items
-FROM mono_towers GROUP BY 1, 2 HAVING count(DISTINCT tower_id) > 2 ORDER BY 1, 2""",
-        "mobility_mono_5s_approx": _daily("mono_towers", "end_time"),
+        "mobility_mono_5s_exact": _mobility_packed(end, DAY_PACKED),
+        "mobility_mono_5s_approx": _windowed("mono_towers", "end_time"),
         "mobility_bi_5s_approx": bi_5m,
-        "mobility_bi_total": _VIEWS + """
-SELECT unique_id, count(DISTINCT tower_id) AS distinct_items
-FROM bi_towers WHERE event_type = 0 GROUP BY 1 HAVING count(DISTINCT tower_id) > 9""",
+        "mobility_bi_total": _mobility_total(9),
         "mobility_mono_5m": mono_5m,
         "mobility_bi_5m": bi_5m,
-        "b2b_mono_packed": _VIEWS + _follow_packed(
-            f"(SELECT calling_party, unique_id, {start} AS start_ts, {end} AS end_ts FROM mono_calls)",
-            100_000_000),
-        "b2b_bi_packed": _VIEWS + f""", packed AS (SELECT *, {event} AS event_ts FROM bi_calls)"""
-        + _follow_packed(
-            """(SELECT s.calling_party, s.unique_id, s.event_ts AS start_ts, e.event_ts AS end_ts
-                FROM packed s JOIN packed e ON s.unique_id = e.unique_id
-                WHERE s.event_type = 0 AND e.event_type = 1)""", 10_000_000),
+        "b2b_mono_packed": _VIEWS + _follow_packed(packed_calls, 100_000_000),
+        "b2b_bi_packed": _VIEWS + packed_pairs + _follow_packed("packed_pairs", 10_000_000),
         "b2b_mono": _VIEWS + _follow("mono_calls", HOUR_S),
         "b2b_bi": b2b_bi,
         "b2b_bi_one_per_id": b2b_bi,
@@ -319,15 +382,22 @@ FROM mono_calls""",
 SELECT unique_id, event_type, calling_party, calling_party + 1 AS called_party,
        CAST({event} AS VARCHAR) AS event_ts, disposition, {imei}, {cut.format('event_time')}
 FROM bi_calls""",
-        "scan_mono_towers_csv": _VIEWS + f"""
-SELECT unique_id, tower_id, CAST({start} AS VARCHAR) AS start_ts, CAST({end} AS VARCHAR) AS end_ts,
-       {cut.format('start_time')}, {cut.format('end_time')}
-FROM mono_towers""",
-        "scan_bi_towers_csv": _VIEWS + f"""
-SELECT unique_id, tower_id, event_type, CAST({event} AS VARCHAR) AS event_ts, {cut.format('event_time')}
-FROM bi_towers""",
+        "scan_mono_towers_csv": scan_mono_towers,
+        "scan_bi_towers_csv": scan_bi_towers,
+        "scan_mono_towers_csv_stream": scan_mono_towers,
+        "scan_bi_towers_csv_stream": scan_bi_towers,
+        "mobility_mono_5s_exact_default": _mobility_packed(end, 5000, seconds),
+        "mobility_mono_5s_approx_default": _windowed("mono_towers", "end_time", **five_s),
+        "mobility_bi_5s_approx_default": _windowed("bi_towers", "event_time", enter, **five_s),
+        "mobility_bi_total_default": _mobility_total(5, seconds),
+        "mobility_mono_5m_default": _windowed("mono_towers", "start_time", **five_m),
+        "mobility_bi_5m_default": _windowed("bi_towers", "event_time", enter, **five_m),
+        "b2b_mono_packed_default": minutes + _follow_packed(packed_calls, 10_000),
+        "b2b_bi_packed_default": minutes + packed_pairs + _follow_packed("packed_pairs", 10_000),
+        "b2b_mono_default": minutes + _follow("mono_calls", 10),
+        "b2b_bi_default": minutes + _follow(f"({_pairs('4 MINUTE', connected)})", 10),
         # A closed stream gives what its batch twin gives.
-        "mobility_mono_5s_approx_stream": _daily("mono_towers", "end_time"),
+        "mobility_mono_5s_approx_stream": _windowed("mono_towers", "end_time"),
         "mobility_bi_5s_approx_stream": bi_5m,
         "mobility_mono_5m_stream": mono_5m,
         "mobility_bi_5m_stream": bi_5m,

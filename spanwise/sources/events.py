@@ -37,6 +37,16 @@ def events_stream(spark: SparkSession, sf_dir: str, closing: str | None = None,
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def dense(df: DataFrame, factor: int) -> DataFrame:
+    """The events with the distance of ``ts`` to 1970 divided by ``factor``, in whole microseconds.
+
+    All rows are kept, and closer together: windows and gaps of seconds so have something to find.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    scaled = F.timestamp_micros(F.call_function("div", micros, F.lit(factor).cast("long")))
+    return df.withColumn("ts", scaled.cast(df.schema["ts"].dataType))
+
+
 def closing_event(df: DataFrame, ended: bool) -> DataFrame:
     """An event of nobody ten years after the last one of ``df``; no row if it is empty.
 
