@@ -161,6 +161,17 @@ def _unpacked(data: bytes) -> np.ndarray:
     return wide.view("<u8")[:, 0]
 
 
+def _squeezed(counts: np.ndarray) -> bytes:
+    """Whole numbers of which nearly all are small: one byte each, then in full those that need more."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def _stretched(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<i8", offset=n)
+    return counts
+
+
 def vocabulary_size(training: DataFrame, bits: int) -> tuple[int, int]:
     """N and V: tokens of the training texts, and how many are distinct. Two numbers reach the driver."""
 
@@ -204,26 +215,28 @@ def score_texts(df: DataFrame, training: Column, doc_id: str = "doc_id", text: s
         out = []
         for kind in (WORD, PAIR):
             hashes, counts = bucket.asked(kind), bucket.counted(kind, learn)
-            out += [(key[0].as_py(), kind, r, _packed(hashes[a:b], bits), counts[a:b].astype("<u4").tobytes())
+            out += [(key[0].as_py(), kind, r, _packed(hashes[a:b], bits), _squeezed(counts[a:b]))
                     for r, a, b in _runs(hashes, bits)]
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
                                     ["bucket", "kind", "range", "asked", "counted"])
 
     def answer(key, table):
-        asked, counted = table.column("asked").to_pylist(), table.column("counted").to_pylist()
-        _, place = np.unique(_unpacked(b"".join(asked)), return_inverse=True)
-        totals = np.bincount(place, weights=np.frombuffer(b"".join(counted), "<u4"))[place].astype("<i8")
-        ends = np.cumsum([len(a) // 6 for a in asked])
-        wide = totals.max(initial=0) >= 2**31
-        replies = [(totals[b - len(a) // 6:b] if wide else totals[b - len(a) // 6:b].astype("<i4")).tobytes() for a, b in zip(asked, ends)]
+        asked = table.column("asked").to_pylist()
+        sizes = [len(a) // 6 for a in asked]
+        counted = np.concatenate([_stretched(c, n) for c, n in zip(table.column("counted").to_pylist(), sizes)])
+        distinct, place = np.unique(_unpacked(b"".join(asked)), return_inverse=True)
+        totals = np.zeros(len(distinct), np.int64)
+        np.add.at(totals, place, counted)
+        parts = np.split(totals[place], np.cumsum(sizes)[:-1])
         return pa.Table.from_arrays(
-            [table.column("bucket"), table.column("kind"), table.column("range"), pa.array(replies, pa.binary()),
-             pa.array(np.full(len(asked), 8 if wide else 4, np.int32))], ["bucket", "kind", "range", "totals", "width"])
+            [table.column("bucket"), table.column("kind"), table.column("range"),
+             pa.array([_squeezed(p) for p in parts], pa.binary()), pa.array(sizes, pa.int32())],
+            ["bucket", "kind", "range", "totals", "n"])
 
     def totals_of(replies: pa.Table, kind: int) -> np.ndarray:
-        parts = sorted((r, t, w) for k, r, t, w in zip(*(replies.column(c).to_pylist() for c in ("kind", "range", "totals", "width"))) if k == kind)
-        return np.concatenate([np.frombuffer(t, f"<i{w}").astype(np.int64) for _, t, w in parts])
+        rows = zip(*(replies.column(c).to_pylist() for c in ("kind", "range", "totals", "n")))
+        return np.concatenate([_stretched(t, n) for _, t, n in sorted((r, t, n) for k, r, t, n in rows if k == kind)])
 
     names = ["doc_id", "training", "n_tokens", "n_known", "base_score", "score"]
 
@@ -257,7 +270,7 @@ def score_texts(df: DataFrame, training: Column, doc_id: str = "doc_id", text: s
 
     asked = dealt.groupBy("bucket").applyInArrow(ask, "bucket int, kind int, range long, asked binary, counted binary")
     answered = asked.groupBy("range", "kind").applyInArrow(
-        answer, "bucket int, kind int, range long, totals binary, width int")
+        answer, "bucket int, kind int, range long, totals binary, n int")
     kind = df.schema[doc_id].dataType.simpleString()
     scored = dealt.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(
         score, f"doc_id {kind}, training boolean, n_tokens long, n_known long, base_score double, score double")

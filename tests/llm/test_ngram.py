@@ -69,6 +69,12 @@ def test_probabilities_after_a_word_sum_to_one(spark):
     assert abs(sum(lam * pairs[b"a", w] / c + (1 - lam) * (single[w] + 1) / shares for w in words) - 1) < 1e-12
 
 
+def test_counts_of_any_size_are_packed_whole():
+    for counts in ([], [0, 1, 254, 255, 256, 2**40, 3], [255] * 5):
+        packed = ngram._squeezed(np.array(counts, np.int64))
+        assert ngram._stretched(packed, len(counts)).tolist() == counts
+
+
 def test_failure_arcs_are_followed_to_the_state_that_reads():
     automaton = ngram.Automaton(3)
     automaton.fail, automaton.fail_weight = [0, 0, 1], [0.0, -1.0, -0.5]
