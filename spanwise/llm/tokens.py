@@ -8,9 +8,9 @@ number columns take delta encoding (format version 2); row groups and pages are
 which the writer always adds, let a reader with a filter on doc_id skip pages, and one that wants
 counts alone never touches the ids.
 
-Texts are cut into pieces that the vocabulary treats apart: words in lower case, as its own pattern has them, where a text keeps to
-Latin-1, else runs between white space, which the vocabulary drops. The library encodes the distinct pieces of a worker once, in
-batches, in a cache that is emptied when it holds ``CACHE_PIECES``.
+Texts are cut at white space, which the vocabulary drops, and the pieces, where they keep to Latin-1, into words in lower case, as the
+vocabulary's own pattern has them. A worker has the library encode distinct words once, in batches. Its caches of pieces and words
+are emptied when they hold ``CACHE_PIECES`` and ``CACHE_WORDS``.
 
 Results: a null text is empty and has the end id alone. Rows without doc_id come first, copies of an id stand together,
 ordered by text. Other columns play no part. An empty table writes no row and reads back as an empty frame.
@@ -38,7 +38,7 @@ PART_BYTES = 32 << 20
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 512
-CACHE_PIECES = 600_000
+CACHE_PIECES, CACHE_WORDS = 200_000, 400_000
 BATCH_PIECES = 10_000
 END_ID = 1
 
@@ -54,18 +54,21 @@ LAYOUT = {
 }
 
 _PIECES = re.compile(f"[^{WHITE}]+")
+_CONTROLS = re.compile("[\x1c-\x1f]")
 _LETTERS, _NUMBERS, _BLANKS = LATIN
-_LATIN_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
+_LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
 
 
 class PieceEncoder:
-    """The library's ids of texts, by distinct pieces between white space."""
+    """The library's ids of texts, by distinct pieces between white space and distinct words in these."""
 
     def __init__(self, content: bytes):
         self.library = Tokenizer.from_str(content.decode())
         self.library.no_truncation()
         self.library.no_padding()
-        self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -74,25 +77,49 @@ class PieceEncoder:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return _PIECES.findall(text)
-        # A special token's name stays whole between blanks.
-        return _PIECES.findall(text) if "<|" in text else _LATIN_PIECES.findall(text.lower())
+        if "<|" in text or _CONTROLS.search(text):  # names of special tokens; blanks that are none to the library
+            return _PIECES.findall(text)
+        return text.lower().split()
+
+    @staticmethod
+    def words_of(piece: str) -> list[str]:
+        """The words of a piece that the vocabulary's pattern tells apart; the piece itself beyond Latin-1."""
+        try:
+            piece.encode("latin-1")
+        except UnicodeEncodeError:
+            return [piece]
+        return [piece] if "<|" in piece else _LATIN_WORDS.findall(piece.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
         split = [self.cut(t) for t in texts]
-        if len(self.cache) >= CACHE_PIECES:
-            self.cache.clear()
-        ids = self.cache
+        ids = self.pieces
+        if len(ids) >= CACHE_PIECES:
+            ids.clear()
         new = list(set().union(*split) - ids.keys())
-        long = [p for p in new if len(p) > 64]
+        apart = [self.words_of(p) for p in new]
+        self._learn(set().union(*apart))
+        word = self.words.__getitem__
+        ids.update(zip(new, [b"".join(map(word, words)) for words in apart]))
+        out = [b"".join(map(ids.__getitem__, text)) for text in split]
+        for piece in new:
+            if len(piece) > 64:
+                del ids[piece]
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        """Encode the words that are not known yet; very long ones are kept as long as they are needed."""
+        if len(self.words) >= CACHE_WORDS:
+            self.words.clear()
+            self.long = []
+        for word in self.long:
+            del self.words[word]
+        new = list(words - self.words.keys())
+        self.long = [w for w in new if len(w) > 64]
         for at in range(0, len(new), BATCH_PIECES):
             some = new[at:at + BATCH_PIECES]
             found = self.library.encode_batch_fast(some, add_special_tokens=False)
-            ids.update(zip(some, [array("I", e.ids).tobytes() for e in found]))
-        out = [b"".join(map(ids.__getitem__, text)) for text in split]
-        for p in long:
-            del ids[p]
-        return out
+            self.words.update(zip(some, [array("I", e.ids).tobytes() for e in found]))
 
 
 @lru_cache(maxsize=2)
