@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwise.functions import packed_bucket, packed_gap, parse_packed
-from spanwise.operators import rebuild_spans
+from spanwise.operators import mobility_packed, rebuild_spans
 from spanwise.plans import CATALOG
 from spanwise.sources import events as ev
-from spanwise.sources import read_spans, write_spans
+from spanwise.sources import TABLES, read_spans, register_tables, write_spans
 from spanwise.streaming import shared_folder, stream_result
 
 try:
@@ -136,6 +136,37 @@ def _scan_stream(table, make):
     return run
 
 
+def _malformed_towers(spark, sf_dir):
+    """Stays whose end is no packed time at three of the towers: a word, 18 digits, missing."""
+    text, tower = F.col("end_ts").cast("string"), F.col("tower_id")
+    bad = F.when(tower == "T1", "junk").when(tower == "T2", F.concat(F.lit("0"), text)).when(tower != "T3", text)
+    return _full_mono_towers(spark, sf_dir).select("unique_id", "tower_id", bad.alias("end_ts"))
+
+
+def _malformed_parse(spark, sf_dir):
+    df = _malformed_towers(spark, sf_dir)
+    return _naive(df.withColumn("end_time", parse_packed("end_ts")))
+
+
+def _malformed_mobility(spark, sf_dir):
+    return mobility_packed(_malformed_towers(spark, sf_dir), "unique_id", "tower_id", "end_ts", DAY_PACKED, 1)
+
+
+def _views_question(spark, sf_dir):
+    """The four tables as files and views: how many stays began during a call of the same user, by tower."""
+    folder = shared_folder(spark, "views")
+    makers = {"mono_calls": _full_mono_calls, "bi_calls": _full_bi_calls, "mono_towers": _full_mono_towers,
+              "bi_towers": _full_bi_towers}
+    for table, make in makers.items():
+        for _ in range(2):  # the second write replaces the first
+            write_spans(make(spark, sf_dir).repartition(2), f"{folder}/{TABLES[table].folder}", table)
+    register_tables(spark, folder)
+    return spark.sql("""
+        SELECT t.tower_id, count(*) AS stays, count(DISTINCT c.unique_id) AS calls
+        FROM bi_towers t JOIN mono_calls c ON t.unique_id = c.calling_party
+        WHERE t.event_type = 0 AND t.event_time BETWEEN c.start_time AND c.end_time GROUP BY t.tower_id""")
+
+
 def _full_mono_calls(spark, sf_dir):
     seconds = F.timestamp_diff("SECOND", F.col("start_time"), F.col("end_time"))
     return _mono_packed(spark, sf_dir).withColumns({
@@ -205,6 +236,9 @@ def _span_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_bi_towers_csv": _scan("bi_towers", _full_bi_towers),
         "scan_mono_towers_csv_stream": _scan_stream("mono_towers", _full_mono_towers),
         "scan_bi_towers_csv_stream": _scan_stream("bi_towers", _full_bi_towers),
+        "packed_parse_malformed": _malformed_parse,
+        "mobility_packed_malformed": _malformed_mobility,
+        "views_question": _views_question,
         # With the customary constants of each query.
         "mobility_mono_5s_exact_default": _batch("mobility_mono_5s_exact", _packed(ev.mono_towers, SECONDS_APART, _MONO)),
         "mobility_mono_5s_approx_default": _batch("mobility_mono_5s_approx", _dense(ev.mono_towers, SECONDS_APART)),
@@ -282,6 +316,12 @@ SELECT ({end} // {width}) * {width} AS window_start, unique_id, count(DISTINCT t
 FROM mono_towers GROUP BY 1, 2 HAVING count(DISTINCT tower_id) > 2 ORDER BY 1, 2"""
 
 
+#: Users with more than so many towers in a bucket of one day: packed time, table, threshold.
+_PACKED_DAYS = f"""
+SELECT ({{0}} // {DAY_PACKED}) * {DAY_PACKED} AS window_start, unique_id, count(DISTINCT tower_id) AS distinct_items
+FROM {{1}} WHERE {{0}} IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT tower_id) > {{2}}"""
+
+
 def _mobility_total(least: int, views: str = _VIEWS) -> str:
     return views + f"""
 SELECT unique_id, count(DISTINCT tower_id) AS distinct_items
@@ -329,6 +369,9 @@ def _span_texts() -> dict[str, str]:
 packed_pairs AS (
   SELECT s.calling_party, s.unique_id, s.event_ts AS start_ts, e.event_ts AS end_ts
   FROM packed s JOIN packed e ON s.unique_id = e.unique_id WHERE s.event_type = 0 AND e.event_type = 1)"""
+    malformed = _VIEWS + f""", malformed AS (
+  SELECT unique_id, tower_id, end_time, CASE tower_id WHEN 'T1' THEN 'junk' WHEN 'T2' THEN '0' || CAST({end} AS VARCHAR)
+    WHEN 'T3' THEN NULL ELSE CAST({end} AS VARCHAR) END AS end_ts FROM mono_towers)"""
     seconds, minutes = _dense_views(SECONDS_APART), _dense_views(MINUTES_APART)
     five_s, five_m = {"width": "5 SECOND", "views": seconds}, {"width": "5 MINUTE", "least": 5, "views": minutes}
     imei = "unique_id + 100000000000000 AS imei"
@@ -386,6 +429,15 @@ FROM bi_calls""",
         "scan_bi_towers_csv": scan_bi_towers,
         "scan_mono_towers_csv_stream": scan_mono_towers,
         "scan_bi_towers_csv_stream": scan_bi_towers,
+        "packed_parse_malformed": malformed + """
+SELECT unique_id, tower_id, end_ts, CASE WHEN tower_id NOT IN ('T1', 'T2', 'T3')
+  THEN date_trunc('millisecond', end_time) END AS end_time FROM malformed""",
+        "mobility_packed_malformed": malformed + _PACKED_DAYS.format("TRY_CAST(end_ts AS BIGINT)", "malformed", 1),
+        "views_question": _VIEWS + """
+SELECT t.tower_id, count(*) AS stays, count(DISTINCT c.unique_id) AS calls
+FROM bi_towers t JOIN mono_calls c ON t.unique_id = c.calling_party
+WHERE t.event_type = 0 AND date_trunc('millisecond', t.event_time)
+  BETWEEN date_trunc('millisecond', c.start_time) AND date_trunc('millisecond', c.end_time) GROUP BY t.tower_id""",
         "mobility_mono_5s_exact_default": _mobility_packed(end, 5000, seconds),
         "mobility_mono_5s_approx_default": _windowed("mono_towers", "end_time", **five_s),
         "mobility_bi_5s_approx_default": _windowed("bi_towers", "event_time", enter, **five_s),
