@@ -5,8 +5,7 @@ stand in one contiguous array beside the merge ranks of adjacent parts; the lowe
 its boundary is deleted and the two neighbouring ranks are looked up anew, until no rank is left. The words that a
 slice of texts has and the cache has not are merged together, as the rows of one matrix of parts and one of ranks: each
 round scans, deletes and refreshes once in every word. Words of more than ``SCAN_BYTES`` bytes take a heap over the
-same ranks, so that a text without blanks is not quadratic. The cache of a worker is emptied when it holds
-``CACHE_WORDS`` words.
+same ranks, so that a text without blanks is not quadratic. The cache of a worker holds about ``CACHE_WORDS`` words.
 
 Results: a null text is an empty one, with no ids. Rows are kept as they come, repeated or not, and columns
 that are not named play no part, whatever their names. An empty table gives an empty one.
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spanwise.llm.common import map_texts, texts_of
+from spanwise.llm.common import Kept, map_texts, texts_of
 
 SCAN_BYTES = 64
 CACHE_WORDS = 500_000
@@ -103,21 +102,20 @@ class Codec:
         self.rank = {a << 32 | b: r for r, (a, b) in enumerate(pairs)}
         self.ranks = PairRanks(pairs)
         self.library = Tokenizer.from_str(content.decode()).pre_tokenizer
-        self.cache: dict[str, bytes] = {}
+        self.cache = Kept(CACHE_WORDS)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
         split = [self._words(t) for t in texts]
         ids = self.cache
-        if len(ids) >= CACHE_WORDS:
-            ids.clear()
-        ids.update((t, i.to_bytes(4, "little")) for t, i in self.special.items())
-        new = list(set().union(*split) - ids.keys())
+        wanted = set().union(*split) - self.special.keys()
+        new = ids.missing(wanted)
         ids.update(zip(new, self.merge([w.encode() for w in new])))
+        ids.update((t, i.to_bytes(4, "little")) for t, i in self.special.items())
         out = [b"".join(map(ids.__getitem__, words)) for words in split]
         for word in new:
             if len(word) > 64:
-                del ids[word]
+                ids.drop(word)
         return out
 
     def _words(self, text: str) -> list[str]:

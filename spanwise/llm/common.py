@@ -46,16 +46,40 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+class Kept(dict):
+    """A bounded cache that, when full, keeps what was asked for again since the last time and drops the rest.
+
+    Most distinct words of a corpus come once; those that come again make up nearly all of it.
+    """
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.again = limit, set()
+
+    def missing(self, wanted: set) -> list:
+        """Those of the wanted keys that are not held; takes note of the others."""
+        if len(self) >= self.limit:
+            kept = {k: self[k] for k in self.again} if len(self.again) <= self.limit * 3 // 4 else {}
+            self.clear()
+            self.update(kept)
+            self.again.clear()
+        new = list(wanted - self.keys())
+        self.again |= wanted.difference(new)
+        return new
+
+    def drop(self, key) -> None:
+        del self[key]
+        self.again.discard(key)
+
+
 def shared_path(spark: SparkSession, purpose: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which all executors reach.
 
-    Where the setting is missing, one is set below the warehouse folder, which a session has in any case.
+    Where the setting is missing, below the warehouse folder, which a session has in any case.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -9,8 +9,8 @@ which the writer always adds, let a reader with a filter on doc_id skip pages, a
 counts alone never touches the ids.
 
 Texts are cut at white space, which the vocabulary drops, and the pieces, where they keep to Latin-1, into words in lower case, as the
-vocabulary's own pattern has them. A worker has the library encode distinct words once, in batches. Its caches of pieces and words
-are emptied when they hold ``CACHE_PIECES`` and ``CACHE_WORDS``.
+vocabulary's own pattern has them. A worker has the library encode distinct words once, in batches, as long as its caches of about
+``CACHE_PIECES`` and ``CACHE_WORDS`` hold them.
 
 Results: a null text is empty and has the end id alone. Rows without doc_id come first, copies of an id stand together,
 ordered by text. Other columns play no part. An empty table writes no row and reads back as an empty frame.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spanwise.llm.bpe import LATIN, WHITE, id_lists, load_vocabulary
-from spanwise.llm.common import pieces, slices, small, stored, text_bytes, texts_of
+from spanwise.llm.common import Kept, pieces, slices, small, stored, text_bytes, texts_of
 
 PART_BYTES = 32 << 20
 ROW_GROUP_BYTES = 16 << 20
@@ -66,9 +66,7 @@ class PieceEncoder:
         self.library = Tokenizer.from_str(content.decode())
         self.library.no_truncation()
         self.library.no_padding()
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.long: list[str] = []
+        self.pieces, self.words = Kept(CACHE_PIECES), Kept(CACHE_WORDS)
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -94,32 +92,25 @@ class PieceEncoder:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
         split = [self.cut(t) for t in texts]
         ids = self.pieces
-        if len(ids) >= CACHE_PIECES:
-            ids.clear()
-        new = list(set().union(*split) - ids.keys())
+        new = ids.missing(set().union(*split))
         apart = [self.words_of(p) for p in new]
-        self._learn(set().union(*apart))
+        learnt = self._learn(set().union(*apart))
         word = self.words.__getitem__
         ids.update(zip(new, [b"".join(map(word, words)) for words in apart]))
         out = [b"".join(map(ids.__getitem__, text)) for text in split]
-        for piece in new:
-            if len(piece) > 64:
-                del ids[piece]
+        for cache, added in ((ids, new), (self.words, learnt)):
+            for long in [p for p in added if len(p) > 64]:
+                cache.drop(long)
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        """Encode the words that are not known yet; very long ones are kept as long as they are needed."""
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-            self.long = []
-        for word in self.long:
-            del self.words[word]
-        new = list(words - self.words.keys())
-        self.long = [w for w in new if len(w) > 64]
+    def _learn(self, words: set[str]) -> list[str]:
+        """Encode the words that are not known yet."""
+        new = self.words.missing(words)
         for at in range(0, len(new), BATCH_PIECES):
             some = new[at:at + BATCH_PIECES]
             found = self.library.encode_batch_fast(some, add_special_tokens=False)
             self.words.update(zip(some, [array("I", e.ids).tobytes() for e in found]))
+        return new
 
 
 @lru_cache(maxsize=2)
