@@ -20,7 +20,7 @@ from spanwise.streaming import shared_folder, stream_result
 
 try:
     from spanwise.llm import registry as corpus
-except ModuleNotFoundError as missing:  # the folder may be left out; anything else it lacks is an error
+except ImportError as missing:  # the folder may be left out; anything else it lacks is an error
     if missing.name != "spanwise.llm":
         raise
     corpus = None
