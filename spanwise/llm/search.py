@@ -29,7 +29,8 @@ SCALE = 256
 SEGMENTS = (1, 4, 16)
 CANDIDATES = 8_192
 QUERIES = 512
-TILE = 1_024
+TILE, FIRST_TILE = 1_024, 64
+PAIRS = 50_000
 LAST = np.iinfo(np.int64).max
 
 
@@ -55,11 +56,15 @@ def _bound(q: tuple, v: tuple) -> np.ndarray:
     return q[0] @ v[0].T + q[1] @ v[1].T + q[2] @ v[2].T
 
 
-def _scores(q: np.ndarray, v: np.ndarray, exact: bool) -> np.ndarray:
-    """Inner products row by row."""
-    if exact:
-        return np.einsum("ij,ij->i", q.astype(np.float64), v.astype(np.float64)).astype(np.int64)
-    return np.einsum("ij,ij->i", q, v)
+def _scores(q: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray, exact: bool) -> np.ndarray:
+    """Inner products of the rows a of q with the rows b of v: one product of matrices where most pairs are wanted."""
+    if exact and 8 * len(a) > len(q) * len(v):
+        return (q.astype(np.float64) @ v.astype(np.float64).T)[a, b].astype(np.int64)
+    out = np.empty(len(a), np.int64)
+    for at in range(0, len(a), PAIRS):
+        some = slice(at, at + PAIRS)
+        out[some] = np.einsum("ij,ij->i", q[a[some]], v[b[some]])
+    return out
 
 
 def best(q_rows, q, v_rows, v_ids, v, k: int):
@@ -73,8 +78,9 @@ def best(q_rows, q, v_rows, v_ids, v, k: int):
     slack = 1e-9 * (1 + largest)  # of rounding in the bounds
     top_scores = np.full((len(q), k), np.iinfo(np.int64).min, np.int64)
     top_places = np.full((len(q), k), -1, np.int64)
-    for first in range(0, len(order), TILE):
-        places = order[first:first + TILE]
+    # A first small tile gives every query a floor to measure the bounds of the others against.
+    for first in [0, *range(FIRST_TILE, len(order), TILE)]:
+        places = order[first:first + (TILE if first else FIRST_TILE)]
         tile = v[places]
         enough = top_places[:, -1] >= 0
         floor = np.where(enough, top_scores[:, -1].astype(np.float64), -np.inf)
@@ -88,7 +94,7 @@ def best(q_rows, q, v_rows, v_ids, v, k: int):
         a, b = np.nonzero(alive)
         if not len(a):
             continue
-        scores = _scores(q[a], tile[b], exact)
+        scores = _scores(q, tile, a, b, exact)
         keep = scores > np.where(enough, top_scores[:, -1], np.iinfo(np.int64).min)[a]
         keep |= ~enough[a]
         a, scores, found = a[keep], scores[keep], places[b[keep]]

@@ -42,6 +42,8 @@ def test_query_with_ties_and_invalid_vectors(spark, tmp_path):
 def test_blocks_and_bounds(monkeypatch):
     rng = np.random.default_rng(2)
     monkeypatch.setattr(search, "TILE", 64)
+    monkeypatch.setattr(search, "FIRST_TILE", 6)
+    monkeypatch.setattr(search, "PAIRS", 50)
     for scale in (40, 10**7):
         v = rng.integers(-scale, scale, (700, 33))
         q = np.concatenate([v[:10], rng.integers(-scale, scale, (10, 33))])
