@@ -93,7 +93,7 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 
 def small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
     """A stored frame, marked for sending to all executors if it holds ``rows`` rows at most."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:

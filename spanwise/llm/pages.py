@@ -215,7 +215,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id") -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): ``page_id``, ``url`` and ``text``."""
     low = stored(style_nodes(pages).where(F.col("importance") < THRESHOLD).select("host", "path"), "low-nodes")
     sites = low.groupBy("host").agg(F.collect_set("path").alias("removed"))
-    if low.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if low.count() <= BROADCAST_ROWS:
         sites = F.broadcast(sites)
     joined = (pages.select(F.col(page_id).alias("page_id"), "url", "html", host(F.col("url")).alias("host"))
               .join(sites, "host", "left").select("page_id", "url", "html", "removed"))
