@@ -43,7 +43,7 @@ BATCH_PIECES = 10_000
 END_ID = 1
 
 LAYOUT = {
-    "compression": "zstd",
+    "compression": "snappy",
     "parquet.writer.version": "v2",
     "parquet.enable.dictionary": "true",
     "parquet.block.size": str(ROW_GROUP_BYTES),
@@ -54,7 +54,7 @@ LAYOUT = {
 }
 
 _PIECES = re.compile(f"[^{WHITE}]+")
-_CONTROLS = re.compile("[\x1c-\x1f]")
+_CONTROLS = "\x1c\x1d\x1e\x1f"
 _LETTERS, _NUMBERS, _BLANKS = LATIN
 _LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
 
@@ -71,12 +71,13 @@ class PieceEncoder:
     @staticmethod
     def cut(text: str) -> list[str]:
         """Pieces whose ids, one after the other, are those of the text."""
+        # Names of special tokens stay whole, and some control characters are blanks to Python alone.
+        if "<|" in text or any(c in text for c in _CONTROLS):
+            return _PIECES.findall(text)
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return _PIECES.findall(text)
-        if "<|" in text or _CONTROLS.search(text):  # names of special tokens; blanks that are none to the library
-            return _PIECES.findall(text)
         return text.lower().split()
 
     @staticmethod
