@@ -1,6 +1,7 @@
 """Main text of web pages by a site style tree.
 
-Pages of one host are merged into a tree of nodes: a node is the path of tags and classes from the body. Every
+Pages of one host are merged into a tree of nodes: a node is the path of tags, classes and marks from the body, known by a running
+hash (XXH64) of all of them. Every
 node counts the distinct texts that the host's distinct pages show at it, and the entropy of that count, as
 a share of the largest possible (1: every page says something else; 0: all say the same), is the importance of its
 content; a node that one page alone has is important. Its presentation weighs on it: branches that are marked as
@@ -23,6 +24,7 @@ import html
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,8 +76,8 @@ def _marks(tag: str, attributes: str, in_content: bool) -> tuple[str, str, bool]
     else:
         found = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in _ATTRIBUTE.findall(attributes)}
     role = found.get("role", "").lower()
-    names = [n for n in f"{found.get('class', '')} {found.get('id', '')}".lower().split() if len(n) < 100]
-    name = tag + "".join("." + _DIGITS.sub("0", n) for n in names[:8]) + (f"@{role}" if role else "")
+    names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+    name = " ".join([tag, *(_DIGITS.sub("0", n) for n in names)]) + (f"\n@{role}" if role else "")
     hidden = ("hidden" in found or found.get("aria-hidden", "").lower() == "true"
               or bool(_HIDDEN.search(found.get("style", ""))))
     if tag in NOISE_TAGS or role in NOISE_ROLES or tag == "header" and not in_content:
@@ -92,13 +94,13 @@ def _marks(tag: str, attributes: str, in_content: bool) -> tuple[str, str, bool]
 class _Node:
     __slots__ = ("tag", "path", "mark", "gone")
 
-    def __init__(self, tag: str, path: str, mark: str, gone: bool):
+    def __init__(self, tag: str, path: int, mark: str, gone: bool):
         self.tag, self.path, self.mark, self.gone = tag, path, mark, gone
 
 
 def blocks(page: str, removed=frozenset()):
     """The blocks of a page in order: (path, mark, text). removed: paths whose branches are left out."""
-    stack = [_Node("", "", "", False)]
+    stack = [_Node("", 0, "", False)]
     parts: list[str] = []
 
     def flush():
@@ -163,8 +165,8 @@ def blocks(page: str, removed=frozenset()):
             continue
         top = stack[-1]
         name, mark, gone = _marks(tag, token[3], top.mark == "content")
-        path = f"{top.path}/{name}" if len(top.path) < 2000 else top.path
         mark = "noise" if "noise" in (top.mark, mark) else mark or top.mark
+        path = xxhash.xxh64_intdigest(f"{top.path}/{mark}/{name}") - (1 << 63)
         stack.append(_Node(tag, path, mark, top.gone or gone or tag in DROPPED or path in removed))
     yield from flush()
 
@@ -193,14 +195,14 @@ def style_nodes(pages: DataFrame) -> DataFrame:
                 batch.column("host").to_pylist(), batch.column("page_key").to_pylist(), texts_of(batch, "html"))
                 for path, mark, text in blocks(page)]
             columns = list(zip(*rows)) or [()] * 5
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
                                               ["host", "page_key", "path", "mark", "text"])
 
         return step
 
     keyed = pages.where("html IS NOT NULL").select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("page_key"), "html")
-    shown = map_texts(keyed, "host string, page_key long, path string, mark string, text string", make, "html")
+    shown = map_texts(keyed, "host string, page_key long, path long, mark string, text string", make, "html")
     texts = (shown.select("host", "path", "mark", F.xxhash64("text").alias("text"), "page_key").distinct()
              .groupBy("host", "path", "mark", "text").agg(F.count("*").alias("c")))
     nodes = texts.groupBy("host", "path", "mark").agg(

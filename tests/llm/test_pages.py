@@ -50,3 +50,15 @@ def test_deep_and_long_pages_and_empty_table(spark):
     assert text_of("<p a=\"" + "x" * 200_000) == ["<p a=\"" + "x" * 200_000]
     assert text_of("<p>" + "word " * 200_000)[0] == ("word " * 200_000).strip()
     assert pages.main_text(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("opened, closed, noise, article", [
+    ("", "", "a b c d e f g h sidebar", "a b c d e f g h article-body"),
+    ("", "", "x" * 120 + "-one sidebar", "x" * 120 + "-two"),
+    ("<div class='alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima'>" * 40, "</div>" * 40, "sidebar", "body"),
+])
+def test_nodes_with_many_names_and_deep_nodes_stay_apart(spark, opened, closed, noise, article):
+    rows = [(n, f"https://a.example.com/{n}", f"<body>{opened}<div class='{noise}'>Links {n}</div><div class='{article}'>Text {n}</div>{closed}", "")
+            for n in range(6)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {n: f"Text {n}" for n in range(6)}
