@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe, chat, contamination, credentials, language, ngram, oracles, pages, search, simhash, tokens
+from spanwise.llm import bpe, chat, contamination, credentials, language, licenses, ngram, oracles, pages, search, simhash, tokens
 from spanwise.llm.common import shared_path
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -82,6 +82,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+    def joined(*labels):
+        return F.array_join(F.array_sort(F.array_distinct(F.concat(*labels))), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.start").alias("first_word"), F.array_max("base.start").alias("last_word"),
+        joined(F.col("base.label")).alias("base_labels"), joined(F.col("base.label"), F.col("spans.label")).alias("labels"),
+        F.col("best_share").alias("score"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository
 
@@ -100,6 +113,7 @@ def queries() -> dict:
         "op8_top_k": op8_top_k,
         "op9_secrets": op9_secrets,
         "op10_bpe": op10_bpe,
+        "op13_licenses": op13_licenses,
         "pipeline": pipeline,
     }
 
