@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe, chat, contamination, credentials, language, licenses, ngram, oracles, pages, search, simhash, tokens
+from spanwise.llm import bpe, chat, contamination, credentials, language, licenses, ngram, oracles, pages, search, simhash, tokens, trie
 from spanwise.llm.common import shared_path
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -82,6 +82,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(trie.sequences(_table(spark, sf_dir, "conversations"))))
+
+
 def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -113,6 +117,7 @@ def queries() -> dict:
         "op8_top_k": op8_top_k,
         "op9_secrets": op9_secrets,
         "op10_bpe": op10_bpe,
+        "op12_trie": op12_trie,
         "op13_licenses": op13_licenses,
         "pipeline": pipeline,
     }
