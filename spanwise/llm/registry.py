@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe, chat, contamination, credentials, language, licenses, ngram, oracles, pages, search, simhash, tokens, trie
+from spanwise.llm import bpe, chat, contamination, credentials, language, licenses, ngram, oracles, pages, repair, search, simhash, tokens, trie
 from spanwise.llm.common import shared_path
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -82,6 +82,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.rebuilt(trie.sequences(_table(spark, sf_dir, "conversations"))))
 
@@ -117,6 +121,7 @@ def queries() -> dict:
         "op8_top_k": op8_top_k,
         "op9_secrets": op9_secrets,
         "op10_bpe": op10_bpe,
+        "op11_repair": op11_repair,
         "op12_trie": op12_trie,
         "op13_licenses": op13_licenses,
         "pipeline": pipeline,
@@ -129,4 +134,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": oracles.CONTAMINATION,
         "op8_top_k": oracles.SEARCH,
         "op9_secrets": oracles.SECRETS,
+        "op11_repair": oracles.REPAIR,
+        "op12_trie": oracles.TRIE,
     }

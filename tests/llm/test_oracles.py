@@ -17,4 +17,4 @@ def test_equals_duckdb(spark, name):
 
 def test_one_query_for_each_operator():
     numbers = [name.split("_")[0] for name in registry.queries() if name != "pipeline"]
-    assert sorted(numbers) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(numbers) == sorted(f"op{n}" for n in range(1, 14))
