@@ -40,6 +40,8 @@ def rebuild_spans(
     one_per_id: bool = False,
     time: str = "event_time",
     copies: str | None = None,
+    one_scan: bool = False,
+    closes: str | None = None,
 ) -> DataFrame:
     """Pair each START with the ENDs of equal ``id`` and ``keys``: id, keys, keep, start_time, end_time.
 
@@ -54,8 +56,11 @@ def rebuild_spans(
     START and one END per id and keys: the source is then read once and combined before its single
     shuffle; a broken promise raises an error at run time rather than losing pairs.
 
-    On a stream a bound is required and ``time`` must carry a watermark: both let old signals leave
-    the state. The result's watermark column is ``start_time``.
+    On a stream a bound is required and ``time`` must carry a watermark: both let old signals leave the state. A pair leaves
+    as its second signal comes, from a join of the stream with itself that reads the source twice; its watermark column is
+    ``start_time``. With ``one_scan`` the source is read once: an aggregation gathers the signals of an id in windows that
+    overlap by the bound, and pairs leave when the watermark has passed their window. ``closes`` then names a column to add,
+    which carries the watermark on: a time that grows with ``start_time`` and lies ``stream_lag(bound)`` behind it at most.
     """
     signals = df if where is None else df.where(where)
     if df.isStreaming and (bound is None or one_per_id):
@@ -63,6 +68,11 @@ def rebuild_spans(
     if one_per_id:
         return _rebuild_grouped(signals, id, keys, bound, keep, time)
 
+    if one_scan:
+        if not df.isStreaming:
+            raise ValueError("one_scan is for streams; one_per_id reads a batch frame once")
+        return _rebuild_stream(signals, id, keys, bound, keep, time, closes)
+
     on = [id, *keys]
     starts = signals.where(F.col("event_type") == START).select(
         *on, *keep, F.col(time).alias("start_time"))
@@ -98,6 +108,29 @@ def _slice(time: Column, bound: str) -> Column:
     return slice_number(F.unix_micros(time.cast("timestamp")), _SLICE_BOUNDS * to_micros(bound))
 
 
+def stream_lag(bound: str) -> str:
+    """How far the time at which a pair leaves a stream lies behind its start at most."""
+    return f"{2 * to_micros(bound)} microseconds"
+
+
+def _rebuild_stream(signals, id, keys, bound, keep, time, closes) -> DataFrame:
+    """A START waits in the window whose first half holds it; every END that its bound admits falls into that window."""
+    on = [id, *keys]
+    is_start, is_end = F.col("event_type") == START, F.col("event_type") == END
+    half, both = (f"{n * to_micros(bound)} microseconds" for n in (1, 2))
+    middle = F.col("_window.start") + F.expr(interval_sql(bound))
+    paired = reduce(and_, [F.col(c).isNotNull() for c in on], is_start | is_end)
+    windowed = signals.where(paired).withColumn("_window", F.window(time, both, half))
+    waiting = windowed.where(is_end | (F.col(time) < middle)).groupBy("_window", *on).agg(
+        F.collect_list(F.when(is_start, F.struct(F.col(time).alias("start_time"), *keep))).alias("_starts"),
+        F.collect_list(F.when(is_end, F.col(time))).alias("_ends"))
+    left = [] if closes is None else [F.window_time("_window").alias(closes)]
+    started = waiting.where(F.size("_ends") > 0).select(*left, *on, "_ends", F.inline("_starts"))
+    within = F.filter("_ends", lambda end: (end >= F.col("start_time")) & (
+        end <= F.col("start_time") + F.expr(interval_sql(bound))))
+    return started.select(*on, *keep, "start_time", F.explode(within).alias("end_time"), *([closes] if closes else []))
+
+
 def _rebuild_grouped(signals, id, keys, bound, keep, time) -> DataFrame:
     on = [id, *keys]
     is_start, is_end = F.col("event_type") == START, F.col("event_type") == END

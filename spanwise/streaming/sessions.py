@@ -1,31 +1,28 @@
 """Back-to-back spans on a stream: the previous span in event-time order, across micro-batches.
 
-Two stateful steps, both on whole pandas batches:
+Two stateful steps:
 
-1. Rows are grouped by (lane, slice of event time) and kept in state. When the watermark has
-   passed a slice, its rows are put in order and compared within the slice; then its state is
-   cleared. Matches leave, and of every key the first and last row of the slice.
-2. Those edge rows are grouped by lane. The last row of a key's slice is carried over to the first
-   row of its next slice, and dropped as soon as nothing can follow it any more.
+1. A windowed aggregation gathers the rows of each (key, slice of event time). When the watermark has passed a slice its rows
+   leave it in order, and each is compared with the one before by array functions: no Python. Matches go on, and of
+   every key and slice one edge: its first start and its last end.
+2. Edges look up the end that their key's slice before has left, in a state keyed by the key. Nothing is read or written
+   but the entries of keys that arrived, and an entry is one number, so a key with any share of all rows weighs as
+   much as another. What nothing can follow any more is dropped as it is seen; a timer sweeps entries of keys that never come again.
 
-A lane holds many keys (by hash), so the cost of a Python call is spread over many rows, and a slice
-bounds what a busy key brings to one task. All slices that end below the watermark leave step 1 in
-the same micro-batch, and rows below it are refused as late, so step 2 sees slices in order.
+All slices that end below the watermark leave step 1 in the same micro-batch, and rows below it are refused as late, so
+step 2 sees slices in order. A lane is a hash group of keys, which spreads the cost of a Python call over many of them.
 """
 
 from __future__ import annotations
 
-import io
 import sys
 from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import (
@@ -35,9 +32,7 @@ from pyspark.sql.streaming.stateful_processor import (
     TimerValues,
 )
 
-from spanwise.durations import slice_number
-
-_BLOB = "batch binary"
+from spanwise.durations import to_micros
 
 # Hash groups of keys, whatever the number of partitions that hold them.
 LANES = 64
@@ -45,8 +40,8 @@ LANES = 64
 # Stands for the end of a span without one: later than every start, so that nothing follows it.
 _NO_END = 2**62
 
-# Columns that only the step between the two operators needs.
-_STEP = {"lane", "lane_or_spread", "emit", "slice_end_us", "prev_us", "match"}
+# Entries of keys that do not come again are looked for once in so many slices.
+_SWEEP_SLICES = 16
 
 # The processors travel to the executors as code: this package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -62,55 +57,60 @@ def back_to_back_stream(
     allow_zero: bool = True,
     slice_s: int = 60,
     lanes: int = LANES,
+    closes: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Streaming twin of ``back_to_back`` with the same columns.
 
-    ``start`` must carry a watermark. A pair is emitted once the watermark has passed the slice of
-    ``slice_s`` seconds in which its second span starts: a longer slice emits later and costs fewer calls, and
-    bounds what one key brings to a task; the pairs are the same. ``lanes`` is the number of hash groups of
+    ``start`` must carry a watermark. Where another column does, ``closes`` names it and how far it lies behind ``start`` at
+    most; it must grow with ``start`` (``rebuild_spans`` adds such a column). A pair is emitted once the watermark has
+    passed the slice of ``slice_s`` seconds in which its second span starts: a longer slice emits later and costs fewer
+    edges, and bounds what one key brings to a task; the pairs are the same. ``lanes`` is the number of hash groups of
     keys. Both are plain numbers that no session setting changes, and must stay the same for the life of a
-    checkpoint. Needs the RocksDB state store, which ``run_stream`` selects.
+    checkpoint (``run_stream`` checks that). Needs the RocksDB state store, which ``run_stream`` selects.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    start_us, end_us = F.unix_micros(start), F.unix_micros(F.col(end).cast("timestamp"))
+    column, lag = closes or (start, None)
+    limit_us, least_us = (max_gap_s + 1) * 1_000_000, 0 if allow_zero else 1
+    row = F.struct(
+        F.unix_micros(start).alias("start_us"), F.col(f"`{id}`").alias("row_id"),
+        F.unix_micros(F.col(end).cast("timestamp")).alias("end_us"))
+    sliced = (
+        df.where(F.col(start).isNotNull() & F.col(column).isNotNull())
+        .groupBy(F.window(column, f"{slice_s} seconds").alias("slice"), *(F.col(f"`{k}`").alias(f"key_{i}") for i, k in enumerate(keys)))
+        .agg(F.sort_array(F.collect_list(row)).alias("rows")))
+
+    def match(before: Column, now: Column) -> Column:
+        return F.struct(F.lit(True).alias("match"), now.start_us.alias("start_us"), now.row_id.alias("row_id"),
+                        before.end_us.alias("prev_us"), F.lit(_NO_END).alias("last_us"))
+
+    def follows(pair: Column) -> Column:
+        gap = pair.start_us - pair.prev_us
+        return (gap >= least_us) & (gap < limit_us)
+
+    count, rows = F.size("rows"), F.col("rows")
+    first, last = F.get(rows, F.lit(0)), F.get(rows, count - 1)
+    matches = F.filter(F.zip_with(F.slice(rows, 1, count - 1), F.slice(rows, 2, count - 1), match), follows)
+    edge = F.struct(F.lit(False).alias("match"), first.start_us.alias("start_us"), first.row_id.alias("row_id"),
+                    F.lit(_NO_END).alias("prev_us"), F.coalesce(last.end_us, F.lit(_NO_END)).alias("last_us"))
+    found = sliced.select(
+        F.window_time("slice").alias("event"), F.unix_micros("slice.end").alias("slice_end_us"),
+        *(f"key_{i}" for i in range(len(keys))), F.inline(F.concat(matches, F.array(edge))))
+
     # Own names inside: the rows reach Python as named tuples, which rename some columns.
-    fields = [_Field(df, name, f"key_{i}") for i, name in enumerate(keys)]
-    fields.append(_Field(df, id, "row_id"))
-    rows = df.where(F.col(start).isNotNull()).select(
-        F.pmod(F.xxhash64(*keys), F.lit(lanes)).cast("int").alias("lane"),
-        slice_number(start_us, slice_s * 1_000_000).alias("slice"),
-        F.col(start).alias("event"),
-        *[column for field in fields for column in field.sent],
-        start_us.alias("start_us"),
-        F.coalesce(end_us, F.lit(_NO_END)).alias("end_us"),
-    )
-    kinds = {f.name: f.dataType for f in rows.schema.fields}
-    inner = [name for field in fields for name in field.inner]
-    row = [T.StructField(c, kinds[c]) for c in inner]
-    long, flag = T.LongType(), T.BooleanType()
-    edges = T.StructType([
-        T.StructField("lane", T.IntegerType()),
-        T.StructField("emit", T.TimestampType()),
-        T.StructField("slice_end_us", long),
-        *row,
-        T.StructField("start_us", long),
-        T.StructField("end_us", long),
-        T.StructField("prev_us", long),
-        T.StructField("first", flag),
-        T.StructField("match", flag),
-    ])
-    rule = _Rule([n for n in inner if not n.startswith("row_id")], fields[-1].inner, max_gap_s, allow_zero)
-    sliced = rows.groupBy("lane", "slice").transformWithStateInPandas(
-        _SliceLag(rule, slice_s * 1_000, edges.fieldNames()), edges, "Append", "EventTime",
-        eventTimeColumnName="emit")
-    # Matches need no state in step 2, so they may go anywhere: spread them by their row.
-    spread = F.when(F.col("match"), lanes + F.pmod(F.xxhash64("row_id", "start_us"), F.lit(lanes)).cast("int"))
-    pairs = T.StructType([*row, T.StructField("start_us", long), T.StructField("prev_us", long)])
-    stitched = (
-        sliced.withColumn("lane_or_spread", F.coalesce(spread, F.col("lane")))
-        .groupBy("lane_or_spread")
-        .transformWithStateInPandas(_EdgeCarry(rule, pairs.fieldNames()), pairs, "Append", "None")
-    )
+    fields = [_Field(found, f"key_{i}", name) for i, name in enumerate(keys)]
+    fields.append(_Field(found, "row_id", id))
+    name = F.concat(*(_text(f"key_{i}") for i in range(len(keys))))
+    # Matches need no state, so they may go anywhere: spread them by their row.
+    lane = F.when(F.col("match"), lanes + F.pmod(F.xxhash64("row_id", "start_us"), F.lit(lanes)).cast("int"))
+    sent = found.select(
+        F.coalesce(lane, F.pmod(F.xxhash64(name), F.lit(lanes)).cast("int")).alias("lane"),
+        F.when(~F.col("match"), name).otherwise(F.lit("")).alias("name"), "event", "slice_end_us",
+        *[c for field in fields for c in field.sent], "start_us", "prev_us", "last_us")
+    kinds = {f.name: f.dataType for f in sent.schema.fields}
+    inner = [c for field in fields for c in field.inner]
+    pairs = T.StructType([T.StructField(c, kinds[c]) for c in [*inner, "start_us", "prev_us"]])
+    carry = _Carry(lanes, limit_us, least_us, slice_s * 1_000_000, 0 if lag is None else to_micros(lag), pairs.fieldNames())
+    stitched = sent.groupBy("lane").transformWithStateInPandas(carry, pairs, "Append", "EventTime")
     prev_end, begin = F.timestamp_micros("prev_us"), F.timestamp_micros("start_us")
     return stitched.select(
         *[field.received for field in fields],
@@ -120,169 +120,98 @@ def back_to_back_stream(
     )
 
 
+def _text(column: str) -> Column:
+    """A key as text that no other value and no neighbour can give: its length and itself, or a dash."""
+    text = F.col(column).cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
 class _Field:
     """A column on its way through pandas, where a number next to a missing one becomes a float.
 
     Numbers are sent without gaps, next to a flag that tells which of them are missing.
     """
 
-    def __init__(self, df: DataFrame, name: str, inner: str) -> None:
-        kind = df.schema[name].dataType
-        column = F.col(f"`{name}`")
+    def __init__(self, df: DataFrame, inner: str, name: str) -> None:
+        kind, column = df.schema[inner].dataType, F.col(inner)
         if isinstance(kind, T.NumericType) and not isinstance(kind, T.DecimalType):
             missing = f"{inner}_missing"
             self.inner = [missing, inner]
             self.sent = [column.isNull().alias(missing), F.coalesce(column, F.lit(0).cast(kind)).alias(inner)]
             self.received = F.when(~F.col(missing), F.col(inner)).alias(name)
         else:
-            self.inner, self.sent = [inner], [column.alias(inner)]
+            self.inner, self.sent = [inner], [column]
             self.received = F.col(inner).alias(name)
 
 
-class _Rule:
-    """Order of rows and the condition between neighbours."""
-
-    def __init__(self, keys: list[str], id: list[str], max_gap_s: int, allow_zero: bool) -> None:
-        self._keys = keys
-        # Missing values come first, as in a sort of Spark.
-        self._order = [(c, "descending" if c.endswith("_missing") else "ascending")
-                       for c in [*keys, "start_us", *id, "end_us"]]
-        self._limit_us = (max_gap_s + 1) * 1_000_000
-        self._least_us = 0 if allow_zero else 1
-
-    def compare(self, rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-        """Rows in order with ``prev_us``; whether each is its key's first, its last, and a match."""
-        # Of equal rows at the edges of a slice, the first stays first.
-        by = [*self._order, ("first", "descending")] if "first" in rows.column_names else self._order
-        order = pc.sort_indices(rows, sort_keys=by, null_placement="at_start")
-        rows = rows.take(order).combine_chunks()
-        first = ~self._same_key(rows)
-        last = np.append(first[1:], True)
-        prev = np.where(first, _NO_END, np.roll(rows["end_us"].to_numpy(), 1))
-        gap = rows["start_us"].to_numpy() - prev
-        match = (prev != _NO_END) & (gap >= self._least_us) & (gap < self._limit_us)
-        return rows.append_column("prev_us", pa.array(prev)), first, last, match
-
-    def _same_key(self, rows: pa.Table) -> np.ndarray:
-        """Whether a row has the key of the row before; missing keys form one group."""
-        same = np.ones(len(rows), dtype=bool)
-        same[0] = False
-        for key in self._keys:
-            if pa.types.is_null(rows[key].type):
-                continue
-            now, before = rows[key].slice(1), rows[key].slice(0, len(rows) - 1)
-            equal = pc.fill_null(pc.equal(now, before), False)
-            missing = pc.and_(pc.is_null(now), pc.is_null(before))
-            same[1:] &= pc.or_(equal, missing).to_numpy()
-        return same
-
-    def may_be_followed(self, rows: pa.Table, from_us: int) -> np.ndarray:
-        """Whether a row that starts at ``from_us`` or later may still match the row."""
-        end = rows["end_us"].to_numpy()
-        return (end != _NO_END) & (end + self._limit_us > from_us)
-
-
-def _table(rows: pd.DataFrame) -> pa.Table:
-    return pa.Table.from_pandas(rows, preserve_index=False).replace_schema_metadata(None)
-
-
-def _join(tables: list[pa.Table]) -> pa.Table:
-    # A column without any value has no type of its own: it takes that of the other tables.
-    return pa.concat_tables(tables, promote_options="permissive").combine_chunks()
-
-
-def _pack(rows: pa.Table) -> bytes:
-    sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, rows.schema) as writer:
-        writer.write_table(rows)
-    return sink.getvalue()
-
-
-def _unpack(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
-
+class _Carry(StatefulProcessor):
+    """Step 2: compare the first row of a key's slice with the last row of its slice before."""
 
-class _SliceLag(StatefulProcessor):
-    """Step 1: keep the rows of one (lane, slice) until the slice is complete, then compare."""
-
-    def __init__(self, rule: _Rule, slice_ms: int, output: list[str]) -> None:
-        self._rule, self._slice_ms, self._output = rule, slice_ms, output
+    def __init__(self, lanes: int, limit_us: int, least_us: int, slice_us: int, lag_us: int, output: list[str]) -> None:
+        self._lanes, self._limit_us, self._least_us = lanes, limit_us, least_us
+        self._slice_us, self._lag_us, self._output = slice_us, lag_us, output
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._batches = handle.getListState("batches", _BLOB)
+        self._ends = handle.getMapState("ends", "name string", "end_us long")
+        self._sweeping = handle.getValueState("sweeping", "at_ms long")
 
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues
     ) -> Iterator[pd.DataFrame]:
-        if not self._batches.exists():
-            self._handle.registerTimer(self._end_ms(key))
-        for batch in rows:
-            kept = batch.drop(columns=["lane", "slice", "event"])
-            self._batches.appendValue((_pack(_table(kept)),))
-        return iter(())
+        if int(key[0]) >= self._lanes:
+            for batch in rows:
+                yield batch[self._output]
+            return
+        edges = pd.concat(list(rows), ignore_index=True).sort_values(["name", "start_us"], ignore_index=True)
+        names, ends = edges["name"].to_numpy(), edges["last_us"].to_numpy()
+        first = np.append(True, names[1:] != names[:-1])
+        last = np.append(first[1:], True)
+        # Rows still to come start at or after the newest slice seen here.
+        floor_us = max(int(edges["slice_end_us"].max()), self._passed_us(timerValues)) - self._lag_us
+        prev, held = np.roll(ends, 1), set()
+        for i in np.flatnonzero(first):
+            value = self._ends.getValue((names[i],))
+            prev[i] = _NO_END if value is None else value[0]
+            if value is not None:
+                held.add(names[i])
+        for i in np.flatnonzero(last):
+            if self._may_be_followed(int(ends[i]), floor_us):
+                self._ends.updateValue((names[i],), (int(ends[i]),))
+            elif names[i] in held:
+                self._ends.removeKey((names[i],))
+        gap = edges["start_us"].to_numpy() - prev
+        match = (prev != _NO_END) & (gap >= self._least_us) & (gap < self._limit_us)
+        if match.any():
+            yield edges.assign(prev_us=prev)[match][self._output]
+        if not self._sweeping.exists() and self._ends.exists():
+            self._sweep_later(timerValues)
 
     def handleExpiredTimer(
         self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
     ) -> Iterator[pd.DataFrame]:
-        kept = _join([_unpack(blob) for (blob,) in self._batches.get()])
-        self._batches.clear()
-        rows, first, last, match = self._rule.compare(kept)
-        edge = first | last
-        rows = rows.append_column("first", pa.array(first))
-        parts = [rows.filter(pa.array(mask)).append_column("match", pa.array(np.full(mask.sum(), flag)))
-                 for mask, flag in ((match, True), (edge, False))]
-        # Past the watermark of the batch before, as a row that leaves must be.
-        end_ms = self._end_ms(key)
-        emit = pd.Timestamp(end_ms + 1, unit="ms", tz="UTC")
-        out = pa.concat_tables(parts).to_pandas()
-        yield out.assign(lane=int(key[0]), emit=emit, slice_end_us=end_ms * 1_000)[self._output]
-
-    def _end_ms(self, key: Any) -> int:
-        return (int(key[1]) + 1) * self._slice_ms
-
-    def close(self) -> None:
-        pass
-
+        floor_us = self._passed_us(timerValues) - self._lag_us
+        dead = [name for name, end in self._ends.iterator() if not self._may_be_followed(end[0], floor_us)]
+        for name in dead:
+            self._ends.removeKey(name)
+        if self._ends.exists():
+            self._sweep_later(timerValues)
+        else:
+            self._sweeping.clear()
+        return iter(())
 
-class _EdgeCarry(StatefulProcessor):
-    """Step 2: compare the first row of a slice with the last row of the key's slice before."""
+    def _may_be_followed(self, end_us: int, floor_us: int) -> bool:
+        return end_us != _NO_END and end_us + self._limit_us > floor_us
 
-    def __init__(self, rule: _Rule, output: list[str]) -> None:
-        self._rule, self._output = rule, output
+    def _passed_us(self, timerValues: TimerValues) -> int:
+        """The start of the slice that holds the watermark: slices before it are complete."""
+        watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
+        return watermark_us - watermark_us % self._slice_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._carried = handle.getValueState("carried", _BLOB)
-
-    def handleInputRows(
-        self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues
-    ) -> Iterator[pd.DataFrame]:
-        # Rows still to come start at or after the end of the newest slice seen here.
-        edges, newest_us = [], -_NO_END
-        for batch in rows:
-            matches = batch[batch["match"]]
-            if len(matches):
-                yield matches[self._output]
-            arrived = batch[~batch["match"]]
-            if len(arrived):
-                newest_us = max(newest_us, int(arrived["slice_end_us"].max()))
-                # ``first`` also says that a row is yet to be compared with the row before.
-                edges.append(_table(arrived[[c for c in arrived if c not in _STEP]]))
-        if not edges:
-            return
-        if self._carried.exists():
-            edges.append(_unpack(self._carried.get()[0]))
-        ordered, _, last, match = self._rule.compare(_join(edges))
-        found = match & ordered["first"].to_numpy()
-        if found.any():
-            yield ordered.filter(pa.array(found)).select(self._output).to_pandas()
-        keep = last & self._rule.may_be_followed(ordered, newest_us)
-        if keep.any():
-            carried = ordered.filter(pa.array(keep)).drop_columns(["first", "prev_us"])
-            carried = carried.append_column("first", pa.array(np.zeros(len(carried), dtype=bool)))
-            self._carried.update((_pack(carried),))
-        else:
-            self._carried.clear()
+    def _sweep_later(self, timerValues: TimerValues) -> None:
+        at_ms = timerValues.getCurrentWatermarkInMs() + _SWEEP_SLICES * self._slice_us // 1000
+        self._handle.registerTimer(at_ms)
+        self._sweeping.update((at_ms,))
 
     def close(self) -> None:
         pass
