@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanwise.plans import CATALOG
 from spanwise.sources import read_spans
-from spanwise.streaming import Monitor, run_stream
+from spanwise.streaming import Monitor, ProgressTable, run_stream
 
 
 def _parse(argv: Sequence[str] | None) -> argparse.Namespace:
@@ -31,6 +31,7 @@ def _parse(argv: Sequence[str] | None) -> argparse.Namespace:
     parser.add_argument("--trigger", default="1 second", help="interval, or 'once' to stop at the end")
     parser.add_argument("--mode", default="append", choices=["append", "update"])
     parser.add_argument("--checkpoint", help="folder to resume from")
+    parser.add_argument("--progress", help="folder that keeps the figures of every micro-batch")
     parser.add_argument("--provider", help="class of the state store of a stream (RocksDB by default)")
     parser.add_argument("--rows", type=int, help="print so many rows of a batch result at most (all by default)")
     return parser.parse_args(argv)
@@ -64,12 +65,16 @@ def main(argv: Sequence[str] | None = None) -> None:
                     header=not args.no_header)
     if args.stream:
         monitor = Monitor()
-        spark.streams.addListener(monitor)
+        listeners = [monitor] + ([Monitor(ProgressTable(spark, args.progress))] if args.progress else [])
+        for listener in listeners:
+            spark.streams.addListener(listener)
         trigger = None if args.trigger == "once" else args.trigger
         store = {"provider": args.provider} if args.provider else {}
-        run = run_stream(query(df, **params), args.sink, args.checkpoint, args.mode, trigger, args.query, **store)
+        settings = {"query": args.query} | query.settings(**params)
+        run = run_stream(query(df, **params), args.sink, args.checkpoint, args.mode, trigger, args.query, settings=settings, **store)
         run.awaitTermination()
-        spark.streams.removeListener(monitor)
+        for listener in listeners:
+            spark.streams.removeListener(listener)
         print(f"runtime of all micro-batches: {monitor.runtime_ms} ms")
         return
     began = time.monotonic()

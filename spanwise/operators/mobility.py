@@ -65,6 +65,53 @@ def mobility(
         *keys, "distinct_items")
 
 
+def mobility_upserts(
+    df: DataFrame, key: str | Sequence[str], item: str, time: str, window: str = "5 minutes", threshold: int = 5,
+) -> DataFrame:
+    """``mobility`` for update mode on a stream, exactly: a row each time a count above ``threshold`` changes.
+
+    Items are told apart first, one state row for each (window, key, item), and then counted, one row for each (window, key): no
+    set grows. Both leave the state as the watermark passes the window. Counts only grow, so the last row of a
+    (window, key) is its result (``UpsertTable`` keeps it). Missing items are not counted.
+    """
+    keys = _list(key)
+    seen = df.where(F.col(time).isNotNull() & F.col(item).isNotNull()).select(
+        F.window(time, window).alias("window"), *keys, F.col(item).alias("_item"))
+    counted = seen.dropDuplicates(["window", *keys, "_item"]).groupBy("window", *keys).agg(
+        F.count(F.lit(1)).alias("distinct_items"))
+    return counted.where(F.col("distinct_items") > threshold).select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "distinct_items")
+
+
+def mobility_sketches(
+    df: DataFrame, key: str | Sequence[str], item: str, time: str, window: str = "5 seconds", precision: int = 12,
+) -> DataFrame:
+    """A HyperLogLog sketch of the items of each (window, key): rows (window_start, key..., sketch), to be stored and merged.
+
+    ``precision`` is the base-2 logarithm of the sketch's registers: 12 errs by about 1.6 %, and small sets are exact.
+    """
+    keys = _list(key)
+    timed = df.where(F.col(time).isNotNull() & F.col(item).isNotNull())
+    return timed.groupBy(F.window(time, window)["start"].alias("window_start"), *keys).agg(
+        F.hll_sketch_agg(item, precision).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, key: str | Sequence[str], window: str | None = None) -> DataFrame:
+    """Stored sketches merged into longer windows (or over all time) without another scan of the spans: rows
+    (window_start, key..., sketch). ``window`` must be a multiple of the window of the sketches."""
+    keys = _list(key)
+    merged = F.hll_union_agg("sketch").alias("sketch")
+    if window is None:
+        return sketches.groupBy(*keys).agg(merged)
+    return sketches.groupBy(F.window("window_start", window)["start"].alias("window_start"), *keys).agg(merged)
+
+
+def sketched_mobility(sketches: DataFrame, threshold: int = 5) -> DataFrame:
+    """Keys whose sketch holds more than ``threshold`` items by estimate, as ``distinct_items``."""
+    counted = sketches.withColumn("distinct_items", F.hll_sketch_estimate("sketch")).drop("sketch")
+    return counted.where(F.col("distinct_items") > threshold)
+
+
 def mobility_packed(
     df: DataFrame,
     key: str | Sequence[str],

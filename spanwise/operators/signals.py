@@ -42,6 +42,7 @@ def rebuild_spans(
     copies: str | None = None,
     one_scan: bool = False,
     closes: str | None = None,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Pair each START with the ENDs of equal ``id`` and ``keys``: id, keys, keep, start_time, end_time.
 
@@ -54,7 +55,10 @@ def rebuild_spans(
     spread over tasks by time and only slices that can match meet. Without a bound the join is on
     the id alone, and adaptive execution splits a skewed id. ``one_per_id`` promises at most one
     START and one END per id and keys: the source is then read once and combined before its single
-    shuffle; a broken promise raises an error at run time rather than losing pairs.
+    shuffle; a broken promise raises an error at run time rather than losing pairs. ``block_rows`` cuts an id (of a time slice) with
+    more STARTs or ENDs than that into blocks of about so many: every block of STARTs meets every block of ENDs in a place of its own,
+    so the pairs of one id spread over tasks. Counts are one more aggregation of the join's keys, and only ids above the
+    limit are copied. Equal signals fall into one block; ``copies`` counts them.
 
     On a stream a bound is required and ``time`` must carry a watermark: both let old signals leave the state. A pair leaves
     as its second signal comes, from a join of the stream with itself that reads the source twice; its watermark column is
@@ -84,26 +88,48 @@ def rebuild_spans(
         return pairs.select(*on, *keep, "start_time", "end_time")
 
     if copies is None:
-        return _pair(starts, ends, on, bound).select(*on, *keep, "start_time", "end_time")
+        return _pair(starts, ends, on, bound, block_rows).select(*on, *keep, "start_time", "end_time")
     return _pair(
         starts.groupBy(starts.columns).agg(F.count("*").alias("_starts")),
         ends.groupBy(ends.columns).agg(F.count("*").alias("_ends")),
-        on, bound,
+        on, bound, block_rows,
     ).select(*on, *keep, "start_time", "end_time", (F.col("_starts") * F.col("_ends")).alias(copies))
 
 
-def _pair(starts: DataFrame, ends: DataFrame, on: list[str], bound: str | None) -> DataFrame:
+def _pair(starts: DataFrame, ends: DataFrame, on: list[str], bound: str | None, block_rows: int | None = None) -> DataFrame:
     if bound is None:
-        return starts.join(ends, on)
+        return _meet(starts, ends, on, block_rows)
     last_end = F.col("start_time") + F.expr(interval_sql(bound))
     first, last = _slice(F.col("start_time"), bound), _slice(last_end, bound)
     starts = starts.withColumn(
         "_slice", F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last))))
     ends = ends.withColumn("_slice", _slice(F.col("end_time"), bound))
-    return starts.join(ends, [*on, "_slice"]).where(
+    return _meet(starts, ends, [*on, "_slice"], block_rows).where(
         (F.col("end_time") >= F.col("start_time")) & (F.col("end_time") <= last_end))
 
 
+def _meet(starts: DataFrame, ends: DataFrame, on: list[str], block_rows: int | None) -> DataFrame:
+    """An inner join on ``on``, with large keys cut into blocks of rows."""
+    if block_rows is None:
+        return starts.join(ends, on)
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        count = F.count(F.lit(1)) + F.lit(block_rows - 1)
+        return side.groupBy(*on).agg(F.call_function("div", count, F.lit(block_rows).cast("long")).alias(name))
+
+    large = blocks(starts, "_n_starts").join(blocks(ends, "_n_ends"), on).where("_n_starts > 1 OR _n_ends > 1")
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        """Each row in a block of its side, once for every block of the other side."""
+        block = F.pmod(F.xxhash64(*side.columns), F.coalesce(F.col(f"_n{own}"), F.lit(1)))
+        every = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(f"_n{other}"), F.lit(1)) - 1)
+        return side.join(large, on, "left").select(*side.columns, block.alias(own), F.explode(every).alias(other))
+
+    cells = ["_starts_block", "_ends_block"]
+    return (dealt(starts, "_starts", "_ends").withColumnsRenamed(dict(zip(("_starts", "_ends"), cells)))
+            .join(dealt(ends, "_ends", "_starts").withColumnsRenamed(dict(zip(("_starts", "_ends"), cells))), [*on, *cells]))
+
+
 def _slice(time: Column, bound: str) -> Column:
     return slice_number(F.unix_micros(time.cast("timestamp")), _SLICE_BOUNDS * to_micros(bound))
 

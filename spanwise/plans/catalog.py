@@ -7,6 +7,7 @@ question is asked with different windows, times and gap rules under different na
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -117,6 +118,13 @@ class Query:
             df = df.withWatermark(*self.watermark)
         return self.plan(df, **params)
 
+    def settings(self, **params) -> dict:
+        """All parameters of the plan with those given, as a checkpoint must keep them."""
+        known = dict(inspect.signature(self.plan).parameters)
+        if "slices" in known:
+            known |= {n: p for n, p in inspect.signature(back_to_back_stream).parameters.items() if n in ("slice_s", "lanes")}
+        return {n: params.get(n, p.default) for n, p in known.items() if p.default is not p.empty}
+
 
 # Event-time column and allowed lateness of each streaming query.
 CATALOG = {

@@ -6,8 +6,11 @@ narrow projections, so they fold into the Parquet scan of whatever query uses th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spanwise.functions import to_packed
 from spanwise.operators.signals import split_spans
@@ -37,6 +40,34 @@ def events_stream(spark: SparkSession, sf_dir: str, closing: str | None = None,
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def portions(df: DataFrame, folder: str, portion: Column, n: int, rows_per_file: int = 2_000_000) -> int:
+    """Write a frame to ``folder`` in ``n`` portions, one after the other, as a stream will read them; files per portion.
+
+    ``portion`` numbers the rows' portions from 0. Every portion has the same number of files, so a limit of that many
+    files to a micro-batch takes one portion at a time.
+    """
+    files = max(1, -(-df.count() // (n * rows_per_file)))
+    for number in range(n):
+        df.where(portion == number).repartition(files).write.mode("append").parquet(folder)
+    return files
+
+
+def portion_by_time(df: DataFrame, n: int) -> Column:
+    """Number of the equal stretch of ``ts``, of ``n`` between the first and the last, that holds a row."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = df.agg(F.min(micros), F.max(micros)).first()
+    if first is None:
+        return F.lit(0)
+    span = F.lit(last - first + 1).cast("long")
+    return F.call_function("div", (micros - F.lit(first)) * F.lit(n).cast("long"), span).cast("int")
+
+
+def folder_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int) -> DataFrame:
+    """Portions as a stream, ``files_per_batch`` files to a micro-batch; ``ts`` becomes TIMESTAMP."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def dense(df: DataFrame, factor: int) -> DataFrame:
     """The events with the distance of ``ts`` to 1970 divided by ``factor``, in whole microseconds.
 
@@ -74,9 +105,10 @@ def mono_calls(df: DataFrame) -> DataFrame:
     )
 
 
-def mono_towers(df: DataFrame) -> DataFrame:
+def mono_towers(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     digit = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     return df.select(
+        *keep,
         F.col("user_id").alias("unique_id"),
         F.concat(F.lit("T"), (digit % 10 + 1).cast("string")).alias("tower_id"),
         F.col("ts").alias("start_time"),

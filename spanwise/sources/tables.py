@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,6 +126,46 @@ def read_spans(
     return parsed.withColumn("ingestion_time", F.current_timestamp()) if ingestion_time else parsed
 
 
+def read_checked(spark: SparkSession, path: str, table: str) -> tuple[DataFrame, DataFrame]:
+    """CSV files of one of ``TABLES`` in two halves: rows of sound lines, as ``read_spans`` gives them, and a quarantine.
+
+    The quarantine has a row for each line that is not sound: ``file``, ``line`` (from 1, header and blank lines included),
+    ``record`` and ``fault``: ``cells`` for too few or too many, or the first column whose value does not parse, packed times
+    included. Header lines are known by their text and skipped, and so are blank lines; a file with another header has it in the
+    quarantine. Files are read in blocks like any others: lines are counted within a block, and blocks are summed up.
+    """
+    layout = TABLES[table]
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    blank = F.length(F.trim("value")) == 0
+    header = F.col("value") == ",".join(h for h, _, _ in layout.fields)
+    schema = ", ".join(f"{name} {kind.simpleString()}" for _, name, kind in layout.fields) + ", _record string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_record", "ignoreLeadingWhiteSpace": "true",
+               "ignoreTrailingWhiteSpace": "true"}
+    parsed = lines.where(~blank & ~header).withColumn("row", F.from_csv("value", F.lit(schema), options))
+    cells = F.split("value", ",", -1)
+    whole = F.size(cells) == len(layout.fields)
+    bad = F.coalesce(*(
+        F.when(F.col(f"row.{name}").isNull() & (F.trim(F.get(cells, F.lit(i))) != ""), F.lit(name))
+        for i, (_, name, _) in enumerate(layout.fields)),
+        *(F.when(F.col(f"row.{packed}").isNotNull() & parse_packed(F.col(f"row.{packed}")).isNull(), F.lit(packed))
+          for packed, _ in layout.times))
+    # A cell in quotes may hold commas: such a line is only faulty if the parser says so too.
+    broken = F.col("row._record").isNotNull()
+    fault = F.when(broken & ~whole, F.lit("cells")).otherwise(F.coalesce(bad, F.when(broken, F.lit("cells"))))
+    judged = parsed.withColumn("fault", fault)
+
+    sound = judged.where(F.col("fault").isNull()).select("row.*").drop("_record")
+    rows = sound.withColumns({time: parse_packed(packed) for packed, time in layout.times})
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    faulty = judged.where(F.col("fault").isNotNull()).join(blocks, ["file", "block"])
+    line = (F.col("before") + F.col("at") - F.col("first") + 1).alias("line")
+    return rows, faulty.select("file", line, F.col("value").alias("record"), "fault")
+
+
 def write_spans(df: DataFrame, path: str, table: str, fmt: str = "csv", mode: str = "overwrite") -> None:
     """Write a frame with the columns of ``table`` in its file layout, replacing what was there."""
     layout = TABLES[table]

@@ -9,16 +9,19 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from spanwise.streaming.state import check_manifest
+
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _PARTITIONS = "spark.sql.shuffle.partitions"
 _ZONE = "spark.sql.session.timeZone"
+_CHANGES = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 
 
 @contextmanager
 def _settings(spark: SparkSession, **conf: str | None) -> Iterator[None]:
     """Set session options for the block; a query keeps those it was started with."""
-    names = {"provider": _PROVIDER, "partitions": _PARTITIONS, "zone": _ZONE}
+    names = {"provider": _PROVIDER, "partitions": _PARTITIONS, "zone": _ZONE, "changes": _CHANGES}
     wanted = {names[k]: v for k, v in conf.items() if v is not None}
     before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
@@ -39,6 +42,7 @@ def run_stream(
     name: str | None = None,
     provider: str | None = _ROCKSDB,
     partitions: int | None = None,
+    settings: dict | None = None,
 ) -> StreamingQuery:
     """Start a stream.
 
@@ -47,8 +51,11 @@ def run_stream(
     processing-time interval, or None to take what is there and stop. ``checkpoint`` is the folder
     to resume from: keep it between runs, and use a new one when the query changes. ``provider`` is
     the state store; the operators with Python state need RocksDB. ``partitions`` sets the number
-    of state partitions, which a checkpoint keeps for life.
+    of state partitions, which a checkpoint keeps for life. ``settings`` are kept in the checkpoint on the first start; one
+    that finds others there, or another provider, is refused. State is written as changes, not as whole snapshots.
     """
+    if settings is not None and checkpoint is not None:
+        check_manifest(df.sparkSession, checkpoint, settings | {"provider": provider})
     writer = df.writeStream.outputMode(mode)
     if callable(sink):
         writer = writer.foreachBatch(sink)
@@ -64,7 +71,7 @@ def run_stream(
         writer = writer.option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)
     width = None if partitions is None else str(partitions)
-    with _settings(df.sparkSession, provider=provider, partitions=width):
+    with _settings(df.sparkSession, provider=provider, partitions=width, changes="true"):
         return writer.start()
 
 
@@ -125,27 +132,40 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def stream_result(build: Callable[[str], DataFrame], spark: SparkSession, purpose: str = "stream",
-                  partitions: int | None = None, closing: DataFrame | None = None) -> DataFrame:
+                  partitions: int | None = None, closing: DataFrame | None = None, resume: bool = False) -> DataFrame:
     """Run a stream over all that its source holds now and return what it emitted, as a batch frame.
 
-    ``build`` gets the name of a folder of Parquet files that its source reads too. It is empty until the stream has
-    taken all else; then ``closing``, rows far later than all others, goes there and the stream resumes from its
-    checkpoint. The watermark so passes every window and slice of the source, and only those of the closing
-    rows stay open. The result is written by the executors to a shared folder and read from there.
+    ``build`` gets the name of a folder of Parquet files that its source reads too. ``closing``, rows far later than all
+    others, go there. A source that takes all files at once reads them with the others: no row is late of the first
+    batch, and the watermark then passes every window and slice of the source, so only those of the closing rows stay open. With
+    ``resume`` the stream stops when it has taken all else, and goes on from its checkpoint for the closing rows. The
+    result is written by the executors to a shared folder and read from there.
     """
     folder = shared_folder(spark, purpose)
+    run_to_end(build, spark, folder, partitions, closing, resume)
+    with _settings(spark, zone="UTC"):
+        schema = build(f"{folder}/closing").schema
+    return spark.read.schema(schema).parquet(f"{folder}/rows")
+
+
+def run_to_end(build: Callable[[str], DataFrame], spark: SparkSession, folder: str, partitions: int | None = None,
+               closing: DataFrame | None = None, resume: bool = False, sink: Callable[[DataFrame, int], None] | None = None,
+               mode: str = "append") -> list[dict]:
+    """Run a stream to the end of a bounded source, with its rows, checkpoint and closing rows below ``folder``; the figures of its
+    last run's micro-batches."""
     partitions = partitions or spark.sparkContext.defaultParallelism
     if closing is not None:
-        closing.limit(0).write.parquet(f"{folder}/closing")
+        (closing.limit(0) if resume else closing).write.parquet(f"{folder}/closing")
     with _settings(spark, partitions=str(partitions), zone="UTC"):
         df = build(f"{folder}/closing")
-        schema = df.schema
 
-        def run():
-            run_stream(df, f"{folder}/rows", f"{folder}/checkpoint", trigger=None).awaitTermination()
+        def run() -> list[dict]:
+            query = run_stream(df, sink or f"{folder}/rows", f"{folder}/checkpoint", mode, trigger=None)
+            query.awaitTermination()
+            return progress(query)
 
-        run()
-        if closing is not None:
+        figures = run()
+        if closing is not None and resume:
             closing.write.mode("append").parquet(f"{folder}/closing")
-            run()
-    return spark.read.schema(schema).parquet(f"{folder}/rows")
+            figures = run()
+    return figures

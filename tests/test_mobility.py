@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from spanwise.operators import mobility, mobility_packed
+from spanwise.operators import merge_sketches, mobility, mobility_packed, mobility_sketches, sketched_mobility
 from tests.helpers import at, bag, frame
 
 SCHEMA = "unique_id long, area string, tower_id string, t timestamp_ntz"
@@ -77,3 +77,23 @@ def test_busy_key_is_combined_before_the_shuffle_and_spread_by_item(spark):
 def test_window_needs_a_time(spark):
     with pytest.raises(ValueError, match="time column"):
         mobility(spark.range(1), "id", "id")
+
+
+def test_stored_sketches_merge_without_another_scan(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(4), f"T{rng.randrange(3000)}", at(rng.randrange(0, 3000)), None) for _ in range(20_000)]
+    rows += [(0, None, at(1), None), (1, "T1", None, None)]
+    df = frame(spark, rows, "unique_id long, tower_id string, start_time timestamp_ntz, end_time timestamp_ntz")
+    small = mobility_sketches(df, "unique_id", "tower_id", "start_time", "5 seconds")
+    for window in ("5 minutes", None):
+        merged = sketched_mobility(merge_sketches(small, "unique_id", window), 0)
+        exact = mobility(df, "unique_id", "tower_id", "start_time" if window else None, window, 0)
+        keys = [c for c in ("window_start", "unique_id") if c in merged.columns]
+        got = {tuple(r[k] for k in keys): r.distinct_items for r in merged.collect()}
+        want = {tuple(r[k] for k in keys): r.distinct_items for r in exact.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - n) <= 0.05 * n for k, n in want.items())
+        if window:
+            # One pass over the spans gives the same registers, but knows in which order they were filled.
+            direct = sketched_mobility(mobility_sketches(df, "unique_id", "tower_id", "start_time", window), 0)
+            once = {tuple(r[k] for k in keys): r.distinct_items for r in direct.collect()}
+            assert once.keys() == got.keys() and all(abs(once[k] - n) <= 0.03 * n for k, n in got.items())

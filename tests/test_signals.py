@@ -116,3 +116,33 @@ def test_bounded_join_uses_the_time_slice_as_a_key(spark):
     plan = rebuild_spans(signals(spark, [(1, 0, 5, 0, OK)]), "unique_id", ["calling_party"], "4 minutes")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "_slice" in text and "Cartesian" not in text and "NestedLoop" not in text
+
+
+@pytest.mark.parametrize("bound", [None, "10 seconds"])
+def test_a_hot_id_is_cut_into_blocks(spark, bound):
+    rng = random.Random(8)
+    rows = [(1, 0, i % 7, rng.randrange(0, 400) / 4, "x") for i in range(300)] + [(1, 1, i % 5, rng.randrange(0, 400) / 4, "x") for i in range(40)]
+    rows += [(i, t, 0, i / 10 + t, "x") for i in range(2, 200) for t in (0, 1)] + [(2, 0, None, 1, "y")] * 3
+    df = signals(spark, rows)
+    want = bag(rebuild_spans(df, "unique_id", bound=bound, keep=["calling_party"]))
+    for block_rows in (1, 7, 50, 10_000):
+        assert bag(rebuild_spans(df, "unique_id", bound=bound, keep=["calling_party"], block_rows=block_rows)) == want
+
+
+def test_blocks_spread_the_pairs_of_one_id(spark):
+    starts = spark.range(3000).select(F.lit(5).alias("unique_id"), F.lit(0).alias("event_type"), F.timestamp_seconds("id").alias("event_time"))
+    ends = spark.range(30).select(F.lit(5).alias("unique_id"), F.lit(1).alias("event_type"), F.timestamp_seconds("id").alias("event_time"))
+    before = {n: spark.conf.get(n) for n in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    for n, v in zip(before, ("false", "16", "-1")):
+        spark.conf.set(n, v)
+    try:
+        def largest(**options):
+            pairs = rebuild_spans(starts.unionByName(ends), "unique_id", **options)
+            return [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().orderBy(F.desc("count")).collect()]
+
+        assert largest() == [90_000]
+        spread = largest(block_rows=100)
+        assert sum(spread) == 90_000 and spread[0] < 30_000 and len(spread) >= 8
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)

@@ -1,0 +1,172 @@
+"""What streams keep beside their result: state of a key, upserts, late rows, progress and the manifest of a checkpoint."""
+
+from __future__ import annotations
+
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from spanwise.operators import back_to_back, mobility, mobility_upserts, rebuild_spans
+from spanwise.plans import CATALOG
+from spanwise.streaming import (
+    LateTable,
+    Monitor,
+    ProgressTable,
+    UpsertTable,
+    back_to_back_stream,
+    progress,
+    run_stream,
+    state_rows,
+    state_table,
+)
+from tests.helpers import at, bag, brute_back_to_back
+from tests.test_streaming import CALL, EVIDENCE, MARK, SCHEMA, SIGNALS, STAYS, Feed, finish, signal_rows, stay_feed
+
+
+def test_one_scan_pairs_read_the_source_once(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", SIGNALS)
+    rows = signal_rows()
+    # Copies and signals out of order, within the watermark.
+    rows += [(5000, 1, 3, 3000.0, "connected"), (5000, 0, 3, 2990.0, "connected"), (5000, 0, 3, 2991.5, "connected"),
+             (5000, 1, 3, 3000.0, "connected"), (5001, 0, None, 3000.0, "connected"), (5001, 1, None, 3001.0, "connected")]
+    rows.sort(key=lambda r: r[3] + (r[0] * 37 % 200))
+    for k in range(0, len(rows), 100):
+        feed.add(rows[k:k + 100])
+    feed.add([(10**6, 0, -1, 10**7, "connected")])
+    batch = spark.read.schema(SIGNALS).parquet(str(tmp_path / "in"))
+    df = feed.stream().withWatermark("event_time", "10 minutes")
+    got, figures = finish(rebuild_spans(df, "unique_id", ["calling_party"], "4 minutes", keep=["disposition"], one_scan=True), tmp_path)
+    want = rebuild_spans(batch, "unique_id", ["calling_party"], "4 minutes", keep=["disposition"])
+    assert got.columns == want.columns and bag(got) == bag(want) and want.count() > 80
+    assert sum(f["input_rows"] for f in figures) == len(rows) + 1
+    joined, twice = finish(rebuild_spans(df, "unique_id", ["calling_party"], "4 minutes"), tmp_path, "j")
+    assert bag(joined) == bag(want.drop("disposition"))
+    assert sum(f["input_rows"] for f in twice) > 1.9 * len(rows)
+    with pytest.raises(ValueError, match="one_scan"):
+        rebuild_spans(batch, "unique_id", bound="4 minutes", one_scan=True)
+
+
+def test_state_holds_one_number_per_key_that_may_go_on(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", SCHEMA)
+    feed.add([(1, 7, 0, 9000), (2, 8, 0, 30), (3, None, 1, 8000), (4, 9, 2, None)])
+    feed.add([(9, 5, 4000, 4001)])
+    feed.add([(10, 5, 5000, 5001)])
+    finish(back_to_back_stream(feed.stream().withWatermark("start_time", "5 minutes"), *CALL), tmp_path)
+    held = state_rows(spark, str(tmp_path / "chk")).collect()
+    assert {r.variable for r in held} == {"", "ends", "sweeping"}
+    ends = {r.user_map_key.name: r.user_map_value.end_us for r in state_table(spark, str(tmp_path / "chk"), 0, "ends").collect()}
+    # Calls that end after the newest closed slice; those of a null caller have a name of their own.
+    assert set(ends) == {"1:7", "-"}
+    with pytest.raises(ValueError, match="no state"):
+        state_table(spark, str(tmp_path / "chk"), 7)
+
+
+def test_a_key_with_a_third_of_the_rows_in_one_slice(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, 0 if i % 3 == 0 else 1 + i % 400, s, s + rng.choice([1, 3, 30]))
+            for i, s in enumerate(sorted(rng.randrange(0, 3_000_000) / 1000 for _ in range(30_000)))]
+    feed = Feed(spark, tmp_path / "in", SCHEMA)
+    for k in range(0, len(rows), 10_000):
+        feed.add(rows[k:k + 10_000])
+    feed.add([MARK])
+    began = time.monotonic()
+    got, _ = finish(back_to_back_stream(feed.stream().withWatermark("start_time", "5 minutes"), *CALL, slice_s=3600), tmp_path)
+    took = time.monotonic() - began
+    assert bag(got, *EVIDENCE) == brute_back_to_back(rows)
+    assert took < 60
+
+
+def test_upserts_fold_to_the_batch_result_and_repeat_safely(spark, tmp_path):
+    feed, batch = stay_feed(spark, tmp_path)
+    table = UpsertTable(str(tmp_path / "table"))
+    df = feed.stream().withWatermark("start_time", "10 seconds")
+    rows = mobility_upserts(df, "unique_id", "tower_id", "start_time", "1 minute", 2)
+    query = run_stream(rows, table, str(tmp_path / "chk"), "update", trigger=None, partitions=2)
+    query.awaitTermination()
+    want = mobility(batch, "unique_id", "tower_id", "start_time", "1 minute", 2)
+    keys = ["window_start", "window_end", "unique_id"]
+    assert bag(table.folded(spark, keys), *want.columns) == bag(want) and want.count() > 20
+    changes = spark.read.parquet(table.path).count()
+    assert changes > want.count()
+    # A batch that is tried again replaces its first try.
+    last = spark.read.parquet(table.path).where("batch = 1").drop("batch").persist()
+    last.count()
+    table(last, 1)
+    assert spark.read.parquet(table.path).count() == changes
+    assert bag(table.folded(spark, keys), *want.columns) == bag(want)
+    # Distinct items leave the state with their window.
+    assert progress(query)[-1]["state_rows"] <= 4 < max(p["state_rows"] for p in progress(query))
+
+
+@pytest.mark.parametrize("window", [None, "1 minute"])
+def test_late_rows_are_kept_with_the_watermark_that_refused_them(spark, tmp_path, window):
+    feed = Feed(spark, tmp_path / "in", STAYS)
+    files = [[(1, "T1", 0, 1), (2, "T1", 100, 101)], [(3, "T1", 95, 96), (4, "T1", 300, 301), (5, "T1", 85, 86)],
+             [(6, "T1", 289, 290), (7, "T1", 291, 292), (8, "T1", None, 1)], [(9, "T1", 10, 11)]]
+    for rows in files:
+        feed.add(rows)
+    table = LateTable(str(tmp_path / "late"), "start_time", "10 seconds", window)
+    run_stream(feed.stream(), table, str(tmp_path / "chk"), trigger=None).awaitTermination()
+    rows = {r.unique_id: r for r in table.rows(spark).collect()}
+    assert len(rows) == 9 and rows[8].start_time is None and not rows[8].late
+    late = {i: r.refused_by for i, r in rows.items() if r.late}
+    # 300 s is in minute five, which ends beyond the watermark of 290 s, and so are 289 and 291 s.
+    assert late == ({5: at(90), 6: at(290), 9: at(290)} if window is None else {9: at(290)})
+    again = spark.read.parquet(str(tmp_path / "in" / "0002.parquet"))
+    table(again, 2)
+    assert table.rows(spark).count() == 9
+
+
+def test_progress_table_outlives_the_query(spark, tmp_path):
+    feed, _ = stay_feed(spark, tmp_path)
+    table = ProgressTable(spark, str(tmp_path / "figures"))
+    monitor = Monitor(table)
+    spark.streams.addListener(monitor)
+    query = run_stream(CATALOG["mobility_mono_5m"](feed.stream()), "noop", str(tmp_path / "chk"), trigger=None, partitions=2)
+    query.awaitTermination()
+    for _ in range(100):
+        if len(list((tmp_path / "figures").glob("batch=*/_SUCCESS"))) == len(progress(query)):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(monitor)
+    kept = {r.batch_id: r.input_rows for r in table.read().collect()}
+    assert kept == {p["batch_id"]: p["input_rows"] for p in progress(query)} and sum(kept.values()) == 301
+
+
+def test_join_state_has_two_sides(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", SIGNALS)
+    feed.add([(1, 0, 7, 0, "connected"), (2, 0, 7, 1, "connected"), (3, 1, 7, 2, "connected")])
+    finish(rebuild_spans(feed.stream().withWatermark("event_time", "1 minute"), "unique_id", bound="4 minutes"), tmp_path)
+    held = {r.variable: r.rows for r in state_rows(spark, str(tmp_path / "chk")).collect()}
+    assert held == {"left": 2, "right": 1}
+
+
+def test_manifest_refuses_other_settings(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", SCHEMA)
+    feed.add([(1, 7, 0, 10)])
+    query, chk = CATALOG["b2b_mono"], str(tmp_path / "chk")
+
+    def start(**params):
+        settings = {"query": "b2b_mono"} | query.settings(**params)
+        run_stream(query(feed.stream(), **params), "noop", chk, trigger=None, partitions=2, settings=settings).awaitTermination()
+
+    start(slice_s=30)
+    start(slice_s=30, max_gap_s=10)  # the default
+    with pytest.raises(ValueError, match="slice_s was 30, is 60"):
+        start()
+    with pytest.raises(ValueError, match="lanes was 64, is 3"):
+        start(slice_s=30, lanes=3)
+    with pytest.raises(ValueError, match="provider"):
+        run_stream(feed.stream(), "noop", chk, trigger=None, provider=None,
+                   settings={"query": "b2b_mono"} | query.settings(slice_s=30))
+
+
+def test_batch_and_stream_agree_on_ties(spark, tmp_path):
+    rows = [(i, i % 2, float(s), s + 1.0) for i, s in enumerate([0, 0, 5, 5, 5, 60, 60, 61, 119, 120, 120, 121])]
+    feed = Feed(spark, tmp_path / "in", SCHEMA)
+    feed.add([*rows, *rows[:4], MARK])
+    got, _ = finish(back_to_back_stream(feed.stream().withWatermark("start_time", "1 second"), *CALL), tmp_path)
+    batch = spark.read.schema(SCHEMA).parquet(str(tmp_path / "in")).where(F.col("unique_id") < 10**6)
+    assert bag(got) == bag(back_to_back(batch, *CALL))
