@@ -72,6 +72,14 @@ class Kept(dict):
         self.again.discard(key)
 
 
+def own_name(name: str, taken) -> str:
+    """A column name that none of the taken ones equals, in whatever case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def shared_path(spark: SparkSession, purpose: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which all executors reach.
 

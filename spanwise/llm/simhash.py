@@ -7,11 +7,10 @@ texts without words have fingerprint zero.
 Links join fingerprints that differ in ``MAX_BITS`` bits at most. Each distinct fingerprint becomes the
 vector of set bits in its 32 segments of two bits. The Manhattan distance of two vectors never exceeds the
 Hamming distance, so fingerprints that link lie within two steps of each other on the grid of vectors, and
-both reach a common cell with one step at most. A fingerprint that shares no cell has no link: the lower
-bound ends its way there. The others are verified exactly, at the same price in any group: two
-fingerprints differ in two bits or fewer if and only if one flip at most takes both to a common value, and all
-that reach one value link with each other. So a star of each value's fingerprints holds every link's
-connection, and no pairs of a group are written out: rows stay in proportion to distinct fingerprints.
+both reach a common cell with one step at most. Every fingerprint goes to its cells, and the fingerprints of a cell are compared
+bit by bit. A cell with more than ``CROWD`` of them is not compared pair by pair: there two fingerprints link if and only if
+one flip at most takes both to a common value, so its members are dealt anew by their 65 values, and a star of each value's
+members holds every link's connection. Rows stay in proportion to distinct fingerprints.
 
 Components come from hooking and pointer jumping over those stars, each round written to the shared folder.
 
@@ -31,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from spanwise.llm.common import map_texts, stored
+from spanwise.llm.common import map_texts, own_name, small, stored
 
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_BITS = 2
+CROWD = 64
 COUNT_MASK = 0x5555555555555555
 
 
@@ -102,16 +102,24 @@ def _cells(fp):
     return F.concat(F.array(counts), below, above)
 
 
-def linked_candidates(distinct: DataFrame) -> DataFrame:
-    """The fingerprints that share a cell with another one, so that the lower bound leaves them."""
-    cells = distinct.select("fp", F.explode(_cells(F.col("fp"))).alias("cell"))
-    beside = Window.partitionBy("cell").orderBy("fp")
-    shared = F.lag("fp").over(beside).isNotNull() | F.lead("fp").over(beside).isNotNull()
-    return cells.withColumn("shared", shared).where("shared").select("fp").distinct()
+def grid_edges(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Edges (a, b), a > b, among ``node`` that connect just what links; nodes: ``fp``, ``node``, distinct fingerprints."""
+    cells = nodes.select("fp", "node", F.explode(_cells(F.col("fp"))).alias("cell"))
+    dealt = stored(cells.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("cell"))).where("members > 1"), "cells")
+    member = F.struct("node", "fp")
+    few = dealt.where(F.col("members") <= crowd).groupBy("cell").agg(F.collect_list(member).alias("of"))
+
+    def links(x, i):
+        later = F.filter(F.slice("of", i + 2, F.size("of")), lambda y: F.bit_count(x.fp.bitwiseXOR(y.fp)) <= MAX_BITS)
+        return F.transform(later, lambda y: F.struct(F.greatest(x.node, y.node).alias("a"), F.least(x.node, y.node).alias("b")))
+
+    compared = few.select(F.inline(F.flatten(F.transform("of", links)))).distinct()
+    crowded = dealt.where(F.col("members") > crowd).select("fp", "node").distinct()
+    return compared.union(star_edges(crowded))
 
 
 def star_edges(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b), a > b, among ``node`` that connect just what links; nodes: ``fp``, ``node``."""
+    """The same for fingerprints that crowd a cell, by the values one flip away."""
     values = nodes.select("node", F.explode(_bit_flips(F.col("fp"))).alias("value"))
     reach = Window.partitionBy("value")  # of 65 fingerprints at most
     return (values.withColumn("b", F.min("node").over(reach)).where("node > b")
@@ -122,7 +130,7 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """The smallest node that each node of the edges can reach: ``node``, ``component``.
 
     A round gives every node the least label among its neighbours', then the label of that label. A node has
-    no more neighbours than values two flips away, so the joins over edges have no hot key; those over labels are
+    no more neighbours than its cells and values hold, so the joins over edges have no hot key; those over labels are
     plain joins, whose large partitions Spark splits.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")), purpose)
@@ -143,13 +151,30 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """Per row: ``doc_id``, ``fp`` and ``component_id``, the smallest id reachable over links, its own included."""
     prints = stored(fingerprints(df, doc_id, text).withColumnRenamed(doc_id, "doc_id"), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    nodes = distinct.where("node IS NOT NULL")
-    nodes = nodes.join(linked_candidates(nodes.select("fp")), "fp")
-    reached = components(star_edges(nodes))
+    reached = components(grid_edges(distinct.where("node IS NOT NULL")))
     classes = distinct.join(reached, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """One document of each component, that of the smallest doc_id, with all its columns.
+
+    Rows of one doc_id are one document: it goes if any of them belongs to a smaller id, else the first by text stays.
+    Rows without doc_id stay. Only documents whose id repeats are moved; the others meet a list of ids that is sent to
+    all executors up to its checked size.
+    """
+    found = stored(near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "copies")
+    gone = small(stored(found.where("component_id < doc_id").select("doc_id"), "gone"))
+    again = small(stored(found.where("component_id = doc_id AND rows > 1").select("doc_id"), "repeated"))
+    once = docs.join(gone, "doc_id", "left_anti").join(again, "doc_id", "left_anti").select(docs.columns)
+    place = own_name("place", docs.columns)
+    order = Window.partitionBy("doc_id").orderBy("text")
+    first = (docs.join(again, "doc_id", "left_semi").withColumn(place, F.row_number().over(order))
+             .where(F.col(place) == 1).select(docs.columns))
+    return once.unionByName(first)
+
+
 def hex_of(fp) -> F.Column:
     """A fingerprint as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

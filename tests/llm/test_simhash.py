@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -50,7 +51,8 @@ def test_query_equals_brute_force(spark, tmp_path):
     assert got == {i: (f"{fp:016x}", classes[i]) for i, fp in prints}
 
 
-def test_links_of_dense_and_chained_values(spark):
+@pytest.mark.parametrize("crowd", [1, 3, 64])
+def test_links_of_dense_and_chained_values(spark, crowd):
     rng = random.Random(5)
     values, at = [], rng.getrandbits(64)
     for _ in range(150):  # a chain of single and double flips, and a ball around its end
@@ -60,8 +62,7 @@ def test_links_of_dense_and_chained_values(spark):
     prints = list(enumerate(values))
     signed = [(i, v - 2**64 if v >> 63 else v) for i, v in prints]
     nodes = spark.createDataFrame(signed, "node long, fp long").groupBy("fp").agg(F.min("node").alias("node"))
-    kept = nodes.join(simhash.linked_candidates(nodes), "fp")
-    reached = {r.node: r.component for r in simhash.components(simhash.star_edges(kept)).collect()}
+    reached = {r.node: r.component for r in simhash.components(simhash.grid_edges(nodes, crowd)).collect()}
     first = {}
     for i, v in prints:
         first.setdefault(v, i)
@@ -74,3 +75,22 @@ def test_null_ids_copies_and_empty_table(spark):
     got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(None, 7), (7, 7), (7, 7), (None, None)], key=str)
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_links_of_few_cells_come_from_the_grid(spark):
+    """Where no cell is crowded, every pair that links is an edge, and no other."""
+    rng = random.Random(1)
+    values = [rng.getrandbits(64) for _ in range(40)]
+    values += [v ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for v in values]
+    values = sorted(set(values))
+    nodes = spark.createDataFrame([(i, v - 2**64 if v >> 63 else v) for i, v in enumerate(values)], "node long, fp long")
+    got = {(r.a, r.b) for r in simhash.grid_edges(nodes).collect()}
+    want = {(a, b) for a, v in enumerate(values) for b, w in enumerate(values) if b < a and (v ^ w).bit_count() <= 2}
+    assert got == want and len(want) >= 30
+
+
+def test_one_document_of_each_component_stays(spark):
+    rows = [(5, "a b c d", "p"), (2, "a b c d", "q"), (9, "other words in here", "r"), (9, "again other words", "s"), (None, "a b c d", "t")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, place string, fp int")
+    got = sorted((r.doc_id or 0, r.place) for r in simhash.without_copies(df).collect())
+    assert got == [(0, "t"), (2, "q"), (9, "s")]
