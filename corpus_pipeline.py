@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe, contamination, credentials, language, near
+from spanwise.llm import bpe, contamination, credentials, language, simhash
 from spanwise.llm.common import stored
 
 #: A text needs this share of its letters in one language; texts without letters have none.
@@ -25,8 +25,8 @@ def recognise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicates."""
-    return near.without_copies(docs)
+    """Keeps the smallest doc_id of each group that SimHash links."""
+    return simhash.without_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
