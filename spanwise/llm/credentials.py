@@ -1,27 +1,35 @@
 """Secrets in texts, told apart by who else holds them.
 
 Patterns find candidate spans, in code points of the whole text. Each candidate's value, as a digest, is then counted
-over the corpus: by repositories (documents) and by owners (sources). A value that ``WIDE_OWNERS`` owners or more hold is
-a widely copied example. One that fewer hold is owner-specific; it looks live if it has variety enough and no
-placeholder's words. Values never leave the first scan, only digests do.
+over the corpus: by repositories (documents) and by owners (sources). A value that ``WIDE_OWNERS`` owners or more hold, or several
+owners in ``WIDE_REPOSITORIES`` repositories or more, is a widely copied example. One that fewer hold is owner-specific; it looks live
+if it has variety enough and no placeholder's words. Values never leave the first scan, only digests do.
 
-Positions come from built-in functions alone: the text is split at a pattern, and running sums over the
-lengths of the pieces and of the matches between them give every start and end.
+Positions come from built-in functions alone: the text is split at a pattern, and running sums over the lengths of the pieces
+and of the matches between them give every start and end. The sums run over rows, one for each match, so a text with very many
+matches costs in proportion to them; texts stay where they are. Masked texts are joined from their clear pieces.
 
 The method adds spans of kind ``key``: credentials that announce their issuer by a fixed prefix.
 
 Results: a null text is empty and has no spans. Rows are kept as they come, repeated or without id (a row without
-owner counts for an unnamed owner). Other columns play no part; an empty table gives an empty one.
+owner counts for an unnamed owner). Other columns play no part, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanwise.llm.common import stored
+from spanwise.llm.common import own_name, stored
 
 WIDE_OWNERS = 5
+#: Repositories from which on two owners are enough.
+SEVERAL_OWNERS, WIDE_REPOSITORIES = 2, 100
+#: Masks of a text up to which its clear pieces are cut from the text itself; beyond, from its characters.
+FEW_MASKS = 32
 LEAST_DISTINCT = 6
 PLACEHOLDER = "example|sample|changeme|dummy|placeholder|your|xxxx|redacted"
 MASK = "[SECRET]"
@@ -37,51 +45,30 @@ KINDS = (
 BASE = 3  # the first so many kinds
 
 
-def _kind_spans(text: str, number: int) -> Column:
-    """Spans of one kind, by their start: start, end, kind (its number), digest, live (it looks so)."""
-    _, pattern, group, least = KINDS[number]
-    quoted = F.lit(pattern)
-    whole = F.regexp_extract_all(text, quoted, F.lit(0))
-    values = F.regexp_extract_all(text, quoted, F.lit(group)) if group else whole
-    return F.struct(whole.alias("whole"), values.alias("values"), F.lit(number).alias("kind"), F.lit(least).alias("least"))
-
-
-def _placed(found: Column, text: str, number: int) -> Column:
-    """Spans with their places, of what ``_kind_spans`` found; no work where it found nothing."""
-    zipped = F.arrays_zip(
-        F.split(text, KINDS[number][1], -1).alias("gap"), found["whole"].alias("whole"), found["values"].alias("value"))
-    kind = "array<struct<start:int,end:int,kind:int,digest:string,live:boolean>>"
-    none = F.array().cast(kind)
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-
-    def step(done, z):
-        begin = done["at"] + F.length(z["gap"])
-        end = begin + F.length(z["whole"])
-        live = ((F.size(F.array_distinct(F.split(z["value"], ""))) >= LEAST_DISTINCT)
-                & ~F.lower(z["value"]).rlike(PLACEHOLDER))
-        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(number).alias("kind"),
-                        F.sha2(z["value"], 256).alias("digest"), live.alias("live"))
-        return F.when(z["whole"].isNull(), done).otherwise(F.struct(
-            end.alias("at"), F.when(F.length(z["value"]) >= KINDS[number][3], F.concat(done["spans"], F.array(span)))
-            .otherwise(done["spans"]).cast(kind).alias("spans")))
-
-    return F.when(F.size(found["whole"]) > 0, F.aggregate(zipped, start, step, lambda done: done["spans"])).otherwise(none)
+def _found(text: str, number: int) -> Column:
+    """The matches of one kind and the groups in them that are the secret."""
+    _, pattern, group, _ = KINDS[number]
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.struct(whole.alias("whole"), (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole).alias("values"))
 
 
-def with_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """All columns, and ``_spans``: the spans of every kind by start, then kind."""
-    names = [f"_found{n}" for n in range(len(KINDS))]
-    filled = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    found = filled.withColumns({c: _kind_spans("_text", n) for n, c in enumerate(names)})
-    placed = F.concat(*(_placed(F.col(c), "_text", n) for n, c in enumerate(names)))
-    return found.withColumn("_spans", F.array_sort(placed, _by_start)).drop("_text", *names)
+def _hits(found: Column, text: str, number: int) -> Column:
+    """The matches in order, each with the length of the text before it since the last; no work where there are none.
 
+    A match whose secret is too short has no digest.
+    """
+    _, pattern, _, least = KINDS[number]
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    zipped = F.slice(F.arrays_zip(gaps.alias("gap"), found["whole"].alias("whole"), found["values"].alias("value")),
+                     F.lit(1), F.size(found["whole"]))
 
-def _by_start(a: Column, b: Column) -> Column:
-    def place(s):
-        return F.struct(s["start"], s["kind"])
+    def hit(z, i):
+        live = ((F.size(F.array_distinct(F.split(z["value"], ""))) >= LEAST_DISTINCT) & ~F.lower(z["value"]).rlike(PLACEHOLDER))
+        return F.struct(F.lit(number).alias("kind"), i.alias("place"), z["gap"].alias("gap"), F.length(z["whole"]).alias("size"),
+                        F.when(F.length(z["value"]) >= least, F.sha2(z["value"], 256)).alias("digest"), live.alias("live"))
 
-    return F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
+    none = F.array().cast("array<struct<kind:int,place:int,gap:int,size:int,digest:string,live:boolean>>")
+    return F.when(F.size(found["whole"]) > 0, F.transform(zipped, hit)).otherwise(none)
 
 
 def ownership(held: DataFrame) -> DataFrame:
@@ -91,34 +78,46 @@ def ownership(held: DataFrame) -> DataFrame:
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", owner: str = "source", text: str = "text") -> DataFrame:
-    """One row per document, stored: ``row``, ``doc_id``, ``owner``, ``text_key`` and ``spans``, without its text."""
-    picked = df.select(F.col(doc_id).alias("doc_id"), F.col(owner).alias("owner"), F.col(text).alias("text"))
-    return stored(with_spans(picked).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "owner", F.xxhash64("text").alias("text_key"),
-        F.col("_spans").alias("spans")), "secret-spans")
+    """One row per document, stored: ``row``, ``doc_id``, ``owner``, ``text_key`` and ``hits``, without its text."""
+    picked = df.select(F.col(doc_id).alias("doc_id"), F.col(owner).alias("owner"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+                       F.xxhash64(text).alias("text_key"))
+    found = picked.withColumns({f"found_{n}": _found("text", n) for n in range(len(KINDS))})
+    hits = F.concat(*(_hits(F.col(f"found_{n}"), "text", n) for n in range(len(KINDS))))
+    return stored(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "text_key", hits.alias("hits")),
+                  "secret-hits")
+
+
+def placed(scanned: DataFrame) -> DataFrame:
+    """The spans of ``scan``, a row each: ``row``, ``doc_id``, ``owner``, ``text_key``, ``start``, ``end``, ``kind``, ``digest``, ``live``."""
+    hits = scanned.where(F.size("hits") > 0).select("row", "doc_id", "owner", "text_key", F.inline("hits"))
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "kind").orderBy("place"))
+    ended = hits.withColumn("end", end.cast("int")).withColumn("start", F.col("end") - F.col("size"))
+    return stored(ended.where("digest IS NOT NULL").drop("place", "gap", "size"), "secret-spans")
 
 
-def judged(scanned: DataFrame, wide_owners: int = WIDE_OWNERS) -> DataFrame:
-    """Every span of ``scan`` with its corpus counts and verdict: copied, live or sample."""
-    spans = (scanned.where(F.size("spans") > 0)
-             .select("row", "doc_id", "owner", "text_key", F.explode("spans").alias("span")))
+def judged(spans: DataFrame, wide_owners: int = WIDE_OWNERS) -> DataFrame:
+    """Every span of ``placed`` with its corpus counts and verdict: copied, live or sample."""
     # A repository is a document; one without id stands for itself.
-    held = spans.select("span.digest", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), "row"))
-                        .alias("repository"), F.coalesce("owner", F.lit("")).alias("owner"))
-    counts = ownership(held)
-    flat = spans.select("row", "doc_id", "text_key", "span.*")
-    verdict = (F.when(F.col("n_owners") >= wide_owners, "copied").when(F.col("live"), "live").otherwise("sample"))
-    return flat.join(counts, "digest").withColumn("verdict", verdict)
+    held = spans.select("digest", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), "row")).alias("repository"),
+                        F.coalesce("owner", F.lit("")).alias("owner"))
+    copied = (F.col("n_owners") >= wide_owners) | (
+        (F.col("n_owners") >= min(SEVERAL_OWNERS, wide_owners)) & (F.col("n_repositories") >= WIDE_REPOSITORIES))
+    verdict = F.when(copied, "copied").when(F.col("live"), "live").otherwise("sample")
+    return spans.join(ownership(held), "digest").withColumn("verdict", verdict)
 
 
 def secret_report(df: DataFrame, doc_id: str = "doc_id", owner: str = "source", text: str = "text",
                   wide_owners: int = WIDE_OWNERS) -> DataFrame:
-    """Per row of ``df``: ``doc_id``, ``spans`` (start, end, kind number), and ``n_live``, ``n_copied``, ``n_sample``."""
+    """Per row of ``df``: ``doc_id``, ``spans`` (start, kind number, end), and ``n_live``, ``n_copied``, ``n_sample``."""
     scanned = scan(df, doc_id, owner, text)
-    tallies = judged(scanned, wide_owners).groupBy("row").agg(
-        *(F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("live", "copied", "sample")))
-    return scanned.join(tallies, "row", "left").select(
-        "doc_id", "spans", *(F.coalesce(f"n_{v}", F.lit(0).cast("long")).alias(f"n_{v}") for v in ("live", "copied", "sample")))
+    verdicts = ("live", "copied", "sample")
+    held = judged(placed(scanned), wide_owners).groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"),
+        *(F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in verdicts))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return scanned.select("row", "doc_id").join(held, "row", "left").select(
+        "doc_id", F.coalesce("spans", none).alias("spans"),
+        *(F.coalesce(f"n_{v}", F.lit(0).cast("long")).alias(f"n_{v}") for v in verdicts))
 
 
 def span_text(spans: Column) -> Column:
@@ -137,35 +136,46 @@ def kind_count(spans: Column, number: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == number)).cast("long")
 
 
-def _masked(text: Column, spans: Column) -> Column:
-    """The text with each span, or run of overlapping spans, replaced by the mask. spans: by start."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def _masked(text: Column, masks: Column) -> Column:
+    """The text with the mask in place of each of ``masks`` (start, end), which come in order and do not overlap."""
+    n = F.size(masks)
+    # Where each clear piece begins: at the start and after each mask; it ends before the next mask or with the text.
+    begins, ends = F.concat(F.array(F.lit(0)), masks["end"]), F.concat(masks["start"], F.array(F.length(text)))
+    pieces = F.arrays_zip(begins.alias("begin"), ends.alias("end"))
+
+    def joined(piece):
+        return F.array_join(F.transform(pieces, lambda p: piece(p["begin"], p["end"] - p["begin"])), MASK)
+
+    # Finding a place in a text reads all before it, in an array it does not. Bound as a variable, the array is made once.
+    many = F.transform(F.array(F.split(text, "")), lambda letters: joined(
+        lambda at, size: F.array_join(F.slice(letters, at + 1, size), "")))
+    return F.when(n <= FEW_MASKS, joined(lambda at, size: F.substring(text, at + 1, size))).otherwise(F.get(many, F.lit(0)))
 
-    def step(done, s):
-        clear = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        fresh = F.struct(s["end"].alias("at"), F.concat(done["out"], clear, F.lit(MASK)).alias("out"))
-        more = F.struct(F.greatest(done["at"], s["end"]).alias("at"), done["out"].alias("out"))
-        return F.when((s["start"] >= done["at"]), fresh).otherwise(more)
 
-    return F.aggregate(spans, start, step, lambda done: F.concat(
-        done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+def masks(spans: DataFrame) -> DataFrame:
+    """Per ``doc_id`` and ``text_key`` its ``masks`` (start, end) in order: runs of overlapping spans are one."""
+    place = Window.partitionBy("doc_id", "text_key").orderBy("start", "end")
+    before = F.max("end").over(place.rowsBetween(Window.unboundedPreceding, -1))
+    runs = (spans.select("doc_id", "text_key", "start", "end").distinct()
+            .withColumn("fresh", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int"))
+            .withColumn("run", F.sum("fresh").over(place)))
+    each = runs.groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return each.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("masks"))
 
 
 def redacted(docs: DataFrame, wide_owners: int = WIDE_OWNERS) -> DataFrame:
     """The documents, columns as they are, with every secret masked that is no widely copied example.
 
-    ``n_chars`` follows the text. Only documents that hold spans are moved; which of them are masked depends on doc_id
+    ``n_chars`` follows the text. Only documents that a pattern matches are moved; which spans are masked depends on doc_id
     and text alone, so copies come out alike.
     """
-    scanned = scan(docs)
-    masks = (judged(scanned, wide_owners).where("verdict <> 'copied'")
-             .groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_masks")))
-    spans = with_spans(docs).withColumn("_any", F.size("_spans") > 0)
-    clean = spans.where(~F.col("_any")).select(docs.columns)
-    keyed = spans.where("_any").withColumns({"_key": F.xxhash64("text")}).select(*docs.columns, "_key")
-    masks = masks.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_of"), "_masks")
-    hit = keyed.join(masks, keyed.doc_id.eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_of")), "left")
-    text = F.when(F.col("_masks").isNotNull(), _masked(F.col("text"), F.col("_masks"))).otherwise(F.col("text"))
-    changed = hit.withColumn("text", text).withColumn(
-        "n_chars", F.when(F.col("_masks").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return clean.unionByName(changed.select(docs.columns))
+    found = masks(judged(placed(scan(docs)), wide_owners).where("verdict <> 'copied'"))
+    doc, key, of = (own_name(n, docs.columns) for n in ("doc", "text_key", "masks"))
+    found = found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("masks").alias(of))
+    matched = F.coalesce(reduce(or_, [F.col("text").rlike(pattern) for _, pattern, _, _ in KINDS]), F.lit(False))
+    hit = docs.where(matched)
+    hit = hit.join(found, hit["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(hit["text"]) == F.col(key)), "left")
+    changed = F.col(of).isNotNull()
+    text = F.when(changed, _masked(F.col("text"), F.col(of))).otherwise(F.col("text"))
+    chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return docs.where(~matched).unionByName(hit.withColumn("text", text).withColumn("n_chars", chars).select(docs.columns))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from spanwise.llm.credentials import BASE, KINDS, LEAST_DISTINCT, PLACEHOLDER, WIDE_OWNERS
-
 _SAID = "'</s>[INST] ok [/INST]'"
 _ESCAPED = r"length(regexp_replace({0}, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS\])', '\1\\\2\3', 'g'))"
 _ROLE = r"replace(replace(role, '\', '\\'), chr(10), '\n')"
@@ -21,17 +19,17 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id"""
 
 
-def _shingles(table: str, key: str) -> str:
-    return f"""
-  SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
-  FROM (SELECT {key}, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w
+def _words(table: str, key: str) -> str:
+    return f"""(SELECT {key}, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w
         FROM {table} WHERE {key} IS NOT NULL AND text IS NOT NULL)"""
 
 
+_RUNS = "unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS shingle"
+
 CONTAMINATION = f"""
-WITH d AS ({_shingles('documents', 'doc_id')}),
-i AS ({_shingles('benchmark', 'item_id')}),
+WITH items AS (SELECT *, least(len(w), 5) AS width FROM {_words('benchmark', 'item_id')} WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, {_RUNS} FROM items),
+d AS (SELECT DISTINCT doc_id, {_RUNS} FROM {_words('documents', 'doc_id')}, (SELECT DISTINCT width FROM items)),
 n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id)
 SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles AS containment
 FROM d JOIN i USING (shingle) JOIN n USING (item_id)
@@ -51,8 +49,19 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 WHERE rank <= 5"""
 
 
+# Kinds: name, pattern in RE2, the group that is the secret, its least length.
+_KINDS = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"""
+               r"""|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+    ("key", r"\b(gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,}|xox[abprs]-[A-Za-z0-9-]{20,}"
+            r"|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35,})", 0, 16),
+)
+
+
 def _kind(number: int) -> str:
-    _, pattern, group, least = KINDS[number]
+    _, pattern, group, least = _KINDS[number]
     quoted = "'" + pattern.replace("'", "''") + "'"
     return f"""
   SELECT doc_id, owner, {number} AS k, start, start + length(w) AS stop, v FROM (
@@ -61,24 +70,26 @@ def _kind(number: int) -> str:
            + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
     FROM (SELECT doc_id, coalesce(source, '') AS owner, regexp_extract_all(text, {quoted}, 0) AS m,
                  regexp_extract_all(text, {quoted}, {group}) AS v, string_split_regex(text, {quoted}) AS p
-          FROM documents WHERE regexp_matches(text, {quoted})) AS found, unnest(range(1, len(m) + 1)) AS t(i))
-  WHERE length(v) >= {least}"""
+          FROM documents WHERE regexp_matches(text, {quoted})) AS found, unnest(range(1, len(m) + 1)) AS t(i)
+    WHERE length(v[i]) >= {least})"""
 
 
 def _secrets() -> str:
-    names = "[" + ", ".join(f"'{k[0]}'" for k in KINDS) + "][k + 1]"
+    names = "[" + ", ".join(f"'{k[0]}'" for k in _KINDS) + "][k + 1]"
+    base = ("assign", "access", "hex")
     each = f"{names} || ':' || start || ':' || stop, ',' ORDER BY start, k"
-    counts = ", ".join(f"coalesce(count(*) FILTER (k = {n}), 0) AS n_{KINDS[n][0]}" for n in range(BASE))
-    verdict = (f"CASE WHEN n_owners >= {WIDE_OWNERS} THEN 'copied' WHEN len(list_distinct(string_split(v, ''))) >= {LEAST_DISTINCT}"
-               f" AND NOT regexp_matches(lower(v), '{PLACEHOLDER}') THEN 'live' ELSE 'sample' END")
+    counts = ", ".join(f"coalesce(count(*) FILTER (k = {n}), 0) AS n_{kind}" for n, kind in enumerate(base))
+    verdict = ("CASE WHEN n_owners >= 5 OR n_owners >= 2 AND n_repositories >= 100 THEN 'copied'"
+               " WHEN len(list_distinct(string_split(v, ''))) >= 6 AND NOT regexp_matches(lower(v),"
+               " 'example|sample|changeme|dummy|placeholder|your|xxxx|redacted') THEN 'live' ELSE 'sample' END")
     tallies = ", ".join(f"count(*) FILTER (verdict = '{v}') AS n_{v}" for v in ("live", "copied", "sample"))
     return f"""
-WITH spans AS ({' UNION ALL '.join(_kind(n) for n in range(len(KINDS)))}),
-owners AS (SELECT v, count(DISTINCT owner) AS n_owners FROM spans GROUP BY v),
+WITH spans AS ({' UNION ALL '.join(_kind(n) for n in range(len(_KINDS)))}),
+owners AS (SELECT v, count(DISTINCT owner) AS n_owners, count(DISTINCT doc_id) AS n_repositories FROM spans GROUP BY v),
 judged AS (SELECT *, {verdict} AS verdict FROM spans JOIN owners USING (v)),
-held AS (SELECT doc_id, {counts}, string_agg({each}) FILTER (k < {BASE}) AS base, string_agg({each}) AS spans, {tallies}
+held AS (SELECT doc_id, {counts}, string_agg({each}) FILTER (k < 3) AS base, string_agg({each}) AS spans, {tallies}
          FROM judged GROUP BY doc_id)
-SELECT d.doc_id, {', '.join(f"coalesce(n_{KINDS[n][0]}, 0) AS n_{KINDS[n][0]}" for n in range(BASE))},
+SELECT d.doc_id, {', '.join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in base)},
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
        coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(n_sample, 0) AS n_sample
 FROM documents d LEFT JOIN held USING (doc_id)"""

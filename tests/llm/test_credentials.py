@@ -59,3 +59,32 @@ def test_copied_examples_stay_and_own_secrets_are_masked(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert cr.secret_report(empty).collect() == cr.redacted(empty).collect() == []
+
+
+def test_very_many_hits_and_clashing_names(spark):
+    line = "token=Own7secretvAlue9 and "
+    extra = {c: 1 for c in ("_text", "_key", "_spans", "masks", "doc", "text_key", "row", "hits", "found_0", "run", "verdict", "kind", "start")}
+    long = line * 100_000
+    rows = [(1, long, "s", 0, *extra.values()), (2, "é " + line * 40, "s", 0, *extra.values())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in extra))
+    report = {r.doc_id: r for r in cr.secret_report(df).collect()}
+    assert len(report[1].spans) == 100_000 and report[1].n_live == 100_000
+    assert [(s.start, s.end) for s in report[1].spans[:2]] == [(0, 22), (27, 49)]
+    out = {r.doc_id: r for r in cr.redacted(df).collect()}
+    assert out[1].text == f"{cr.MASK} and " * 100_000 and out[1]._text == 1 and cr.redacted(df).columns == df.columns
+    assert out[2].text == "é " + f"{cr.MASK} and " * 40
+
+
+def test_many_repositories_of_two_owners_are_copies(spark):
+    wide, own = "token=Zx81kq0PmmQ2", "token=Own7secretvAlue9"
+    rows = [(i, wide, None, f"s{i % 2}", 0, 0, "") for i in range(cr.WIDE_REPOSITORIES)]
+    rows += [(1000 + i, own, None, "s", 0, 0, "") for i in range(cr.WIDE_REPOSITORIES)]
+    report = {r.doc_id: (r.n_live, r.n_copied) for r in cr.secret_report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert report[0] == (0, 1) and report[1000] == (1, 0)
+
+
+def test_overlapping_spans_are_one_mask(spark):
+    rows = [(1, 0, 0, 5), (1, 0, 3, 9), (1, 0, 4, 6), (1, 0, 9, 12), (1, 0, 20, 21), (None, 0, 1, 2)]
+    got = {r.doc_id: [tuple(m) for m in r.masks] for r in cr.masks(
+        spark.createDataFrame(rows, "doc_id long, text_key long, start int, end int")).collect()}
+    assert got == {1: [(0, 9), (9, 12), (20, 21)], None: [(1, 2)]}
