@@ -8,7 +8,8 @@ below the k-th best exact score that its query has so far. Survivors get exact i
 stay, so ties are complete.
 
 Vectors are dealt by a hash into blocks of candidates and of queries, each pair of blocks is one group: block nested,
-with bounded groups whatever repeats. Every group keeps k per query; the groups' bests are merged by key.
+with bounded groups whatever repeats. A block of queries is as large as a task can hold, so that candidates are copied as seldom as
+can be; within a task, queries are taken ``QUERY_TILE`` at a time. Every group keeps k per query; the groups' bests are merged by key.
 
 Results: vectors that are null or hold null or non-finite components take no part; vectors of different lengths are not
 compared. A query's own row is no candidate; other rows of its id are, and repeated ids each count. Rows without id are
@@ -28,8 +29,8 @@ from spanwise.llm.common import pieces, stored
 SCALE = 256
 SEGMENTS = (1, 4, 16)
 CANDIDATES = 8_192
-QUERIES = 512
-TILE, FIRST_TILE = 1_024, 64
+QUERIES = 8_192
+TILE, FIRST_TILE, QUERY_TILE = 1_024, 64, 512
 PAIRS = 50_000
 LAST = np.iinfo(np.int64).max
 
@@ -143,8 +144,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         q_ids = q.column("vec_id").to_numpy()
         v_ids = np.array([LAST if i is None else i for i in v.column("vec_id").to_pylist()], np.int64)
         q_rows, v_rows = q.column("row").to_numpy(), v.column("row").to_numpy()
-        at, place, score = best(q_rows, _matrix(q), v_rows, v_ids, _matrix(v), k) if q.num_rows and v.num_rows else ([], [], [])
-        at, place = np.asarray(at, np.int64), np.asarray(place, np.int64)
+        found = []
+        if q.num_rows and v.num_rows:
+            queries, candidates = _matrix(q), _matrix(v)
+            for first in range(0, len(queries), QUERY_TILE):
+                some = slice(first, first + QUERY_TILE)
+                at, place, score = best(q_rows[some], queries[some], v_rows, v_ids, candidates, k)
+                found.append((at + first, place, score))
+        at, place, score = (np.concatenate([np.empty(0, np.int64), *of]) for of in (zip(*found) if found else ((), (), ())))
         ids = v.column("vec_id").combine_chunks().take(pa.array(place))
         return pa.Table.from_arrays([pa.array(q_rows[at]), pa.array(q_ids[at]), ids, pa.array(np.asarray(score, np.int64))], names)
 

@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spanwise.llm import registry, search
@@ -54,9 +55,11 @@ def test_blocks_and_bounds(monkeypatch):
             assert [(-s, ids[p]) for a, p, s in zip(at, place, score) if a == n] == want
 
 
-def test_many_groups_and_empty_table(spark, monkeypatch):
+@pytest.mark.parametrize("queries, tile", [(3, 512), (100, 2)])
+def test_many_groups_and_empty_table(spark, monkeypatch, queries, tile):
     monkeypatch.setattr(search, "CANDIDATES", 40)
-    monkeypatch.setattr(search, "QUERIES", 3)
+    monkeypatch.setattr(search, "QUERIES", queries)
+    monkeypatch.setattr(search, "QUERY_TILE", tile)
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)], 0, 0) for i in range(400)]
     df = spark.createDataFrame(rows, SCHEMA)
