@@ -9,8 +9,9 @@ which the writer always adds, let a reader with a filter on doc_id skip pages, a
 counts alone never touches the ids.
 
 Texts are cut at white space, which the vocabulary drops, and the pieces, where they keep to Latin-1, into words in lower case, as the
-vocabulary's own pattern has them. A worker has the library encode distinct words once, in batches, as long as its caches of about
-``CACHE_PIECES`` and ``CACHE_WORDS`` hold them.
+vocabulary's own pattern has them. A slice's distinct pieces and words are found by Arrow's dictionaries; the library encodes
+distinct words, once as long as a worker's cache of ``CACHE_WORDS`` and ``CACHE_BYTES`` holds them, and ids of words, pieces and texts are gathered
+from each other as arrays.
 
 Results: a null text is empty and has the end id alone. Rows without doc_id come first, copies of an id stand together,
 ordered by text. Other columns play no part. An empty table writes no row and reads back as an empty frame.
@@ -18,10 +19,11 @@ ordered by text. Other columns play no part. An empty table writes no row and re
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
-from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +33,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spanwise.llm.bpe import LATIN, WHITE, id_lists, load_vocabulary
-from spanwise.llm.common import Kept, pieces, slices, small, stored, text_bytes, texts_of
+from spanwise.llm.bpe import LATIN, WHITE, load_vocabulary
+from spanwise.llm.common import pieces, slices, small, stored, text_bytes, texts_of
 
 PART_BYTES = 32 << 20
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 512
-CACHE_PIECES, CACHE_WORDS = 200_000, 400_000
-BATCH_PIECES = 10_000
+CACHE_WORDS, CACHE_BYTES = 600_000, 64 << 20
+BATCH_WORDS, COMMA_WORDS = 10_000, 100
+SLICE = 2 << 20
 END_ID = 1
 
 LAYOUT = {
@@ -54,31 +57,115 @@ LAYOUT = {
 }
 
 _PIECES = re.compile(f"[^{WHITE}]+")
-_CONTROLS = "\x1c\x1d\x1e\x1f"
 _LETTERS, _NUMBERS, _BLANKS = LATIN
 _LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
+# Between two pieces: a line break is in none.
+_PIECE_WORDS = re.compile(_LATIN_WORDS.pattern + "|\n")
+
+
+def _arrow_blank(c: str) -> bool:
+    return len(pc.utf8_split_whitespace(pa.array([f"a{c}b"]))[0]) > 1
+
+
+# What is a blank to Arrow alone or to the vocabulary alone needs the general way.
+_ODD = bytes(c for c in range(256) if _arrow_blank(chr(c)) != bool(re.match(f"[{WHITE}]", chr(c))))
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _lines(texts: pa.Array) -> str:
+    """The texts as the lines of one."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)
+    return pc.binary_join(whole, "\n")[0].as_py()
+
+
+class WordIds:
+    """Ids of words: a bounded cache that, when full, keeps the words that came again. All of it is flat arrays."""
+
+    def __init__(self, library: Tokenizer, limit: int = CACHE_WORDS) -> None:
+        self._library, self._limit = library, limit
+        self._comma = library.encode(",", add_special_tokens=False).ids
+        self.words = pa.array([], pa.string())
+        self.flat = np.empty(0, np.int32)
+        self._starts, self._sizes, self._again = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+
+    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``flat`` the ids of distinct words begin, and how many they are."""
+        if len(self.words) + len(words) > self._limit or self.flat.nbytes + self.words.nbytes > CACHE_BYTES:
+            self._shrink()
+        rows = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        new = rows < 0
+        self._again[rows[~new]] = True
+        rows[new] = len(self.words) + np.arange(new.sum())
+        self._learn(words.filter(pa.array(new)))
+        return self._starts[rows], self._sizes[rows]
+
+    def _learn(self, words: pa.Array) -> None:
+        flat, sizes = [self.flat], []
+        for i in range(0, len(words), BATCH_WORDS):
+            ids, each = self._encoded(words.slice(i, BATCH_WORDS).to_pylist())
+            flat.append(ids)
+            sizes.append(each)
+        sizes = np.concatenate([np.empty(0, np.int64), *sizes])
+        starts = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate(flat)
+        self._starts, self._sizes = np.concatenate([self._starts, starts]), np.concatenate([self._sizes, sizes])
+        self._again = np.concatenate([self._again, np.zeros(len(words), bool)])
+        self.words = pa.concat_arrays([self.words, words])
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has.
+
+        Words without a comma go as one text with a comma between each two, whose id is that of nothing else.
+        """
+        encode = self._library.encode_batch_fast
+        if len(self._comma) == 1 and not any("," in w for w in words):
+            ids = np.array(encode([" , ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+            commas = np.flatnonzero(ids == self._comma[0])
+            if len(commas) == len(words) - 1:
+                bounds = np.concatenate([[-1], commas, [len(ids)]])
+                return np.delete(ids, commas), np.diff(bounds) - 1
+        if len(words) > COMMA_WORDS:  # look for those with a comma apart
+            parts = [self._encoded(words[i:i + COMMA_WORDS]) for i in range(0, len(words), COMMA_WORDS)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        ids = [e.ids for e in encode(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _shrink(self) -> None:
+        # Long words are not kept in mind.
+        kept = self._again & (pc.binary_length(self.words).to_numpy() <= 64)
+        if kept.sum() > self._limit * 3 // 4:
+            kept[:] = False
+        self.words = self.words.filter(pa.array(kept))
+        self.flat = gathered(self.flat, self._starts[kept], self._sizes[kept])
+        self._sizes = self._sizes[kept]
+        self._starts = np.cumsum(self._sizes) - self._sizes
+        self._again = np.zeros(len(self.words), bool)
 
 
 class PieceEncoder:
     """The library's ids of texts, by distinct pieces between white space and distinct words in these."""
 
     def __init__(self, content: bytes):
+        # One thread for each task: the scheduler counts on it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_str(content.decode())
         self.library.no_truncation()
         self.library.no_padding()
-        self.pieces, self.words = Kept(CACHE_PIECES), Kept(CACHE_WORDS)
+        self.words = WordIds(self.library)
 
     @staticmethod
-    def cut(text: str) -> list[str]:
-        """Pieces whose ids, one after the other, are those of the text."""
-        # Names of special tokens stay whole, and some control characters are blanks to Python alone.
-        if "<|" in text or any(c in text for c in _CONTROLS):
-            return _PIECES.findall(text)
+    def simple(text: str) -> bool:
+        """Whether Arrow cuts and lowers the text as the vocabulary does. Names of special tokens stay whole."""
         try:
-            text.encode("latin-1")
+            octets = text.encode("latin-1")
         except UnicodeEncodeError:
-            return _PIECES.findall(text)
-        return text.lower().split()
+            return False
+        return "<|" not in text and len(octets.translate(None, _ODD)) == len(octets)
 
     @staticmethod
     def words_of(piece: str) -> list[str]:
@@ -89,29 +176,42 @@ class PieceEncoder:
             return [piece]
         return [piece] if "<|" in piece else _LATIN_WORDS.findall(piece.lower())
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids, as little-endian unsigned 32-bit integers."""
-        split = [self.cut(t) for t in texts]
-        ids = self.pieces
-        new = ids.missing(set().union(*split))
-        apart = [self.words_of(p) for p in new]
-        learnt = self._learn(set().union(*apart))
-        word = self.words.__getitem__
-        ids.update(zip(new, [b"".join(map(word, words)) for words in apart]))
-        out = [b"".join(map(ids.__getitem__, text)) for text in split]
-        for cache, added in ((ids, new), (self.words, learnt)):
-            for long in [p for p in added if len(p) > 64]:
-                cache.drop(long)
-        return out
-
-    def _learn(self, words: set[str]) -> list[str]:
-        """Encode the words that are not known yet."""
-        new = self.words.missing(words)
-        for at in range(0, len(new), BATCH_PIECES):
-            some = new[at:at + BATCH_PIECES]
-            found = self.library.encode_batch_fast(some, add_special_tokens=False)
-            self.words.update(zip(some, [array("I", e.ids).tobytes() for e in found]))
-        return new
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text."""
+        simple = np.fromiter(map(self.simple, texts), bool, len(texts))
+        cut = pc.utf8_split_whitespace(pc.utf8_lower(pa.array([t for t, s in zip(texts, simple) if s], pa.string())))
+        # A leading or trailing blank leaves an empty piece, which has no words.
+        first = self._gather(cut, lambda pieces: _PIECE_WORDS.findall(_lines(pieces)))
+        if simple.all():
+            return first
+        other = pa.array([_PIECES.findall(t) for t, s in zip(texts, simple) if not s], pa.list_(pa.string()))
+        rest = self._gather(other, lambda pieces: [w for p in pieces.to_pylist() for w in ("\n", *self.words_of(p))][1:])
+        place = np.empty(len(texts), np.int64)
+        place[np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])] = np.arange(len(texts))
+        return pa.concat_arrays([first, rest]).take(pa.array(place))
+
+    def _gather(self, texts: pa.ListArray, cut) -> pa.ListArray:
+        """Ids of lists of pieces; ``cut`` gives the words of an array of distinct pieces with a line break between pieces."""
+        ends = texts.offsets.to_numpy()
+        pieces = texts.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        distinct = pieces.dictionary
+        if not len(distinct):
+            return pa.ListArray.from_arrays(pa.array(np.zeros(len(texts) + 1, np.int32)), pa.array([], pa.int32()))
+        words = pa.array(cut(distinct), pa.string()).dictionary_encode()
+        starts, sizes = self.words.find(words.dictionary)
+        line_break = pc.index(words.dictionary, "\n").as_py()
+        if line_break >= 0:
+            sizes[line_break] = 0
+        word = words.indices.to_numpy()
+        in_pieces = gathered(self.words.flat, starts[word], sizes[word])
+        # The ids of a piece lie between two line breaks, which have none themselves.
+        breaks = np.flatnonzero(word == line_break)
+        totals = np.concatenate([[0], np.cumsum(sizes[word])])
+        bounds = totals[np.concatenate([[0], breaks, [len(word)]])]
+        piece = pieces.indices.to_numpy()
+        found = gathered(in_pieces, bounds[piece], np.diff(bounds)[piece])
+        totals = np.concatenate([[0], np.cumsum(np.diff(bounds)[piece])])
+        return pa.ListArray.from_arrays(pa.array(totals[ends - ends[0]].astype(np.int32)), pa.array(found))
 
 
 @lru_cache(maxsize=2)
@@ -119,19 +219,25 @@ def piece_encoder(content: bytes) -> PieceEncoder:
     return PieceEncoder(content)
 
 
+def with_end(ids: pa.ListArray, end_id: int) -> pa.ListArray:
+    """Each list with ``end_id`` after its last."""
+    ends = ids.offsets.to_numpy().astype(np.int64)
+    flat = np.insert(ids.values.to_numpy(), ends[1:], end_id)
+    return pa.ListArray.from_arrays(pa.array((ends + np.arange(len(ends))).astype(np.int32)), pa.array(flat, pa.int32()))
+
+
 def write_tokens(df: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, doc_id: str = "doc_id",
                  text: str = "text", part_bytes: int = PART_BYTES) -> None:
     """Encode all texts, append ``end_id`` to each, and write them below ``path`` in order of ``doc_id``."""
     content = load_vocabulary(df, vocabulary)
-    end = end_id.to_bytes(4, "little")
     names = ["doc_id", "part", "start_in_part", "n_tokens", "token_ids"]
 
     def run(batches):
         encoder = piece_encoder(content.value)
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in slices(batch, "text"):
-                ids = id_lists([e + end for e in encoder.encode(texts_of(rows))])
+            for rows in slices(batch, "text", SLICE):
+                ids = with_end(encoder.encode(texts_of(rows)), end_id)
                 counts = ids.value_lengths().to_numpy().astype(np.int64)
                 ends = at + np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays(

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -40,7 +41,19 @@ def test_pieces_equal_whole_texts(library):
     latin = [*"ab'sreÀÿ×µª²½ .,<|>-\x85\xa0\x1c", "don't", "l'eau", "12", "'LL", " The"]
     texts = ["".join(rng.choice(p) for _ in range(rng.randint(0, 40))) for _ in range(800) for p in (pool, latin)]
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [np.frombuffer(e, "<u4").tolist() for e in encoder.encode(texts)] == want
+    assert encoder.encode(texts).to_pylist() == want
+    assert encoder.encode([]).to_pylist() == [] and encoder.encode(["", " "]).to_pylist() == [[], []]
+
+
+def test_words_that_come_again_are_kept(library):
+    cache = tokens.WordIds(library, limit=50)
+    rng = random.Random(3)
+    for n in range(60):
+        words = list({"the", "of", f"w{n}", "x" * 70, *("".join(rng.choices("abc", k=4)) for _ in range(rng.randint(0, 30)))})
+        starts, sizes = cache.find(pa.array(words))
+        got = [cache.flat[a:a + k].tolist() for a, k in zip(starts, sizes)]
+        assert got == [library.encode(w, add_special_tokens=False).ids for w in words]
+        assert len(cache.words) <= 50 and "the" in cache.words.to_pylist()
 
 
 def test_query_on_edges(spark, library, tmp_path):
