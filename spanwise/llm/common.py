@@ -9,10 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 4 << 20
-#: Rows of a few numbers or one shingle each that may be sent to every executor: some tens of MB.
-SENT_ROWS = 500_000
+#: Rows and bytes that may be sent to every executor.
+SENT_ROWS, SENT_BYTES = 500_000, 64 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -83,11 +84,14 @@ def own_name(name: str, taken) -> str:
 def shared_path(spark: SparkSession, purpose: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which all executors reach.
 
-    Where the setting is missing, below the warehouse folder, which a session has in any case.
+    Where the setting is missing, below the warehouse folder, which a session has in any case; on a cluster that must not be
+    a folder of one machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+        if base.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -96,12 +100,32 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._stored_at = path
+    return read
 
 
-def small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
-    """A stored frame, marked for sending to all executors if it holds ``rows`` rows at most."""
-    return F.broadcast(df) if df.count() <= rows else df
+def discard(*frames: DataFrame) -> None:
+    """Remove the tables of ``stored`` frames that nothing will read any more."""
+    for frame in frames:
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame._stored_at)
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int = SENT_ROWS, size: int = SENT_BYTES) -> DataFrame:
+    """A stored frame, marked for sending to all executors if it holds ``rows`` rows and ``size`` bytes at most."""
+    found = df.agg(F.count(F.lit(1)), *(F.sum(_bytes(f)) for f in df.schema.fields)).first()
+    return F.broadcast(df) if found[0] <= rows and sum(n or 0 for n in found[1:]) <= size else df
+
+
+def _bytes(field: T.StructField):
+    """About how many bytes a value takes."""
+    name = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.octet_length(name)
+    if isinstance(field.dataType, T.ArrayType):
+        return F.size(name).cast("long") * 16
+    return F.lit(8)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:

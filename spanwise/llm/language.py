@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from spanwise.llm.common import map_texts, texts_of
 
 SAMPLE_DOCS = 1_000
+#: Labels that are learned at most: a worker holds a table of the features for each.
+LANGUAGES = 120
 FEATURES = 1 << 17
 SWITCH = 10.0
 SCRIPT_SHARE = 0.01
@@ -155,14 +157,21 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarray
     return labels
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Count the features of a bounded sample of labelled texts, at most about ``sample_docs`` a language."""
-    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}  # one row a language
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS,
+          languages: int = LANGUAGES) -> Model:
+    """Count the features of a bounded sample of labelled texts, at most about ``sample_docs`` distinct ones a language.
+
+    A text that is repeated is drawn, or not, as one. Labels are learned up to ``languages`` of them, those of the most texts.
+    """
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("key"))
+    found = known.groupBy("lang", "key").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["lang"]: r["n"] for r in found.orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return Model([], np.zeros((FEATURES, 0)), np.zeros((N_SCRIPTS, 0)))
     share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_docs / n))))
-    drawn = F.pmod(F.xxhash64(text), F.lit(1_000_000)) < share[F.col(lang)] * 1_000_000
+    drawn = F.pmod(F.col("key"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
+    sample = known.where(drawn).groupBy("lang", "key").agg(F.first("text").alias("text"))
     names = sorted(sizes)
     place = {n: i for i, n in enumerate(names)}
 
@@ -170,7 +179,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_do
         counts = np.zeros((FEATURES, len(names)), np.int64)
         scripts = np.zeros((N_SCRIPTS, len(names)), np.int64)
         for batch in batches:
-            for row, name in zip(texts_of(batch, text), batch.column(lang).to_pylist()):
+            for row, name in zip(texts_of(batch), batch.column("lang").to_pylist()):
                 words = Words([row])
                 for features in (words.pairs, words.triples):
                     np.add.at(counts[:, place[name]], features, 1)
@@ -181,7 +190,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_do
                 [pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(of.astype(np.int32)),
                  pa.array(table[at, of])], ["kind", "at", "of", "n"])
 
-    rows = (known.where(drawn).select(text, lang).mapInArrow(run, "kind int, at int, of int, n long")
+    rows = (sample.select("text", "lang").mapInArrow(run, "kind int, at int, of int, n long")
             .groupBy("kind", "at", "of").agg(F.sum("n").alias("n")).toArrow())
     kind, at, of, n = (rows.column(c).to_numpy() for c in ("kind", "at", "of", "n"))
     counts, scripts = np.zeros((FEATURES, len(names))), np.zeros((N_SCRIPTS, len(names)))

@@ -201,7 +201,7 @@ def score_texts(df: DataFrame, training: Column, doc_id: str = "doc_id", text: s
     """Per row: ``doc_id``, ``training``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``."""
     total_bytes = text_bytes(df, text)
     buckets = pieces(total_bytes, BUCKET_BYTES)
-    bits = min(16, max(0, (pieces(total_bytes, RANGE_BYTES) - 1).bit_length()))
+    bits = (pieces(total_bytes, RANGE_BYTES) - 1).bit_length()
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), training.alias("training"))
     n_tokens, n_words = vocabulary_size(rows.where("training"), bits)
     shares = n_tokens + n_words + 1

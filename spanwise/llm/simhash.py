@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from spanwise.llm.common import map_texts, own_name, small, stored
+from spanwise.llm.common import discard, map_texts, own_name, small, stored
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -135,6 +135,7 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")), purpose)
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), purpose)
+    tables = [labels]
     while True:
         near = (both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near")))
         hooked = stored(labels.join(near, labels.node == near.a)
@@ -142,8 +143,11 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
         roots = hooked.select(F.col("node").alias("root"), F.col("hooked").alias("label"))
         jumped = stored(hooked.join(roots, hooked.hooked == roots.root, "left")
                         .select("node", "component", F.least("hooked", "label").alias("new")), purpose)
-        labels = jumped.select("node", F.col("new").alias("component"))
-        if jumped.where("new < component").isEmpty():
+        done = jumped.where("new < component").isEmpty()
+        discard(*tables, hooked)
+        labels, tables = jumped.select("node", F.col("new").alias("component")), [jumped]
+        if done:
+            discard(both)
             return labels
 
 
