@@ -27,9 +27,7 @@ from spanwise.streaming import LateTable, UpsertTable, run_stream, run_to_end, s
 
 try:
     from spanwise.llm import registry as corpus
-except ImportError as missing:  # the folder may be left out; anything else it lacks is an error
-    if missing.name != "spanwise.llm":
-        raise
+except ImportError:  # the folder, or a package that it needs, may be left out
     corpus = None
 
 HOUR_S = 3600
@@ -353,6 +351,7 @@ def _span_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "b2b_mono_packed": _batch("b2b_mono_packed", _mono_packed, max_gap=100_000_000),
         "b2b_bi_packed": _batch("b2b_bi_packed", _bi_packed, max_gap=10_000_000),
         "b2b_mono": _batch("b2b_mono", _calls, max_gap_s=HOUR_S),
+        "b2b_mono_ranges": _batch("b2b_mono", _calls, max_gap_s=HOUR_S, one_shuffle=True),
         "b2b_bi": _batch("b2b_bi", _call_signals, bound="4 hours", max_gap_s=6 * HOUR_S),
         "b2b_bi_one_per_id": _batch(
             "b2b_bi", _call_signals, bound="4 hours", max_gap_s=6 * HOUR_S, one_per_id=True),
@@ -549,6 +548,7 @@ FROM bi_towers"""
         "b2b_mono_packed": _VIEWS + _follow_packed(packed_calls, 100_000_000),
         "b2b_bi_packed": _VIEWS + packed_pairs + _follow_packed("packed_pairs", 10_000_000),
         "b2b_mono": _VIEWS + _follow("mono_calls", HOUR_S),
+        "b2b_mono_ranges": _VIEWS + _follow("mono_calls", HOUR_S),
         "b2b_bi": b2b_bi,
         "b2b_bi_one_per_id": b2b_bi,
         "spans_split_calls": _VIEWS + """

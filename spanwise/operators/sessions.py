@@ -4,12 +4,20 @@ Every key is cut into fixed slices of start time, so that a key may hold any sha
 looks back within (key, slice); a second one takes only matches and the first and last row of each slice, and
 finds for each first row the last row of the slice before. A key so brings one task the rows of
 one slice, or two rows per slice. The slice is a plain parameter that changes no result.
+
+Where keys are so sparse that nearly every row is an edge, the second window moves the whole table again. ``one_shuffle`` deals the rows
+once, over ranges of (key, start), which cut a key of any size; each range looks back in order, and only matches and the first and
+last row of each range go on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +26,9 @@ from spanwise.functions import packed_gap
 from spanwise.functions.packed import HOUR_UNIT
 from spanwise.operators.copies import repeat_rows
 
+# What a range passes on, in the order in which it stands among the edges.
+FIRST, LAST, MATCH = range(3)
+
 
 def back_to_back(
     df: DataFrame,
@@ -29,6 +40,7 @@ def back_to_back(
     allow_zero: bool = True,
     slice_s: int = 3600,
     copies: str | None = None,
+    one_shuffle: bool = False,
 ) -> DataFrame:
     """Spans that begin at most ``max_gap_s`` whole seconds after the previous span ended.
 
@@ -37,8 +49,14 @@ def back_to_back(
     (start before prev_end) never matches; ``allow_zero=False`` also excludes touching spans.
 
     ``slice_s`` bounds what one key brings to one task; longer slices have fewer edges to stitch. ``copies``
-    names a column that says how many equal rows a row stands for.
+    names a column that says how many equal rows a row stands for. ``one_shuffle`` reads the rows twice (to find the ranges) and
+    moves them once, in Arrow batches; it has no ``copies``.
     """
+    if one_shuffle:
+        if copies is not None:
+            raise ValueError("one_shuffle counts no copies")
+        least_us, limit_us = 0 if allow_zero else 1, (max_gap_s + 1) * 1_000_000
+        return _follow_in_ranges(df, [key] if isinstance(key, str) else list(key), start, end, id, least_us, limit_us)
 
     def follows(begin: Column, prev_end: Column) -> Column:
         lower = begin >= prev_end if allow_zero else begin > prev_end
@@ -125,6 +143,72 @@ def _follow_previous(
             .where(follows(begin, F.col("prev_end"))))
 
 
+def _follow_in_ranges(
+    df: DataFrame, keys: list[str], start: str, end: str, id: str, least_us: int, limit_us: int
+) -> DataFrame:
+    """The same over ranges of (key, start): keys, id, prev_end, start_time, gap_s."""
+
+    def micros(column: str) -> Column:
+        return F.unix_micros(F.col(column).cast("timestamp"))
+
+    names = [f"key_{i}" for i in range(len(keys))]
+    rows = df.where(F.col(start).isNotNull()).select(
+        *(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(id).alias("id"), micros(start).alias("start"), micros(end).alias("end"))
+    order = [*names, "start", "id", "end"]
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
+    columns = [*names, "id", "start", "end", "range"]
+
+    def look_back(batches):
+        before = None  # the row before the batch
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not batch.num_rows:
+                continue
+            if before is None:
+                yield from found(table.slice(0, 1), FIRST, None)
+                before = table.slice(0, 1)
+                table = table.slice(1)
+            table = pa.concat_tables([before, table]).combine_chunks()
+            now, was = table.slice(1), table.slice(0, table.num_rows - 1)
+            prev = was["end"]
+            match = follows(now["start"], prev)
+            for name in names:
+                match = pc.and_(match, same(now[name], was[name]))
+            yield from found(now.filter(match), MATCH, prev.filter(match))
+            before = table.slice(table.num_rows - 1)
+        if before is not None:
+            yield from found(before, LAST, None)
+
+    def follows(begin, prev):
+        gap = pc.subtract(begin, prev)
+        return pc.fill_null(pc.and_(pc.greater_equal(gap, least_us), pc.less(gap, limit_us)), False)
+
+    def same(a, b):
+        return pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+
+    def found(table, kind, prev):
+        prev = pa.nulls(table.num_rows, pa.int64()) if prev is None else prev
+        out = table.select(columns).append_column("kind", pa.array([kind] * table.num_rows, pa.int32())).append_column("prev", prev)
+        yield from out.combine_chunks().to_batches()
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranges.schema.fields)
+    wanted = ranges.select(*columns).mapInArrow(look_back, f"{fields}, kind int, prev long")
+    # The edges of all ranges meet, two rows each; matches stay with their range.
+    lane = F.when(F.col("kind") == MATCH, F.col("range"))
+    last = F.lag(F.struct(*names, "end")).over(Window.partitionBy(lane).orderBy("range", "kind"))
+    carried = wanted.withColumn("last", last)
+    same_key = reduce(and_, [F.col(n).eqNullSafe(F.col(f"last.{n}")) for n in names])
+    gap = F.col("start") - F.col("last.end")
+    across = (F.col("kind") == FIRST) & same_key & (gap >= least_us) & (gap < limit_us)
+    pairs = carried.where((F.col("kind") == MATCH) | across).withColumn(
+        "prev", F.when(F.col("kind") == MATCH, F.col("prev")).otherwise(F.col("last.end")))
+    return pairs.select(
+        *(F.col(n).alias(k) for k, n in zip(keys, names)), F.col("id").alias(id),
+        F.timestamp_micros("prev").cast(df.schema[end].dataType).alias("prev_end"),
+        F.timestamp_micros("start").cast(df.schema[start].dataType).alias("start_time"),
+        F.call_function("div", F.col("start") - F.col("prev"), F.lit(1_000_000).cast("long")).alias("gap_s"))
+
+
 def _matches_of_copies(
     rows: DataFrame, keys: list[str], id: str, prev_end: Column, follows: Callable[[Column, Column], Column]
 ) -> DataFrame:

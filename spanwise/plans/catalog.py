@@ -80,7 +80,10 @@ def b2b_bi_packed(signals: DataFrame, max_gap: int = 10_000, one_per_id: bool =
 
 
 def b2b_mono(calls: DataFrame, max_gap_s: int = 10, **slices: int) -> DataFrame:
-    """Calls that follow the caller's call before within whole seconds; all dispositions."""
+    """Calls that follow the caller's call before within whole seconds; all dispositions.
+
+    A batch frame also takes ``one_shuffle`` (see ``back_to_back``).
+    """
     look_back = back_to_back_stream if calls.isStreaming else back_to_back
     return look_back(calls, *_CALL, max_gap_s, **slices)
 

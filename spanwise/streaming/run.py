@@ -126,8 +126,13 @@ class Monitor(StreamingQueryListener):
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, or else below the warehouse: both are shared by a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
+    """A new folder name below ``spark.checkpoint.dir``, or else below the warehouse: both are shared by a cluster, where the
+    warehouse must not be a folder of one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
+        if base.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

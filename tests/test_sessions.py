@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanwise.operators import back_to_back, back_to_back_packed
 from tests.helpers import at, bag, brute_back_to_back, calls, frame
@@ -132,3 +133,46 @@ def test_two_shuffles_and_pruned_columns(spark):
     plan = back_to_back(df, *CALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
     assert "props" not in plan.split("ReadSchema")[1]
+
+
+@pytest.mark.parametrize("parts", ["1", "4", "23"])
+def test_one_shuffle_equals_brute_force(spark, parts):
+    rng = random.Random(int(parts))
+    rows = [(i, rng.choice([None, 0, 0, *range(1, 30)]), s := rng.randrange(0, 4000) / 2, s + rng.choice([0, 1, 5, 40])) for i in range(500)]
+    rows += [(600, 3, None, 1), (601, 4, 10, None), (602, 4, 11, 12), (7, 0, 3, 4), (7, 0, 3, 4)]
+    before = {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for n, v in zip(before, (parts, "false")):
+        spark.conf.set(n, v)
+    try:
+        df = calls(spark, rows)
+        for options in ({}, {"allow_zero": False}, {"max_gap_s": 0}):
+            got = back_to_back(df, *CALL, one_shuffle=True, **options)
+            assert bag(got, *EVIDENCE) == brute_back_to_back(rows, **options)
+            want = back_to_back(df, *CALL, **options)
+            assert got.schema == want.schema and bag(got) == bag(want)
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    with pytest.raises(ValueError, match="copies"):
+        back_to_back(df, *CALL, one_shuffle=True, copies="n")
+
+
+def test_one_shuffle_moves_the_rows_once_and_cuts_a_hot_key(spark):
+    rows = spark.range(20_000).select(
+        F.col("id").alias("unique_id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("calling_party"),
+        F.timestamp_seconds("id").alias("start_time"), F.timestamp_seconds(F.col("id") + 2).alias("end_time"))
+    before = {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    for n, v in zip(before, ("16", "false")):
+        spark.conf.set(n, v)
+    try:
+        pairs = back_to_back(rows, *CALL, one_shuffle=True)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("rangepartitioning") == 1 and plan.count("Exchange") == 2
+        # The second exchange is behind the look back, where matches and edges are left.
+        assert plan.index("Exchange hashpartitioning") < plan.index("MapInArrow") < plan.index("Exchange rangepartitioning")
+        sizes = rows.repartitionByRange("calling_party", "start_time").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) < 20_000 / 8
+        assert pairs.count() == 6666
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
