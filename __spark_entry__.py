@@ -55,8 +55,12 @@ def _tower_signals(spark, sf_dir):
 SECONDS_APART, MINUTES_APART = 40_000, 600
 
 
+def _close_together(table, factor):
+    return lambda events: table(ev.dense(events, factor))
+
+
 def _dense(table, factor):
-    return lambda spark, sf_dir: table(ev.dense(ev.events(spark, sf_dir), factor))
+    return lambda spark, sf_dir: _close_together(table, factor)(ev.events(spark, sf_dir))
 
 
 _MONO, _BI = {"start_ts": "start_time", "end_ts": "end_time"}, {"event_ts": "event_time"}
@@ -390,6 +394,15 @@ def _span_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "mobility_bi_5s_approx", ev.bi_towers, window="1 day", threshold=2),
         "mobility_mono_5m_stream": _stream("mobility_mono_5m", ev.mono_towers, window="1 day", threshold=2),
         "mobility_bi_5m_stream": _stream("mobility_bi_5m", ev.bi_towers, window="1 day", threshold=2),
+        # With the customary constants, on a stream.
+        "mobility_mono_5s_approx_default_stream": _stream(
+            "mobility_mono_5s_approx", _close_together(ev.mono_towers, SECONDS_APART), ended=True),
+        "mobility_bi_5s_approx_default_stream": _stream(
+            "mobility_bi_5s_approx", _close_together(ev.bi_towers, SECONDS_APART)),
+        "mobility_mono_5m_default_stream": _stream("mobility_mono_5m", _close_together(ev.mono_towers, MINUTES_APART)),
+        "mobility_bi_5m_default_stream": _stream("mobility_bi_5m", _close_together(ev.bi_towers, MINUTES_APART)),
+        "b2b_mono_default_stream": _stream("b2b_mono", _close_together(ev.mono_calls, MINUTES_APART)),
+        "b2b_bi_default_stream": _stream("b2b_bi", _close_together(ev.bi_calls, MINUTES_APART)),
         "spans_rebuild_stream": _rebuild_stream(False),
         "spans_rebuild_one_scan_stream": _rebuild_stream(True),
         # Over several micro-batches.
@@ -606,6 +619,12 @@ WHERE t.event_type = 0 AND date_trunc('millisecond', t.event_time)
         "b2b_mono_default": minutes + _follow("mono_calls", 10),
         "b2b_bi_default": minutes + _follow(f"({_pairs('4 MINUTE', connected)})", 10),
         # A closed stream gives what its batch twin gives.
+        "mobility_mono_5s_approx_default_stream": _windowed("mono_towers", "end_time", **five_s),
+        "mobility_bi_5s_approx_default_stream": _windowed("bi_towers", "event_time", enter, **five_s),
+        "mobility_mono_5m_default_stream": _windowed("mono_towers", "start_time", **five_m),
+        "mobility_bi_5m_default_stream": _windowed("bi_towers", "event_time", enter, **five_m),
+        "b2b_mono_default_stream": minutes + _follow("mono_calls", 10),
+        "b2b_bi_default_stream": minutes + _follow(f"({_pairs('4 MINUTE', connected)})", 10),
         "mobility_mono_5s_approx_stream": _windowed("mono_towers", "end_time"),
         "mobility_bi_5s_approx_stream": bi_5m,
         "mobility_mono_5m_stream": mono_5m,

@@ -37,10 +37,13 @@ def parse_packed(value: Column | str) -> Column:
     Accepts strings (surrounding blanks allowed) or longs. Impossible dates and times such as
     day 32 or second 60, signs, other lengths than 17 and non-digits all give NULL instead of an error.
     """
-    text = F.trim(_column(value).cast("string"))
-    digits = text.try_cast("long")
+    column = _column(value)
+    # Known when the query is planned: what is not needed for a number is planned away.
+    number = F.typeof(column) == "bigint"
+    text = F.trim(column.cast("string"))
+    digits = F.when(number, column.try_cast("long")).otherwise(text.try_cast("long"))
     # 17 characters make a number of this size only if all of them are digits.
-    in_range = (F.length(text) == 17) & digits.between(1000 * YEAR_UNIT, 10_000 * YEAR_UNIT - 1)
+    in_range = (number | (F.length(text) == 17)) & digits.between(1000 * YEAR_UNIT, 10_000 * YEAR_UNIT - 1)
     below_minute = digits % MINUTE_UNIT
     second = (below_minute.cast("decimal(8,0)") / F.lit(MILLIS_PER_SECOND)).cast("decimal(16,6)")
     stamp = F.try_make_timestamp(

@@ -17,6 +17,9 @@ _PARTITIONS = "spark.sql.shuffle.partitions"
 _ZONE = "spark.sql.session.timeZone"
 _CHANGES = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 
+# Rows of a micro-batch that the console shows; they pass through the driver.
+CONSOLE_ROWS = 1000
+
 
 @contextmanager
 def _settings(spark: SparkSession, **conf: str | None) -> Iterator[None]:
@@ -46,7 +49,7 @@ def run_stream(
 ) -> StreamingQuery:
     """Start a stream.
 
-    ``sink`` is ``"console"`` (rows untruncated), ``"memory"`` (small results; table ``name``),
+    ``sink`` is ``"console"`` (the first ``CONSOLE_ROWS`` of a micro-batch, untruncated), ``"memory"`` (small results; table ``name``),
     ``"noop"``, a function for ``foreachBatch``, or the path of a Parquet folder. ``trigger`` is a
     processing-time interval, or None to take what is there and stop. ``checkpoint`` is the folder
     to resume from: keep it between runs, and use a new one when the query changes. ``provider`` is
@@ -60,7 +63,7 @@ def run_stream(
     if callable(sink):
         writer = writer.foreachBatch(sink)
     elif sink == "console":
-        writer = writer.format("console").option("truncate", "false")
+        writer = writer.format("console").option("truncate", "false").option("numRows", CONSOLE_ROWS)
     elif sink in ("memory", "noop"):
         writer = writer.format(sink)
     else:
