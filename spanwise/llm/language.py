@@ -37,8 +37,8 @@ SWITCH = 10.0
 SCRIPT_SHARE = 0.01
 FAR = -60.0
 UNKNOWN = "und"
-SLICE = 6 << 20
-STEP_CHARS = 1 << 20
+SLICE = 2 << 20
+STEP_CHARS = 1 << 18
 
 # First and last code point of the blocks of each script.
 SCRIPTS = {
