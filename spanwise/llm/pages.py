@@ -263,7 +263,8 @@ def importance(shown: DataFrame) -> DataFrame:
     prior of the mark: ``importance`` and ``node_importance``."""
     node = ["host", "path"]
     seen = shown.where("kind = 'text'").groupBy(*node, "mark", "up", "root", "key", "article").agg(F.max("size").alias("size"))
-    texts = seen.groupBy(*node, "mark", "up", "root", "key").agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("size"))
+    texts = stored(seen.groupBy(*node, "mark", "up", "root", "key").agg(
+        F.count(F.lit(1)).alias("c"), F.max("size").alias("size")), "texts")
     nodes = texts.groupBy(*node).agg(
         _evenness(F.sum("c"), F.sum(F.col("c") * F.log("c"))).alias("differ"))
     articles = seen.select(*node, "article").distinct().groupBy(*node).agg(F.count(F.lit(1)).alias("m"))
@@ -272,7 +273,9 @@ def importance(shown: DataFrame) -> DataFrame:
               .groupBy("host", "up", "key").agg(F.count(F.lit(1)).alias("s")))
     styles = styled.groupBy("host", "up").agg(F.sum("s").alias("n"), F.sum(F.col("s") * F.log("s")).alias("logs"))
     looks = styles.select("host", "up", F.when(F.col("n") > 1, _evenness(F.col("n"), F.col("logs"))).otherwise(1.0).alias("looks"))
-    joined = texts.join(nodes, node).join(articles, node).join(looks, ["host", "up"])
+    # A node's figures go to its texts, which may be very many: sent around, or joined as tables that can be split.
+    joined = texts.join(small(stored(nodes.join(articles, node), "nodes")), node).join(
+        small(stored(looks, "node-styles")), ["host", "up"])
     alone = F.when(F.col("m") > 1, 1 - F.log("c") / F.log("m")).otherwise(1.0)
     prior = F.when(F.col("mark").isin("article", "content"), 1.0).otherwise(UNMARKED)
     worth = F.when(F.col("mark") == "article", TAG_PAGES).otherwise(PRIOR_PAGES)
