@@ -13,6 +13,10 @@ from spanwise.durations import interval_sql, slice_number, to_micros
 
 START, END = 0, 1
 
+# Windows of a stream's pairs start so many bounds apart. Each reaches one bound into the next, so of three ENDs two wait
+# in one window and one in two.
+_WINDOW_BOUNDS = 2
+
 # Time slices of a bounded join are this many bounds wide, so that about one START in sixteen
 # reaches into a second slice and the START side grows by about 6 %.
 _SLICE_BOUNDS = 16
@@ -136,18 +140,18 @@ def _slice(time: Column, bound: str) -> Column:
 
 def stream_lag(bound: str) -> str:
     """How far the time at which a pair leaves a stream lies behind its start at most."""
-    return f"{2 * to_micros(bound)} microseconds"
+    return f"{(_WINDOW_BOUNDS + 1) * to_micros(bound)} microseconds"
 
 
 def _rebuild_stream(signals, id, keys, bound, keep, time, closes) -> DataFrame:
-    """A START waits in the window whose first half holds it; every END that its bound admits falls into that window."""
+    """A START waits in the window that holds it before its last bound; every END that its bound admits falls into that window."""
     on = [id, *keys]
     is_start, is_end = F.col("event_type") == START, F.col("event_type") == END
-    half, both = (f"{n * to_micros(bound)} microseconds" for n in (1, 2))
-    middle = F.col("_window.start") + F.expr(interval_sql(bound))
+    apart, length = (f"{n * to_micros(bound)} microseconds" for n in (_WINDOW_BOUNDS, _WINDOW_BOUNDS + 1))
+    shared = F.col("_window.start") + F.expr(interval_sql(apart))
     paired = reduce(and_, [F.col(c).isNotNull() for c in on], is_start | is_end)
-    windowed = signals.where(paired).withColumn("_window", F.window(time, both, half))
-    waiting = windowed.where(is_end | (F.col(time) < middle)).groupBy("_window", *on).agg(
+    windowed = signals.where(paired).withColumn("_window", F.window(time, length, apart))
+    waiting = windowed.where(is_end | (F.col(time) < shared)).groupBy("_window", *on).agg(
         F.collect_list(F.when(is_start, F.struct(F.col(time).alias("start_time"), *keep))).alias("_starts"),
         F.collect_list(F.when(is_end, F.col(time))).alias("_ends"))
     left = [] if closes is None else [F.window_time("_window").alias(closes)]

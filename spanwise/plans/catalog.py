@@ -100,7 +100,8 @@ def b2b_bi(signals: DataFrame, bound: str = "4 minutes", max_gap_s: int = 10, on
         if one_per_id or count_copies:
             raise ValueError("one_per_id and count_copies have no streaming form")
         calls = rebuild_spans(connected, _ID, [_CALLER], bound, one_scan=True, closes="closes_at")
-        return back_to_back_stream(calls, *_CALL, max_gap_s, closes=("closes_at", stream_lag(bound)), **slices)
+        return back_to_back_stream(calls, *_CALL, max_gap_s, closes=("closes_at", stream_lag(bound)), longest=bound,
+                                   **slices)
     copies = "copies" if count_copies and not one_per_id else None
     calls = rebuild_spans(connected, _ID, [_CALLER], bound, one_per_id=one_per_id, copies=copies)
     return back_to_back(calls, *_CALL, max_gap_s, copies=copies, **slices)

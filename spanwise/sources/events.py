@@ -40,15 +40,19 @@ def events_stream(spark: SparkSession, sf_dir: str, closing: str | None = None,
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def portions(df: DataFrame, folder: str, portion: Column, n: int, rows_per_file: int = 2_000_000) -> int:
+def portions(df: DataFrame, folder: str, portion: Column, n: int, rows_per_file: int = 200_000) -> int:
     """Write a frame to ``folder`` in ``n`` portions, one after the other, as a stream will read them; files per portion.
 
     ``portion`` numbers the rows' portions from 0. Every portion has the same number of files, so a limit of that many
-    files to a micro-batch takes one portion at a time.
+    files to a micro-batch takes one portion at a time. A file is what one task writes and reads. A portion with too few rows for
+    its files gets empty ones.
     """
-    files = max(1, -(-df.count() // (n * rows_per_file)))
+    spark, files = df.sparkSession, max(1, -(-df.count() // (n * rows_per_file)))
     for number in range(n):
         df.where(portion == number).repartition(files).write.mode("append").parquet(folder)
+        written = len(spark.read.schema(df.schema).parquet(folder).inputFiles()) if files > 1 else number + 1
+        for _ in range((number + 1) * files - written):
+            df.limit(0).coalesce(1).write.mode("append").parquet(folder)
     return files
 
 

@@ -8,6 +8,10 @@ Two stateful steps:
 2. Edges look up the end that their key's slice before has left, in a state keyed by the key. Nothing is read or written
    but the entries of keys that arrived, and an entry is one number, so a key with any share of all rows weighs as
    much as another. What nothing can follow any more is dropped as it is seen; a timer sweeps entries of keys that never come again.
+   Where very many keys arrive together, the entries are read in one go unless they are far more than those keys.
+
+Spans of a known greatest length need no second step where a slice is as long as the time over which one of them may be followed: step 1
+then gathers, with the rows of a slice, the last row from that time before it.
 
 All slices that end below the watermark leave step 1 in the same micro-batch, and rows below it are refused as late, so
 step 2 sees slices in order. A lane is a hash group of keys, which spreads the cost of a Python call over many of them.
@@ -16,7 +20,8 @@ step 2 sees slices in order. A lane is a hash group of keys, which spreads the c
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 from typing import Any
 
 import numpy as np
@@ -40,6 +45,9 @@ LANES = 64
 # Stands for the end of a span without one: later than every start, so that nothing follows it.
 _NO_END = 2**62
 
+# From so many keys of a lane on, its entries are read in one go, as long as there are not more than so many to a key.
+_MANY_KEYS, _ENTRIES_A_KEY = 500, 10
+
 # Entries of keys that do not come again are looked for once in so many slices.
 _SWEEP_SLICES = 16
 
@@ -58,6 +66,7 @@ def back_to_back_stream(
     slice_s: int = 60,
     lanes: int = LANES,
     closes: tuple[str, str] | None = None,
+    longest: str | None = None,
 ) -> DataFrame:
     """Streaming twin of ``back_to_back`` with the same columns.
 
@@ -66,58 +75,94 @@ def back_to_back_stream(
     passed the slice of ``slice_s`` seconds in which its second span starts: a longer slice emits later and costs fewer
     edges, and bounds what one key brings to a task; the pairs are the same. ``lanes`` is the number of hash groups of
     keys. Both are plain numbers that no session setting changes, and must stay the same for the life of a
-    checkpoint (``run_stream`` checks that). Needs the RocksDB state store, which ``run_stream`` selects.
+    checkpoint (``run_stream`` checks that). ``longest`` promises that no span is longer: where ``slice_s`` is at least that, the gap
+    and the lag of ``closes`` together, the look back takes one aggregation, without Python and ``lanes``. Needs the RocksDB
+    state store, which ``run_stream`` selects.
     """
     keys = [key] if isinstance(key, str) else list(key)
     column, lag = closes or (start, None)
+    lag_us = 0 if lag is None else to_micros(lag)
     limit_us, least_us = (max_gap_s + 1) * 1_000_000, 0 if allow_zero else 1
     row = F.struct(
         F.unix_micros(start).alias("start_us"), F.col(f"`{id}`").alias("row_id"),
         F.unix_micros(F.col(end).cast("timestamp")).alias("end_us"))
+    timed = df.where(F.col(start).isNotNull() & F.col(column).isNotNull())
+    named = [F.col(f"`{k}`").alias(f"key_{i}") for i, k in enumerate(keys)]
+    prev_end, begin = F.timestamp_micros("prev_us"), F.timestamp_micros("start_us")
+    found = [prev_end.alias("prev_end"), begin.alias("start_time"), F.timestamp_diff("SECOND", prev_end, begin).alias("gap_s")]
+    if longest is not None:
+        reach_us = lag_us + limit_us + to_micros(longest)
+        if reach_us <= slice_s * 1_000_000:
+            pairs = _follow_within_reach(timed, named, column, row, slice_s * 1_000_000, reach_us, limit_us, least_us)
+            return pairs.select(*(F.col(f"key_{i}").alias(name) for i, name in enumerate(keys)), F.col("row_id").alias(id), *found)
+
     sliced = (
-        df.where(F.col(start).isNotNull() & F.col(column).isNotNull())
-        .groupBy(F.window(column, f"{slice_s} seconds").alias("slice"), *(F.col(f"`{k}`").alias(f"key_{i}") for i, k in enumerate(keys)))
+        timed.groupBy(F.window(column, f"{slice_s} seconds").alias("slice"), *named)
         .agg(F.sort_array(F.collect_list(row)).alias("rows")))
 
     def match(before: Column, now: Column) -> Column:
         return F.struct(F.lit(True).alias("match"), now.start_us.alias("start_us"), now.row_id.alias("row_id"),
                         before.end_us.alias("prev_us"), F.lit(_NO_END).alias("last_us"))
 
-    def follows(pair: Column) -> Column:
-        gap = pair.start_us - pair.prev_us
-        return (gap >= least_us) & (gap < limit_us)
-
     count, rows = F.size("rows"), F.col("rows")
     first, last = F.get(rows, F.lit(0)), F.get(rows, count - 1)
-    matches = F.filter(F.zip_with(F.slice(rows, 1, count - 1), F.slice(rows, 2, count - 1), match), follows)
+    matches = F.filter(F.zip_with(F.slice(rows, 1, count - 1), F.slice(rows, 2, count - 1), match), _follows(least_us, limit_us))
     edge = F.struct(F.lit(False).alias("match"), first.start_us.alias("start_us"), first.row_id.alias("row_id"),
                     F.lit(_NO_END).alias("prev_us"), F.coalesce(last.end_us, F.lit(_NO_END)).alias("last_us"))
-    found = sliced.select(
+    edges = sliced.select(
         F.window_time("slice").alias("event"), F.unix_micros("slice.end").alias("slice_end_us"),
         *(f"key_{i}" for i in range(len(keys))), F.inline(F.concat(matches, F.array(edge))))
 
     # Own names inside: the rows reach Python as named tuples, which rename some columns.
-    fields = [_Field(found, f"key_{i}", name) for i, name in enumerate(keys)]
-    fields.append(_Field(found, "row_id", id))
+    fields = [_Field(edges, f"key_{i}", name) for i, name in enumerate(keys)]
+    fields.append(_Field(edges, "row_id", id))
     name = F.concat(*(_text(f"key_{i}") for i in range(len(keys))))
     # Matches need no state, so they may go anywhere: spread them by their row.
     lane = F.when(F.col("match"), lanes + F.pmod(F.xxhash64("row_id", "start_us"), F.lit(lanes)).cast("int"))
-    sent = found.select(
+    sent = edges.select(
         F.coalesce(lane, F.pmod(F.xxhash64(name), F.lit(lanes)).cast("int")).alias("lane"),
         F.when(~F.col("match"), name).otherwise(F.lit("")).alias("name"), "event", "slice_end_us",
         *[c for field in fields for c in field.sent], "start_us", "prev_us", "last_us")
     kinds = {f.name: f.dataType for f in sent.schema.fields}
     inner = [c for field in fields for c in field.inner]
     pairs = T.StructType([T.StructField(c, kinds[c]) for c in [*inner, "start_us", "prev_us"]])
-    carry = _Carry(lanes, limit_us, least_us, slice_s * 1_000_000, 0 if lag is None else to_micros(lag), pairs.fieldNames())
+    carry = _Carry(lanes, limit_us, least_us, slice_s * 1_000_000, lag_us, pairs.fieldNames())
     stitched = sent.groupBy("lane").transformWithStateInPandas(carry, pairs, "Append", "EventTime")
-    prev_end, begin = F.timestamp_micros("prev_us"), F.timestamp_micros("start_us")
-    return stitched.select(
-        *[field.received for field in fields],
-        prev_end.alias("prev_end"),
-        begin.alias("start_time"),
-        F.timestamp_diff("SECOND", prev_end, begin).alias("gap_s"),
-    )
+    return stitched.select(*[field.received for field in fields], *found)
+
+
+def _follows(least_us: int, limit_us: int) -> Callable[[Column], Column]:
+    def within(pair: Column) -> Column:
+        gap = pair.start_us - pair.prev_us
+        return (gap >= least_us) & (gap < limit_us)
+
+    return within
+
+
+def _follow_within_reach(timed: DataFrame, named: Sequence[Column], column: str, row: Column, slice_us: int, reach_us: int,
+                         limit_us: int, least_us: int) -> DataFrame:
+    """Matches of spans that nothing can follow any more once ``reach_us`` has passed from their start.
+
+    A window is a slice and the reach before it. Of the rows there only the last can be the one before the slice's first row. All
+    of them count for that, whenever they end: an earlier row that ends later is not the one before.
+    """
+    window = F.window(column, f"{slice_us + reach_us} microseconds", f"{slice_us} microseconds", f"{-reach_us % slice_us} microseconds")
+    slice_start = F.unix_micros("window.end") - slice_us
+    placed = timed.select(window.alias("window"), F.unix_micros(column).alias("closes_us"), *named, row.alias("row"))
+    own = F.col("closes_us") >= slice_start
+    gathered = (
+        placed.where(own | (F.col("row.start_us") >= slice_start - reach_us))
+        .groupBy("window", *(f"key_{i}" for i in range(len(named))))
+        .agg(F.sort_array(F.collect_list(F.when(own, F.col("row")))).alias("own"), F.max(F.when(~own, F.col("row"))).alias("before")))
+
+    def match(before: Column, now: Column) -> Column:
+        return F.struct(now.start_us.alias("start_us"), now.row_id.alias("row_id"), before.end_us.alias("prev_us"))
+
+    count, rows = F.size("rows"), F.col("rows")
+    matches = F.filter(F.zip_with(F.slice(rows, 1, count - 1), F.slice(rows, 2, count - 1), match), _follows(least_us, limit_us))
+    listed = F.concat(F.array_compact(F.array("before")), F.col("own")).alias("rows")
+    keys = [f"key_{i}" for i in range(len(named))]
+    return gathered.where(F.size("own") > 0).select(*keys, listed).select(*keys, F.inline(matches))
 
 
 def _text(column: str) -> Column:
@@ -169,12 +214,8 @@ class _Carry(StatefulProcessor):
         last = np.append(first[1:], True)
         # Rows still to come start at or after the newest slice seen here.
         floor_us = max(int(edges["slice_end_us"].max()), self._passed_us(timerValues)) - self._lag_us
-        prev, held = np.roll(ends, 1), set()
-        for i in np.flatnonzero(first):
-            value = self._ends.getValue((names[i],))
-            prev[i] = _NO_END if value is None else value[0]
-            if value is not None:
-                held.add(names[i])
+        prev, held = np.roll(ends, 1), self._held(names[first])
+        prev[first] = [held.get(name, _NO_END) for name in names[first]]
         for i in np.flatnonzero(last):
             if self._may_be_followed(int(ends[i]), floor_us):
                 self._ends.updateValue((names[i],), (int(ends[i]),))
@@ -191,15 +232,30 @@ class _Carry(StatefulProcessor):
         self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
     ) -> Iterator[pd.DataFrame]:
         floor_us = self._passed_us(timerValues) - self._lag_us
-        dead = [name for name, end in self._ends.iterator() if not self._may_be_followed(end[0], floor_us)]
-        for name in dead:
-            self._ends.removeKey(name)
-        if self._ends.exists():
+        entries, dead = 0, []
+        for name, end in self._ends.iterator():
+            entries += 1
+            if not self._may_be_followed(end[0], floor_us):
+                dead.append(name)
+        if len(dead) < entries:
+            for name in dead:
+                self._ends.removeKey(name)
             self._sweep_later(timerValues)
         else:
+            self._ends.clear()
             self._sweeping.clear()
         return iter(())
 
+    def _held(self, names: np.ndarray) -> dict[str, int]:
+        """The ends held of these keys, perhaps among others. A call costs as much as tens of entries read in a row."""
+        if len(names) >= _MANY_KEYS:
+            limit = _ENTRIES_A_KEY * len(names)
+            held = {name[0]: end[0] for name, end in islice(self._ends.iterator(), limit + 1)}
+            if len(held) <= limit:
+                return held
+        found = ((name, self._ends.getValue((name,))) for name in names)
+        return {name: end[0] for name, end in found if end is not None}
+
     def _may_be_followed(self, end_us: int, floor_us: int) -> bool:
         return end_us != _NO_END and end_us + self._limit_us > floor_us
 

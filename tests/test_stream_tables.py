@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from spanwise.streaming import (
     state_rows,
     state_table,
 )
+from spanwise.streaming.sessions import _Carry
 from tests.helpers import at, bag, brute_back_to_back
 from tests.test_streaming import CALL, EVIDENCE, MARK, SCHEMA, SIGNALS, STAYS, Feed, finish, signal_rows, stay_feed
 
@@ -170,3 +172,110 @@ def test_batch_and_stream_agree_on_ties(spark, tmp_path):
     got, _ = finish(back_to_back_stream(feed.stream().withWatermark("start_time", "1 second"), *CALL), tmp_path)
     batch = spark.read.schema(SCHEMA).parquet(str(tmp_path / "in")).where(F.col("unique_id") < 10**6)
     assert bag(got) == bag(back_to_back(batch, *CALL))
+
+
+# -- look back without a state of its own --------------------------------------------------------
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def short_calls(seed, n=400):
+    """Calls of at most 30 s in order of start, some without an end, many at the same time as another."""
+    rng = random.Random(seed)
+    return sorted(((i, rng.choice([0, 1, 2, None]), s, rng.choice([None, s, s + 1, s + 4, s + 30]))
+                   for i, s in enumerate(rng.randrange(0, 8000) / 4 for _ in range(n))), key=lambda r: r[2])
+
+
+@pytest.mark.parametrize("slice_s", [41, 60, 3600])
+def test_spans_of_a_known_length_need_no_second_step(spark, tmp_path, slice_s):
+    feed, rows = Feed(spark, tmp_path / "in", SCHEMA), short_calls(slice_s)
+    for k in range(0, len(rows), 80):
+        feed.add(rows[k:k + 80])
+    feed.add([MARK])
+    df = back_to_back_stream(feed.stream().withWatermark("start_time", "5 minutes"), *CALL, slice_s=slice_s, longest="30 seconds")
+    assert "TransformWithState" not in plan_of(df)
+    got, _ = finish(df, tmp_path)
+    want = brute_back_to_back(rows)
+    assert got.columns == ["calling_party", "unique_id", "prev_end", "start_time", "gap_s"]
+    assert bag(got, *EVIDENCE) == want and sum(want.values()) > 30
+
+
+def test_the_one_before_counts_though_an_earlier_call_ends_later(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", SCHEMA)
+    # At second 60 a slice begins. The call before its first one ends long before, or never: nothing follows.
+    feed.add([(1, 1, 29, 59), (2, 1, 45, 46), (3, 1, 61, 62), (4, 2, 29, 59), (5, 2, 45, None), (6, 2, 61, 62)])
+    feed.add([(7, 1, 65, 66), MARK])
+    df = back_to_back_stream(feed.stream().withWatermark("start_time", "5 minutes"), *CALL, slice_s=60, longest="30 seconds")
+    got, _ = finish(df, tmp_path)
+    assert [r.unique_id for r in got.collect()] == [7]
+
+
+def test_a_shorter_slice_keeps_the_second_step(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", SCHEMA)
+    df = feed.stream().withWatermark("start_time", "5 minutes")
+    assert "TransformWithState" in plan_of(back_to_back_stream(df, *CALL, slice_s=40, longest="30 seconds"))
+    assert "TransformWithState" in plan_of(back_to_back_stream(df, *CALL, slice_s=3600))
+
+
+def test_rebuilt_calls_are_chained_without_python_over_files(spark, tmp_path):
+    feed, rows = Feed(spark, tmp_path / "in", SIGNALS), signal_rows(12, 300)
+    for k in range(0, len(rows), 100):
+        feed.add(rows[k:k + 100])
+    feed.add([(10**6, 0, -1, 10**7, "connected")])
+    batch = spark.read.schema(SIGNALS).parquet(str(tmp_path / "in"))
+    df = CATALOG["b2b_bi"](feed.stream(), max_gap_s=90, slice_s=3600)
+    assert "TransformWithState" not in plan_of(df)
+    got, figures = finish(df, tmp_path)
+    want = CATALOG["b2b_bi"](batch, max_gap_s=90)
+    assert bag(got) == bag(want) and want.count() > 20
+    # The mark's START and its window.
+    assert figures[-1]["state_rows"] <= 2
+
+
+def test_most_ends_wait_in_one_window(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", SIGNALS)
+    feed.add([(i, kind, i, 4 * i + kind, "connected") for i in range(360) for kind in (0, 1)])
+    df = rebuild_spans(feed.stream().withWatermark("event_time", "1 hour"), "unique_id", ["calling_party"], "4 minutes", one_scan=True)
+    _, figures = finish(df, tmp_path)
+    assert max(f["state_rows"] for f in figures) <= 1.55 * 360
+
+
+class Ends:
+    """A map state that counts its calls."""
+
+    def __init__(self, entries):
+        self.entries, self.asked, self.read = entries, 0, 0
+
+    def getValue(self, key):
+        self.asked += 1
+        end = self.entries.get(key[0])
+        return None if end is None else (end,)
+
+    def iterator(self):
+        for name, end in self.entries.items():
+            self.read += 1
+            yield (name,), (end,)
+
+
+@pytest.mark.parametrize("arrived, entries, asked, read", [
+    (2000, 300, 0, 300), (2000, 0, 0, 0), (3, 300, 3, 0), (600, 9000, 600, 6001)])
+def test_ends_of_many_keys_are_read_in_one_go(arrived, entries, asked, read):
+    carry = _Carry(1, 1, 0, 1, 0, [])
+    carry._ends = Ends({f"k{i}": i for i in range(entries)})
+    names = np.array([f"k{i}" for i in range(arrived)], dtype=object)
+    held = carry._held(names)
+    assert {n: held[n] for n in names if n in held} == {f"k{i}": i for i in range(min(arrived, entries))}
+    assert (carry._ends.asked, carry._ends.read) == (asked, read)
+
+
+def test_many_keys_of_one_lane_over_files(spark, tmp_path):
+    rows = [(700 * turn + k, k, 60 * turn + k % 50, 60 * turn + k % 50 + 55) for turn in range(4) for k in range(700)]
+    feed = Feed(spark, tmp_path / "in", SCHEMA)
+    for turn in range(4):
+        feed.add(rows[700 * turn:700 * (turn + 1)])
+    feed.add([MARK])
+    got, figures = finish(back_to_back_stream(feed.stream().withWatermark("start_time", "1 second"), *CALL, slice_s=30, lanes=1), tmp_path)
+    assert bag(got, *EVIDENCE) == brute_back_to_back(rows) and got.count() == 2100
+    assert figures[-1]["state_rows"] <= 4
