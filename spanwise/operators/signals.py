@@ -15,7 +15,7 @@ START, END = 0, 1
 
 # Windows of a stream's pairs start so many bounds apart. Each reaches one bound into the next, so of three ENDs two wait
 # in one window and one in two.
-_WINDOW_BOUNDS = 2
+WINDOW_BOUNDS = 2
 
 # Time slices of a bounded join are this many bounds wide, so that about one START in sixteen
 # reaches into a second slice and the START side grows by about 6 %.
@@ -47,6 +47,7 @@ def rebuild_spans(
     one_scan: bool = False,
     closes: str | None = None,
     block_rows: int | None = None,
+    window_bounds: int = WINDOW_BOUNDS,
 ) -> DataFrame:
     """Pair each START with the ENDs of equal ``id`` and ``keys``: id, keys, keep, start_time, end_time.
 
@@ -68,7 +69,9 @@ def rebuild_spans(
     as its second signal comes, from a join of the stream with itself that reads the source twice; its watermark column is
     ``start_time``. With ``one_scan`` the source is read once: an aggregation gathers the signals of an id in windows that
     overlap by the bound, and pairs leave when the watermark has passed their window. ``closes`` then names a column to add,
-    which carries the watermark on: a time that grows with ``start_time`` and lies ``stream_lag(bound)`` behind it at most.
+    which carries the watermark on: a time that grows with ``start_time`` and lies ``stream_lag(bound, window_bounds)`` behind it at most. The
+    windows are ``window_bounds`` bounds apart: the more, the fewer ENDs wait in two of them and the later pairs leave. It lays out the
+    state, so it must stay the same for the life of a checkpoint.
     """
     signals = df if where is None else df.where(where)
     if df.isStreaming and (bound is None or one_per_id):
@@ -79,7 +82,7 @@ def rebuild_spans(
     if one_scan:
         if not df.isStreaming:
             raise ValueError("one_scan is for streams; one_per_id reads a batch frame once")
-        return _rebuild_stream(signals, id, keys, bound, keep, time, closes)
+        return _rebuild_stream(signals, id, keys, bound, keep, time, closes, window_bounds)
 
     on = [id, *keys]
     starts = signals.where(F.col("event_type") == START).select(
@@ -138,16 +141,16 @@ def _slice(time: Column, bound: str) -> Column:
     return slice_number(F.unix_micros(time.cast("timestamp")), _SLICE_BOUNDS * to_micros(bound))
 
 
-def stream_lag(bound: str) -> str:
+def stream_lag(bound: str, window_bounds: int = WINDOW_BOUNDS) -> str:
     """How far the time at which a pair leaves a stream lies behind its start at most."""
-    return f"{(_WINDOW_BOUNDS + 1) * to_micros(bound)} microseconds"
+    return f"{(window_bounds + 1) * to_micros(bound)} microseconds"
 
 
-def _rebuild_stream(signals, id, keys, bound, keep, time, closes) -> DataFrame:
+def _rebuild_stream(signals, id, keys, bound, keep, time, closes, window_bounds) -> DataFrame:
     """A START waits in the window that holds it before its last bound; every END that its bound admits falls into that window."""
     on = [id, *keys]
     is_start, is_end = F.col("event_type") == START, F.col("event_type") == END
-    apart, length = (f"{n * to_micros(bound)} microseconds" for n in (_WINDOW_BOUNDS, _WINDOW_BOUNDS + 1))
+    apart, length = (f"{n * to_micros(bound)} microseconds" for n in (window_bounds, window_bounds + 1))
     shared = F.col("_window.start") + F.expr(interval_sql(apart))
     paired = reduce(and_, [F.col(c).isNotNull() for c in on], is_start | is_end)
     windowed = signals.where(paired).withColumn("_window", F.window(time, length, apart))

@@ -21,7 +21,7 @@ from spanwise.operators import (
     mobility_packed,
     rebuild_spans,
 )
-from spanwise.operators.signals import START, stream_lag
+from spanwise.operators.signals import START, WINDOW_BOUNDS, stream_lag
 from spanwise.streaming.sessions import back_to_back_stream
 
 _ID, _TOWER, _CALLER = "unique_id", "tower_id", "calling_party"
@@ -89,19 +89,19 @@ def b2b_mono(calls: DataFrame, max_gap_s: int = 10, **slices: int) -> DataFrame:
 
 
 def b2b_bi(signals: DataFrame, bound: str = "4 minutes", max_gap_s: int = 10, one_per_id: bool = False,
-           count_copies: bool = False, **slices: int) -> DataFrame:
+           count_copies: bool = False, window_bounds: int = WINDOW_BOUNDS, **slices: int) -> DataFrame:
     """The same on connected calls, rebuilt from signals of equal id and caller within ``bound``.
 
     The filters come before the look back: they decide which call is the one before. ``one_per_id`` (see
-    ``rebuild_spans``) and ``count_copies`` (see ``b2b_bi_packed``) are for batch frames.
+    ``rebuild_spans``) and ``count_copies`` (see ``b2b_bi_packed``) are for batch frames, ``window_bounds`` is for streams.
     """
     connected = signals.where(F.col("disposition") == "connected")
     if signals.isStreaming:
         if one_per_id or count_copies:
             raise ValueError("one_per_id and count_copies have no streaming form")
-        calls = rebuild_spans(connected, _ID, [_CALLER], bound, one_scan=True, closes="closes_at")
-        return back_to_back_stream(calls, *_CALL, max_gap_s, closes=("closes_at", stream_lag(bound)), longest=bound,
-                                   **slices)
+        calls = rebuild_spans(connected, _ID, [_CALLER], bound, one_scan=True, closes="closes_at", window_bounds=window_bounds)
+        closes = ("closes_at", stream_lag(bound, window_bounds))
+        return back_to_back_stream(calls, *_CALL, max_gap_s, closes=closes, longest=bound, **slices)
     copies = "copies" if count_copies and not one_per_id else None
     calls = rebuild_spans(connected, _ID, [_CALLER], bound, one_per_id=one_per_id, copies=copies)
     return back_to_back(calls, *_CALL, max_gap_s, copies=copies, **slices)

@@ -232,6 +232,9 @@ def test_rebuilt_calls_are_chained_without_python_over_files(spark, tmp_path):
     assert bag(got) == bag(want) and want.count() > 20
     # The mark's START and its window.
     assert figures[-1]["state_rows"] <= 2
+    # How far windows are apart changes no pair, but the state: a checkpoint keeps it.
+    narrow, _ = finish(CATALOG["b2b_bi"](feed.stream(), max_gap_s=90, slice_s=3600, window_bounds=1), tmp_path, "n")
+    assert bag(narrow) == bag(want) and CATALOG["b2b_bi"].settings()["window_bounds"] == 2
 
 
 def test_most_ends_wait_in_one_window(spark, tmp_path):
